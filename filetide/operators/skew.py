@@ -79,7 +79,7 @@ def lag_in_slices(
     keys, order, values = list(keys), list(order), list(values)
     sliced = df.withColumn("_slice", slice_by)
     inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    packed = F.struct(*order, *values)
+    packed = F.struct(*dict.fromkeys([*order, *values]))
     tails = (
         sliced.groupBy(*keys, "_slice")
         .agg(F.max(packed).alias("_tail"), F.count("*").alias("_n"))

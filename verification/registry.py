@@ -13,7 +13,11 @@ from .tables import Tables, duck_sql
 @dataclass(frozen=True)
 class Check:
     run: Callable[[Tables], DataFrame]
-    sql: str | None
+    query: str | None
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.query is None else duck_sql(self.query, ORACLE)
 
 
 CHECKS: dict[str, Check] = {}
@@ -24,7 +28,7 @@ ORACLE: dict[str, str] = {}
 def add(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
     if name in CHECKS:
         raise ValueError(f"{name} is registered twice")
-    CHECKS[name] = Check(run, None if sql is None else duck_sql(sql, ORACLE))
+    CHECKS[name] = Check(run, sql)
 
 
 def up(table: str) -> str:

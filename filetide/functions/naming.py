@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,42 +29,57 @@ LONG_PATH = 240
 ROUNDS = 5
 
 
-def _tail(text: Column | str, regex: str) -> Column:
-    return F.regexp_extract(col(text), "(?iU)" + regex, 0)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tail(text: Column, regex: str) -> Column:
+    return F.regexp_extract(text, "(?iU)" + regex, 0)
+
+
+def _cut(text: Column, tail: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+
 
+def _strip_once(state: Column) -> Column:
+    """Cut a copy mark, then a date stamp, then version words from the end of ``state.base``."""
 
-def _cut(text: str, tail: str) -> Column:
-    return F.substring(F.col(text), F.lit(1), F.length(text) - F.length(tail))
+    def finish(c: Column, d: Column, v: Column, left: Column) -> Column:
+        base = F.regexp_replace(left, "[ _-]+$", "")
+        found = F.transform(F.array(c, d, v), lambda t: F.regexp_replace(t, "^[ _-]+|[ _-]+$", ""))
+        return F.struct(
+            base.alias("base"), F.concat(state["suffixes"], F.filter(found, lambda t: t != "")).alias("suffixes"),
+            (((c == "") & (d == "") & (v == "")) | (base == "")).alias("done"),
+        )
+
+    def words(c: Column, d: Column, undated: Column) -> Column:
+        return _let(_tail(undated, VERSION_TOKEN), lambda v: finish(c, d, v, _cut(undated, v)))
+
+    def dates(c: Column, uncopied: Column) -> Column:
+        return _let(_tail(uncopied, DATE_STAMP), lambda d: _let(_cut(uncopied, d), lambda rest: words(c, d, rest)))
+
+    return _let(_tail(state["base"], COPY_SUFFIX), lambda c: _let(_cut(state["base"], c), lambda rest: dates(c, rest)))
 
 
 def with_family(df: DataFrame, name: str = "name") -> DataFrame:
     """Add ``family_key`` and ``suffix``.
 
     Copy marks, date stamps and version words are cut from the end of the base
-    name, at most five times; a name with nothing left is its own family. The
-    steps are separate projections so that each regular expression runs once.
+    name, at most five times; a name with nothing left is its own family. A fold
+    that stops by itself: most names take one round.
     """
-    out = df.withColumn("_base0", base_of(name)).withColumn("_base", F.col("_base0"))
-    out = out.withColumn("_suffixes", F.array().cast("array<string>")).withColumn("_done", F.lit(False))
-    for _ in range(ROUNDS):
-        out = out.withColumn("_c", _tail("_base", COPY_SUFFIX)).withColumn("_b1", _cut("_base", "_c"))
-        out = out.withColumn("_d", _tail("_b1", DATE_STAMP)).withColumn("_b2", _cut("_b1", "_d"))
-        out = out.withColumn("_v", _tail("_b2", VERSION_TOKEN)).withColumn("_b3", _cut("_b2", "_v"))
-        out = out.withColumn("_b3", F.regexp_replace("_b3", "[ _-]+$", ""))
-        cuts = F.filter(
-            F.transform(F.array("_c", "_d", "_v"), lambda t: F.regexp_replace(t, "^[ _-]+|[ _-]+$", "")),
-            lambda t: t != "",
-        )
-        unchanged = (F.col("_c") == "") & (F.col("_d") == "") & (F.col("_v") == "")
-        out = (
-            out.withColumn("_suffixes", F.when(F.col("_done"), F.col("_suffixes")).otherwise(F.concat("_suffixes", cuts)))
-            .withColumn("_base", F.when(F.col("_done"), F.col("_base")).otherwise(F.col("_b3")))
-            .withColumn("_done", F.col("_done") | unchanged | (F.col("_b3") == ""))
-        )
-    empty = F.col("_base") == ""
-    family = F.concat(F.lower(F.when(empty, F.col("_base0")).otherwise(F.col("_base"))), extension(name))
-    suffix = F.when(empty, F.lit("")).otherwise(F.array_join("_suffixes", " "))
-    return out.withColumn("family_key", family).withColumn("suffix", suffix).select(*df.columns, "family_key", "suffix")
+    start = F.struct(
+        base_of(name).alias("base"), F.array().cast("array<string>").alias("suffixes"), F.lit(False).alias("done")
+    )
+    folded = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["done"], s).otherwise(_strip_once(s))
+    )
+    out = df.withColumn("_family", folded)
+    empty = F.col("_family.base") == ""
+    family = F.concat(F.lower(F.when(empty, base_of(name)).otherwise(F.col("_family.base"))), extension(name))
+    suffix = F.when(empty, F.lit("")).otherwise(F.array_join("_family.suffixes", " "))
+    return out.withColumn("family_key", family).withColumn("suffix", suffix).drop("_family")
 
 
 def has_copy_word(name: Column | str) -> Column:

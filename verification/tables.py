@@ -278,25 +278,28 @@ SHARED: dict[str, str] = {
         WHEN 2 THEN 'word/_rels/document.xml.rels' ELSE 'xl/vbaProject.bin' END AS part,
       CASE WHEN length(href) % 4 = 1 THEN 'formula' ELSE 'relationship' END AS kind,
       CASE WHEN length(href) % 4 = 1 THEN '''' || href || '''!A1' ELSE href END AS target
-    FROM {hrefs}""",
+    FROM {full_hrefs}""",
+    # Links of a page made absolute with its own host.
+    "full_hrefs": """
+    SELECT page_id, CASE WHEN raw LIKE '/%' THEN regexp_replace(url, '^(https?://[^/]+).*$', '{slot}') || raw ELSE raw END AS href FROM {hrefs}""",
+    # Some hosts as a whole, and deeper prefixes that win over them.
     "link_map": """
-    SELECT DISTINCT regexp_replace(href, '^(https?://[^/]+).*$', '{slot}') AS old_prefix,
-      'https://new.example.org/' || md5(regexp_replace(href, '^(https?://[^/]+).*$', '{slot}')) AS new_prefix
-    FROM {hrefs} WHERE href LIKE 'http%'
-    UNION SELECT DISTINCT regexp_replace(url, '^(https?://[^/]+/[^/]+).*$', '{slot}'),
-      'https://deep.example.org/' || md5(regexp_replace(url, '^(https?://[^/]+/[^/]+).*$', '{slot}')) FROM {pages}""",
+    SELECT DISTINCT upper(regexp_replace(url, '^(https?://[^/]+).*$', '{slot}')) AS old_prefix,
+      'https://new.example.org/' || md5(regexp_replace(url, '^(https?://[^/]+).*$', '{slot}')) AS new_prefix
+    FROM {pages} WHERE url NOT LIKE '%a%.example%'
+    UNION SELECT DISTINCT href, 'https://deep.example.org/' || md5(href) FROM {full_hrefs} WHERE href LIKE '%a%a%'""",
 }
 
 # The few tables the two dialects write differently.
 SPARK: dict[str, str] = {
-    "hrefs": "SELECT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM {pages}",
+    "hrefs": "SELECT page_id, url, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM {pages}",
     "file_content": "SELECT path_key, encode(text, 'UTF-8') AS content FROM {file_text}",
 }
 DUCK: dict[str, str] = {
-    "hrefs": "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM {pages}",
+    "hrefs": "SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM {pages}",
 }
 SLOTS = {"spark": "$1", "duck": r"\1"}
-_NAME = re.compile(r"\{([a-z_0-9]+)\}")
+_NAME = re.compile(r"\{([a-z][a-z_0-9]*)\}")
 
 
 def _text(name: str, engine: str) -> str:

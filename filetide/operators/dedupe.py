@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions import paths as P
+from ..session import cut_lineage
 from .hygiene import factors, reason_rows
 from .skew import attach, number_rows
 from .tree import TREE
@@ -45,7 +46,8 @@ def hashed(wanted: DataFrame, content: DataFrame, how: Column, broadcast_keys: i
 
     Contents are never shuffled. When a count shows that the wanted keys fit a
     broadcast, only their contents are hashed; beyond that every content is
-    hashed where it is read, and only hashes travel. The count stops early.
+    hashed where it is read, and only hashes travel. The count stops early. The
+    result is written to the shared folder, so no later stage hashes again.
     """
     keys = wanted.select("path_key").distinct()
     few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
@@ -53,47 +55,53 @@ def hashed(wanted: DataFrame, content: DataFrame, how: Column, broadcast_keys: i
     sums = source.select("path_key", how.alias("hash"), F.octet_length("content").cast("long").alias("_read"))
     joined = wanted.join(sums, "path_key", "left")
     valid = F.when(F.col("_read") == F.col("size"), F.col("hash"))
-    return joined.withColumn("hash", valid).drop("_read")
+    return cut_lineage(joined.withColumn("hash", valid).drop("_read"))
 
 
 def narrow(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep rows whose hash recurs in their group; a group with a failed hash is kept whole."""
-    per_hash = rows.groupBy(*keys, "hash").agg(F.count("*").alias("_n"))
-    failed = rows.where(F.col("hash").isNull()).select(*keys).distinct()
-    whole = rows.join(failed, keys, "left_semi").withColumn("hash", F.lit("unknown"))
-    sure = rows.join(failed, keys, "left_anti")
-    recurring = per_hash.where((F.col("_n") > 1) & F.col("hash").isNotNull())
-    return attach(sure, recurring, [*keys, "hash"], group_rows="_n", spread="path_key").unionByName(whole)
+    """Keep rows whose hash recurs in their group; a group with a failed hash is kept whole.
+
+    Rows of a kept-whole group get the hash ``unknown`` like their failed member.
+    """
+    marked = rows.withColumn("hash", F.coalesce("hash", F.lit("unknown")))
+    per_hash = marked.groupBy(*keys, "hash").agg(F.count("*").alias("_n"))
+    failed = per_hash.where(F.col("hash") == "unknown").select(*keys, F.lit(True).alias("_failed"))
+    kept = per_hash.join(failed, keys, "left").where((F.col("_n") > 1) | F.col("_failed"))
+    joined = attach(marked, kept, [*keys, "hash"], group_rows="_n", spread="path_key")
+    return joined.withColumn("hash", F.when(F.col("_failed"), "unknown").otherwise(F.col("hash"))).drop("_failed")
 
 
 def sampled(
     candidates: DataFrame, content: DataFrame, *, network: bool = False,
     sample_from: int | None = None, prefix_from: int = PREFIX_FROM,
 ) -> DataFrame:
-    """Candidates left after the head-and-tail sample and, on local disks, the prefix sample."""
+    """Candidates left after the head-and-tail sample and, on local disks, the prefix sample.
+
+    A stage without files of its size is skipped after one early-ending test.
+    """
     limit = sample_from if sample_from is not None else (NETWORK_SAMPLE if network else LOCAL_SAMPLE)
-    keys = [*TREE, "size"]
-    columns = candidates.columns
-    small = candidates.where(F.col("size") < limit)
-    first = narrow(hashed(candidates.where(F.col("size") >= limit), content, head_tail(F.col("content"))), keys)
+    keys, columns = [*TREE, "size"], candidates.columns
+    small, large = candidates.where(F.col("size") < limit), candidates.where(F.col("size") >= limit)
+    if large.isEmpty():
+        return candidates
+    first = narrow(hashed(large, content, head_tail(F.col("content"))), keys)
     if network:
         return small.unionByName(first.select(*columns))
-    first = first.withColumnRenamed("hash", "sample")
-    short = first.where(F.col("size") < prefix_from)
-    long = hashed(first.where(F.col("size") >= prefix_from), content, prefix(F.col("content")))
-    second = narrow(long, [*keys, "sample"])
+    first = cut_lineage(first.withColumnRenamed("hash", "sample"))
+    short, long = first.where(F.col("size") < prefix_from), first.where(F.col("size") >= prefix_from)
+    if long.isEmpty():
+        return small.unionByName(short.select(*columns))
+    second = narrow(hashed(long, content, prefix(F.col("content"))), [*keys, "sample"])
     return small.unionByName(short.select(*columns)).unionByName(second.select(*columns))
 
 
-def confirmed(
-    candidates: DataFrame, content: DataFrame, **sampling: object
-) -> DataFrame:
+def confirmed(candidates: DataFrame, content: DataFrame, **sampling: object) -> DataFrame:
     """Files whose full SHA-256 recurs among files of the same size; unreadable files drop out."""
-    left = sampled(candidates, content, **sampling).drop("sha256")
+    left = sampled(cut_lineage(candidates), content, **sampling).drop("sha256")
     full = hashed(left, content, F.sha2(F.col("content"), 256)).withColumnRenamed("hash", "sha256")
     keys = [*TREE, "size", "sha256"]
     groups = full.where(F.col("sha256").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return attach(full, groups.where(F.col("_n") > 1), keys, group_rows="_n", spread="path_key")
+    return cut_lineage(attach(full, groups.where(F.col("_n") > 1), keys, group_rows="_n", spread="path_key"))
 
 
 def pick_order() -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, cleanup, dedupe, hygiene, tree
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ class AuditOptions:
 def collect_reasons(
     entries: DataFrame, content: DataFrame | None, ignores: DataFrame, as_of: datetime, options: AuditOptions = AuditOptions()
 ) -> DataFrame:
-    """Reasons of all switched-on detectors; a switched-off one reads nothing."""
+    """Reasons of all switched-on detectors, written once; a switched-off detector reads nothing."""
     files = entries.where(~F.col("is_dir"))
     counted = hygiene.without_ignored(files, ignores)
     parts = []
@@ -47,7 +48,7 @@ def collect_reasons(
         marks = ignores.select("path_key", "size", "modified_at").distinct().withColumn("_kept", F.lit(True))
         flagged = dedupe.reasons(copies).join(marks, ["path_key", "size", "modified_at"], "left")
         parts.append(flagged.withColumn("is_ignored", F.coalesce("_kept", F.lit(False))).drop("_kept"))
-    return audit.union_reasons(*parts)
+    return cut_lineage(audit.union_reasons(*parts))
 
 
 def hygiene_audit(

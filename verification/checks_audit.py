@@ -8,7 +8,7 @@ from filetide.functions import naming
 from filetide.operators import audit, cleanup, dedupe, hygiene
 from filetide.plans.audit import AuditOptions, collect_reasons, hygiene_audit
 
-from .registry import ORACLE, add, up
+from .registry import ORACLE, add, once, up
 
 AS_OF = datetime(2004, 6, 1)
 DOCS_AS_OF = datetime(2024, 2, 1)
@@ -112,6 +112,7 @@ add("d3_void_marks", lambda t: hygiene.void_ignores(t.ignores, t.entries).select
 SMALL = {"sample_from": 512, "prefix_from": 1024}
 
 
+@once
 def copies(t):
     return dedupe.grouped(dedupe.confirmed(dedupe.size_groups(t.docs, 1), t.file_content, **SMALL))
 
@@ -159,6 +160,7 @@ def _no_ignores(t):
     return t.docs.where(F.length("name") % 9 == 0).select("path_key", "size", "modified_at")
 
 
+@once
 def reasons(t):
     """Documents (duplicates, dormant) and parts (older versions) in one audit."""
     return collect_reasons(t.docs.unionByName(t.parts), t.file_content, _no_ignores(t), DOCS_AS_OF, OPTIONS)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from filetide.session import cut_lineage
+
 from .tables import Tables, duck_sql
 
 
@@ -31,6 +33,19 @@ def add(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None) -
     CHECKS[name] = Check(run, sql)
 
 
+def once(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Write a table several queries start from once per session and folder."""
+    made: dict[tuple[str, str], DataFrame] = {}
+
+    def get(t: Tables) -> DataFrame:
+        key = (t.spark.sparkContext.applicationId, t.folder)
+        if key not in made:
+            made[key] = cut_lineage(build(t))
+        return made[key]
+
+    return get
+
+
 def up(table: str) -> str:
     """Every row of ``table`` once per strict ancestor of its key, as ``anc``."""
     parts = "string_split(path_key, '/')"

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import checks_audit, checks_search, checks_tree  # noqa: F401
+from . import checks_access, checks_audit, checks_search, checks_tree  # noqa: F401
 from .registry import CHECKS
 
 __all__ = ["CHECKS"]

@@ -48,11 +48,11 @@ add("f6_dormant", lambda t: hygiene.dormant(t.docs, DOCS_AS_OF, 2.0).select("pat
          AND NOT ({_age('accessed_at', _DOCS)} <= {_YEAR} AND {_age('accessed_at', _DOCS)} >= -86400)""")
 
 
-def _families(rounds: int = 5) -> str:
+def _families(table: str, rounds: int = 5) -> str:
     copy, date = r"(\s*-\s*コピー(\s*\(\d+\))?)$", r"([_\s\-\.]\d{4}[._\-]?\d{2}[._\-]?\d{2}|[_\s\-\.]\d{6,8})$"
     version = (r"([_\s\-\.](v\d+(\.\d+)*|ver\d*|rev\d*|修正版?|\d+|最新版?|本当(の最終)?|最終版?|確定版?|提出用?|案\d*"
                r"|fix|draft|old|bak|copy|コピー|\(\d+\)))+$")
-    text = "SELECT *, regexp_replace(name, '[.][^.]*$', '') AS b0, regexp_replace(name, '[.][^.]*$', '') AS b, '' AS suf, FALSE AS done FROM {parts}"
+    text = "SELECT *, regexp_replace(name, '[.][^.]*$', '') AS b0, regexp_replace(name, '[.][^.]*$', '') AS b, '' AS suf, FALSE AS done FROM {" + table + "}"
     for _ in range(rounds):
         text = f"SELECT *, regexp_extract(b, '(?i){copy}') AS c FROM ({text})"
         text = f"SELECT *, substr(b, 1, length(b) - length(c)) AS x1 FROM ({text})"
@@ -67,11 +67,14 @@ def _families(rounds: int = 5) -> str:
     return (f"SELECT *, lower(CASE WHEN b = '' THEN b0 ELSE b END) || ext AS family_key, CASE WHEN b = '' THEN '' ELSE suf END AS suffix FROM ({text})")
 
 
-ORACLE["families"] = _families()
-ORACLE["ranked_families"] = """
+ORACLE["families"] = _families("parts")
+ORACLE["families_all"] = _families("two_roots")
+_RANKED = """
   SELECT *, COUNT(*) OVER w AS n, bool_or(suffix <> '') OVER w AS suffixed, first(path_key) OVER (w ORDER BY modified_at DESC, path_key) AS active,
     first(name) OVER (w ORDER BY modified_at DESC, path_key) AS active_name, first(modified_at) OVER (w ORDER BY modified_at DESC, path_key) AS active_time,
-    first(size) OVER (w ORDER BY modified_at DESC, path_key) AS active_size FROM {families} WINDOW w AS (PARTITION BY parent_key, family_key)"""
+    first(size) OVER (w ORDER BY modified_at DESC, path_key) AS active_size FROM {%s} WINDOW w AS (PARTITION BY parent_key, family_key)"""
+ORACLE["ranked_families"] = _RANKED % "families"
+ORACLE["ranked_all"] = _RANKED % "families_all"
 ORACLE["old_versions"] = """
   SELECT *, LEAST(95, 75 + CASE WHEN suffix <> '' THEN 10 ELSE 0 END + CASE WHEN (epoch_us(TIMESTAMP '2004-06-01') - epoch_us(modified_at)) / 86400000000.0 > 365 THEN 10 ELSE 0 END) AS score,
     'Newer version exists: ' || active_name || ' (' || strftime(active_time, '%Y/%m/%d') || ')' || CASE WHEN suffix <> '' THEN ' / suffix: ' || suffix ELSE '' END AS detail
@@ -171,15 +174,14 @@ def candidates(t):
 
 
 ORACLE["kept_marks"] = "SELECT path_key FROM {docs} WHERE length(name) % 9 = 0"
-ORACLE["part_versions"] = "SELECT *, LEAST(95, 75 + CASE WHEN suffix <> '' THEN 10 ELSE 0 END + CASE WHEN (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(modified_at)) / 86400000000.0 > 365 THEN 10 ELSE 0 END) AS pts FROM {ranked_families} WHERE n >= 2 AND suffixed AND path_key <> active AND NOT (modified_at = active_time AND size = active_size)"
-_DORMANT = f"""SELECT *, 70 + CASE WHEN {_age('modified_at', _DOCS)} / {_YEAR} > 5 THEN 10 ELSE 0 END AS pts FROM {{both}} b
+ORACLE["versions_all"] = "SELECT *, LEAST(95, 75 + CASE WHEN suffix <> '' THEN 10 ELSE 0 END + CASE WHEN (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(modified_at)) / 86400000000.0 > 365 THEN 10 ELSE 0 END) AS pts FROM {ranked_all} WHERE n >= 2 AND suffixed AND path_key <> active AND NOT (modified_at = active_time AND size = active_size)"
+_DORMANT = f"""SELECT *, 70 + CASE WHEN {_age('modified_at', _DOCS)} / {_YEAR} > 5 THEN 10 ELSE 0 END AS pts FROM {{two_roots}} b
   WHERE {_age('modified_at', _DOCS)} / {_YEAR} > 2 AND NOT ({_age('accessed_at', _DOCS)} <= {_YEAR} AND {_age('accessed_at', _DOCS)} >= -86400)
     AND path_key NOT IN (SELECT path_key FROM {{kept_marks}})"""
-ORACLE["both"] = "SELECT * FROM {docs} UNION ALL SELECT * FROM {parts}"
-# Document suffixes such as " (1)" make no families here: no two documents share a base name.
+ORACLE["two_roots"] = "SELECT * FROM {docs} UNION ALL SELECT * FROM {parts}"
 ORACLE["all_reasons"] = f"""
   SELECT root_key, path_key, size, 'Dormant' AS issue, 3 AS tie, pts, FALSE AS orig, FALSE AS alias, FALSE AS ign FROM ({_DORMANT})
-  UNION ALL SELECT root_key, path_key, size, 'VersionFamily', 4, pts, FALSE, FALSE, FALSE FROM {{part_versions}}
+  UNION ALL SELECT root_key, path_key, size, 'VersionFamily', 4, pts, FALSE, FALSE, FALSE FROM {{versions_all}} WHERE path_key NOT IN (SELECT path_key FROM {{kept_marks}})
   UNION ALL SELECT '/parts', folder, bytes, 'GraveyardTree', 6, pts, FALSE, FALSE, FALSE FROM {{grave_parts}}
   UNION ALL SELECT root_key, path_key, size, 'Duplicate', 0, CASE WHEN is_original OR is_alias THEN 0 ELSE 95 END, is_original, is_alias,
     path_key IN (SELECT path_key FROM {{kept_marks}}) FROM {{dup_numbered}}"""
@@ -187,7 +189,7 @@ ORACLE["grave_parts"] = f"""
   SELECT folder, bytes, LEAST(95, 80 + CASE WHEN {_age('max_write', _DOCS)} / {_YEAR} > 5 THEN 5 ELSE 0 END) AS pts FROM (
     SELECT folder, COUNT(*) AS files, CAST(SUM(size) AS BIGINT) AS bytes, MAX(modified_at) AS max_write,
       bool_or({_age('accessed_at', _DOCS)} <= {_YEAR} AND {_age('accessed_at', _DOCS)} >= -86400) AS recent FROM (
-      SELECT *, parent_key AS folder FROM {{both}} UNION ALL SELECT *, regexp_replace(parent_key, '/[^/]*$', '') AS folder FROM {{both}} WHERE len(string_split(parent_key, '/')) = 4)
+      SELECT *, parent_key AS folder FROM {{two_roots}} UNION ALL SELECT *, regexp_replace(parent_key, '/[^/]*$', '') AS folder FROM {{two_roots}} WHERE len(string_split(parent_key, '/')) = 4)
     GROUP BY folder) WHERE files >= 3 AND bytes >= 1048576 AND {_age('max_write', _DOCS)} / {_YEAR} > 2 AND NOT recent"""
 ORACLE["combined"] = """
   SELECT path_key, MAX(size) AS size, CAST(SUM(pts) AS INT) AS score, arg_min(issue, CASE WHEN issue = 'Duplicate' THEN -1000000 ELSE -pts * 10 + tie END) AS issue_type,
@@ -202,7 +204,7 @@ add("u2_union_of_reasons", lambda t: reasons(t).groupBy("issue_type").agg(F.coun
 add("c13_audit_summary",
     lambda t: hygiene_audit(t.docs.unionByName(t.parts), t.file_content, _no_ignores(t), t.scan_errors, DOCS_AS_OF, OPTIONS)["summary"].groupBy().agg(
         *[F.sum(c).alias(c) for c in ("files_scanned", "Duplicate_count", "Duplicate_bytes", "Dormant_count", "VersionFamily_count", "VersionFamily_bytes", "GraveyardTree_count", "ready_bytes")]),
-    """SELECT (SELECT COUNT(*) FROM {both}) AS files_scanned, COUNT(*) FILTER (WHERE issue = 'Duplicate' AND NOT orig) AS Duplicate_count,
+    """SELECT (SELECT COUNT(*) FROM {two_roots}) AS files_scanned, COUNT(*) FILTER (WHERE issue = 'Duplicate' AND NOT orig) AS Duplicate_count,
          CAST(SUM(CASE WHEN issue = 'Duplicate' AND NOT orig AND NOT alias THEN size ELSE 0 END) AS BIGINT) AS Duplicate_bytes,
          COUNT(*) FILTER (WHERE issue = 'Dormant') AS Dormant_count, COUNT(*) FILTER (WHERE issue = 'VersionFamily') AS VersionFamily_count,
          CAST(SUM(CASE WHEN issue = 'VersionFamily' THEN size ELSE 0 END) AS BIGINT) AS VersionFamily_bytes, COUNT(*) FILTER (WHERE issue = 'GraveyardTree') AS GraveyardTree_count,
@@ -233,7 +235,7 @@ add("b21_category_filters",
     "SELECT " + ", ".join(f"COUNT(*) FILTER (WHERE NOT is_ignored AND {sql}) AS {name}" for name, sql in _CATEGORY.items()) + " FROM {flagged}")
 add("b22_text_filter", lambda t: candidates(t).where(audit.text_filter("コピー")).select("path_key"),
     """SELECT path_key FROM {combined} c WHERE NOT is_ignored AND (contains(path_key, 'コピー') OR EXISTS (
-         SELECT 1 FROM {part_versions} v WHERE v.path_key = c.path_key AND (contains(v.active_name, 'コピー') OR contains(v.suffix, 'コピー'))))""")
+         SELECT 1 FROM {versions_all} v WHERE v.path_key = c.path_key AND (contains(v.active_name, 'コピー') OR contains(v.suffix, 'コピー'))))""")
 _ORDER = {
     "Default": ("Default", False, "can_clean DESC, score DESC, size DESC, lower(name), path_key"),
     "Size": ("Size", True, "size DESC, g, is_original DESC, lower(name), path_key"),
@@ -246,7 +248,7 @@ _ORDER = {
 ORACLE["orderable"] = """
   SELECT f.*, COALESCE(b.name, string_split(f.path_key, '/')[-1] || '/') AS name, b.modified_at, COALESCE(d.group_index, 2147483647) AS g,
     list_position(['PathTooLong', 'InvalidChar', 'Dormant', 'VersionFamily', 'ExtractedArchive', 'GraveyardTree', 'Duplicate'], issue_type) AS ty
-  FROM {flagged} f LEFT JOIN {both} b USING (path_key) LEFT JOIN {dup_numbered} d USING (path_key)"""
+  FROM {flagged} f LEFT JOIN {two_roots} b USING (path_key) LEFT JOIN {dup_numbered} d USING (path_key)"""
 for _key, (_name, _desc, _sql) in _ORDER.items():
     add(f"k5_order_{_key.lower()}", lambda t, n=_name, d=_desc: audit.sort(candidates(t), n, d).limit(150).select("path_key"),
         f"SELECT path_key FROM {{orderable}} ORDER BY {_sql} LIMIT 150")
@@ -263,8 +265,8 @@ add("j3_hygiene_audit",
         "path_key", "score", "is_cleanable", "reclaimable_bytes", F.size("breakdown").alias("factors")),
     """SELECT path_key, score, can_clean AS is_cleanable, reclaim AS reclaimable_bytes, factors FROM {flagged} JOIN (
          SELECT path_key, CAST(SUM(CASE issue WHEN 'Dormant' THEN CASE WHEN pts = 80 THEN 3 ELSE 2 END WHEN 'GraveyardTree' THEN CASE WHEN pts = 85 THEN 2 ELSE 1 END
-           WHEN 'VersionFamily' THEN CASE WHEN suff THEN 3 ELSE 2 END ELSE 1 END) AS INT) AS factors
-         FROM (SELECT r.*, COALESCE(v.suffix <> '', FALSE) AS suff FROM {all_reasons} r LEFT JOIN {part_versions} v USING (path_key)) GROUP BY ALL) USING (path_key)""")
+           WHEN 'VersionFamily' THEN 1 + CAST(suff AS INT) + CAST(stale AS INT) ELSE 1 END) AS INT) AS factors
+         FROM (SELECT r.*, COALESCE(v.suffix <> '', FALSE) AS suff, COALESCE((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(v.modified_at)) / 86400000000.0 > 365, FALSE) AS stale FROM {all_reasons} r LEFT JOIN {versions_all} v USING (path_key)) GROUP BY ALL) USING (path_key)""")
 
 # --- cleanup ----------------------------------------------------------------------
 
@@ -285,10 +287,10 @@ def newer(t):
 
 ORACLE["later"] = """
   SELECT *, CASE WHEN size % 17 <> 0 THEN sha END AS sha2 FROM (SELECT b.path_key, b.physical_id, sha256(f.text) AS sha, CASE WHEN length(name) % 11 = 0 THEN size + 1 ELSE size END AS size,
-    CASE WHEN length(name) % 13 = 0 THEN modified_at + INTERVAL 3 SECOND ELSE modified_at END AS modified_at FROM {both} b LEFT JOIN {file_text} f USING (path_key)) WHERE size % 19 <> 0"""
+    CASE WHEN length(name) % 13 = 0 THEN modified_at + INTERVAL 3 SECOND ELSE modified_at END AS modified_at FROM {two_roots} b LEFT JOIN {file_text} f USING (path_key)) WHERE size % 19 <> 0"""
 ORACLE["plan_rows"] = """
   SELECT f.path_key, f.size, b.modified_at, o.path_key AS original_key, o.size AS original_size, o.modified_at AS original_modified
-  FROM {flagged} f LEFT JOIN {both} b USING (path_key) LEFT JOIN {dup_numbered} d USING (path_key)
+  FROM {flagged} f LEFT JOIN {two_roots} b USING (path_key) LEFT JOIN {dup_numbered} d USING (path_key)
     LEFT JOIN (SELECT * FROM {dup_numbered} WHERE is_original) o ON o.group_index = d.group_index
   WHERE can_clean AND length(f.path_key) % 2 = 0"""
 ORACLE["rechecked"] = """

@@ -129,7 +129,7 @@ SHARED: dict[str, str] = {
         "TIMESTAMP '2000-01-01 00:00:00'", "TIMESTAMP '2000-01-01 00:00:00' + CAST(floor(p_retailprice) AS INT) * INTERVAL '1' DAY",
         "TIMESTAMP '2000-01-01 00:00:00' + CAST(floor(p_retailprice) AS INT) * INTERVAL '1' DAY", 2,
     ) + """ FROM (SELECT *, '/parts/' || p_type AS folder, 'part_' || p_brand || CASE p_partkey % 6
-          WHEN 0 THEN '' WHEN 1 THEN '_v' || CAST(p_size AS STRING) || '.' || CAST(p_partkey AS STRING)
+          WHEN 0 THEN 'x' || CAST(p_partkey AS STRING) WHEN 1 THEN '_v' || CAST(p_size AS STRING) || '.' || CAST(p_partkey AS STRING)
           WHEN 2 THEN '_20240105_' || CAST(p_partkey AS STRING) WHEN 3 THEN ' - コピー (' || CAST(p_partkey AS STRING) || ')'
           WHEN 4 THEN '_最終_rev' || CAST(p_partkey AS STRING) ELSE '-' || CAST(p_partkey AS STRING) || '-old_fix' END || '.txt' AS pname
         FROM {part}) p""",

@@ -72,7 +72,7 @@ def same_path(left: Column | str, right: Column | str) -> Column:
 
 def parent_key(key: Column | str) -> Column:
     k = col(key)
-    return F.when(F.locate(SEP, k) > 0, F.regexp_replace(k, "/[^/]*$", ""))
+    return F.nullif(F.when(F.locate(SEP, k) > 0, F.regexp_replace(k, "/[^/]*$", "")), F.lit(""))
 
 
 def base_of(name: Column | str) -> Column:

@@ -38,11 +38,12 @@ def lock_siblings(entries: DataFrame) -> DataFrame:
     return joined.withColumn("is_locked", F.coalesce("is_locked", F.lit(False))).drop("_lock")
 
 
-def file_part(target: Column | str) -> Column:
-    """The path inside a link: a formula's drive or share path, else the target itself."""
+def file_part(kind: Column | str, target: Column | str) -> Column:
+    """The path a link names: inside a formula its address, drive or share path, else the whole target."""
     t = P.col(target)
-    inner = F.regexp_extract(t, r"((?:[A-Za-z]:|\\\\)[^\"<>|*?\[\]!]*)", 1)
-    return F.when(F.contains(t, F.lit("[")) & (inner != ""), inner).otherwise(t)
+    address = r"((?:[A-Za-z][A-Za-z0-9+.-]*://|[A-Za-z]:|\\\\)(?:[^\"<>|*?\[\]!']|'')*)"
+    inner = F.regexp_extract(t, address, 1)
+    return F.when(P.col(kind).isin("formula", "definedName") & (inner != ""), inner).otherwise(t)
 
 
 def rewrite(links: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def rewrite(links: DataFrame, mapping: DataFrame) -> DataFrame:
     The prefix is found by equality on the ancestors of the target, so neither
     side is compared with all of the other.
     """
-    key = F.regexp_replace(F.translate(F.lower(file_part("target")), "\\", P.SEP), "(?<=[^/])/+$", "")
+    key = F.regexp_replace(F.translate(F.lower(file_part("kind", "target")), "\\", P.SEP), "(?<=[^/])/+$", "")
     keyed = links.withColumn("_key", F.replace(key, F.lit("''"), F.lit("'")))
     targets = keyed.select("_key").distinct()
     prefixes = mapping.select(

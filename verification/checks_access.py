@@ -157,7 +157,7 @@ add("d10_acl_multiset_diff", lambda t: changes(t).select("path_key", "account_ke
 add("d13_account_keys", lambda t: acl_diff.with_account_key(t.aces, t.principals).select("path_key", "ace_order", "account_key"),
     f"SELECT e.path_key, e.ace_order, {_KEYED} AS account_key FROM {{aces}} e LEFT JOIN {{principals}} p ON lower(p.account) = lower(e.account)")
 add("f20_rights_delta", lambda t: changes(t).where("diff_type = 'Modified'").select("path_key", "account_key", "detail"),
-    "SELECT path_key, account_key, '+Modify, +Delete, +Write, +Read & Execute' AS detail FROM {acl_changes} WHERE diff_type = 'Modified' AND before_rights = 131209 AND after_rights = 197055")
+    "SELECT path_key, account_key, '+Delete, +Write' AS detail FROM {acl_changes} WHERE diff_type = 'Modified' AND before_rights = 131209 AND after_rights = 197055")
 add("f21_promoted_entries", lambda t: acl_diff.promoted_counts(t.aces, t.acl_flags),
     """SELECT path_key, CASE WHEN inherit_before AND NOT inherit_after THEN (SELECT COUNT(*) FROM {aces} a WHERE a.path_key = f.path_key AND is_inherited) ELSE 0 END AS promoted FROM {acl_flags} f""")
 _FLAG = lambda t: t.acl_flags.select("path_key", F.col("inherit_after").alias("inherit"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -52,12 +52,19 @@ def match_groups(docs: DataFrame, groups: Sequence[Sequence[str]], key: str = "p
 
 def distinct_trigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, trigram)`` once each; duplicates are removed inside the row before anything moves."""
-    lowered = F.lower(text)
-    starts = F.when(F.length(lowered) >= 3, F.sequence(F.lit(1), F.length(lowered) - 2)).otherwise(F.array().cast("array<int>"))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(lowered, i, F.lit(3))))
+    grams = F.array_distinct(_pieces(F.lower(text), 3))
     return docs.select(key, F.explode(grams).alias("trigram"))
 
 
+def _pieces(text: Column, width: int) -> Column:
+    """All overlapping pieces of ``width`` characters, in one pass over the text.
+
+    A look-ahead matches at every position; substrings by position would walk
+    the text again for each of them.
+    """
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * width + "))"), F.lit(1))
+
+
 def match_keyword_table(docs: DataFrame, keywords: DataFrame, key: str = "path_key") -> DataFrame:
     """Which keywords of a table each document contains, for keyword lists too long for expressions.
 
@@ -88,12 +95,8 @@ def match_keyword_table(docs: DataFrame, keywords: DataFrame, key: str = "path_k
 def distinct_short(docs: DataFrame, key: str) -> DataFrame:
     """Distinct one- and two-character pieces of each document."""
     lowered = F.lower("text")
-    size = F.length(lowered)
-    piece = lambda n: F.transform(
-        F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(lowered, i, F.lit(n)),
-    )
-    return docs.select(key, F.explode(F.array_distinct(F.concat(piece(1), piece(2)))).alias("keyword"))
+    both = F.array_union(F.array_distinct(_pieces(lowered, 1)), F.array_distinct(_pieces(lowered, 2)))
+    return docs.select(key, F.explode(both).alias("keyword"))
 
 
 # --- trigram index ---------------------------------------------------------

@@ -272,8 +272,8 @@ def indexed_search(t):
 
 add("j15_trigram_search", indexed_search, "SELECT path_key FROM {file_text} WHERE contains(lower(text), 'there')")
 add("f34_markup_to_text", lambda t: t.pages.select("page_id", markup.markup_to_text("html").alias("text")),
-    r"""SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?i)</*(?:w:p|w:tr|w:tc|row|a:p|si|v|c )[^>]*>|</*c>', ' ', 'g'), '<[^>]*>', '', 'g'), '>', ''),
-         '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM {pages}""")
+    r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?i)</*(?:w:p|w:tr|w:tc|row|a:p|si|v|c )[^>]*>|</*c>', ' ', 'g'), '<[^>]*>', '', 'g'), '>', ''),
+         '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS text FROM {pages}""")
 
 
 def encoded(t):

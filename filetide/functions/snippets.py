@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from .paths import col
 RADIUS = 60
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.translate(text, char, ""))
 
@@ -23,24 +28,32 @@ def snippet_at(text: Column | str, position: Column, length: Column | int, radiu
     """
     t = col(text)
     length = F.lit(length) if isinstance(length, int) else length
-    size = F.length(t)
-    at = position - 1
-    before = F.substring(t, F.lit(1), at)
-    after = F.substring(t, position + length, size)
-    start = at - F.length(F.substring_index(before, "\n", -2))
-    start = F.when((_count(before, "\n") == 1) & F.startswith(before, F.lit("\n")), F.lit(1)).otherwise(start)
-    end = at + length + F.length(F.substring_index(after, "\n", 2))
     far = max(radius * 2, 160)
-    start = F.when(at - start > far, at - radius).otherwise(start)
-    end = F.when(end - (at + length) > far, at + length + radius).otherwise(end)
-    body = F.substring(t, start + 1, end - start)
-    body = F.regexp_replace(F.translate(body, "\r\n", "  "), "<[^>]+>", " ")
-    body = F.regexp_replace(body, r"\s+", " ")
-    marked = F.concat(
-        F.when(start > 0, F.lit("...")).otherwise(F.lit("")), body,
-        F.when(end < size, F.lit("...")).otherwise(F.lit("")),
-    )
-    return F.when(position > 0, F.trim(marked))
+
+    def lines(m: Column) -> Column:
+        before = F.substring(t, F.lit(1), m["at"])
+        after = F.substring(t, m["stop"] + 1, F.length(t))
+        return _let(F.struct(m["at"].alias("at"), m["stop"].alias("stop"), before.alias("b"), after.alias("a")), window)
+
+    def window(w: Column) -> Column:
+        lone = (_count(w["b"], "\n") == 1) & F.startswith(w["b"], F.lit("\n"))
+        start = F.when(lone, F.lit(1)).otherwise(w["at"] - F.length(F.substring_index(w["b"], "\n", -2)))
+        end = w["stop"] + F.length(F.substring_index(w["a"], "\n", 2))
+        return _let(F.struct(w["at"].alias("at"), w["stop"].alias("stop"), start.alias("s"), end.alias("e")), trimmed)
+
+    def trimmed(w: Column) -> Column:
+        start = F.when(w["at"] - w["s"] > far, w["at"] - radius).otherwise(w["s"])
+        end = F.when(w["e"] - w["stop"] > far, w["stop"] + radius).otherwise(w["e"])
+        return _let(F.struct(start.alias("s"), end.alias("e")), marked)
+
+    def marked(w: Column) -> Column:
+        body = F.translate(F.substring(t, w["s"] + 1, w["e"] - w["s"]), "\r\n", "  ")
+        body = F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), r"\s+", " ")
+        head = F.when(w["s"] > 0, F.lit("...")).otherwise(F.lit(""))
+        return F.trim(F.concat(head, body, F.when(w["e"] < F.length(t), F.lit("...")).otherwise(F.lit(""))))
+
+    found = F.struct((position - 1).alias("at"), (position - 1 + length).alias("stop"))
+    return _let(found, lambda m: F.when(m["at"] >= 0, lines(m)))
 
 
 def snippet(text: Column | str, keyword: str, radius: int = RADIUS) -> Column:
@@ -65,21 +78,22 @@ def highlight(
 ) -> Column:
     """The earliest match in brackets with its surroundings; empty without a match."""
     t = col(text)
-    match = first_match(t, keywords)
-    end, width = match["end"], match["width"]
-    start = end - width
-    margin = F.greatest(F.lit(0), F.floor((F.lit(length) - width) / 2).cast("int"))
-    left = F.greatest(F.lit(0), start - margin)
-    right = F.least(F.length(t), end + margin)
     flat = lambda c: F.translate(c, "\r\n", "  ")
-    out = F.concat(
-        F.when(left > 0, F.lit("...")).otherwise(F.lit("")),
-        flat(F.substring(t, left + 1, start - left)), F.lit(opening),
-        F.substring(t, start + 1, width), F.lit(closing),
-        flat(F.substring(t, end + 1, right - end)),
-        F.when(right < F.length(t), F.lit("...")).otherwise(F.lit("")),
-    )
-    return F.when(match.isNull(), F.lit("")).otherwise(out)
+
+    def around(m: Column) -> Column:
+        start = m["end"] - m["width"]
+        margin = F.greatest(F.lit(0), F.floor((F.lit(length) - m["width"]) / 2).cast("int"))
+        left, right = F.greatest(F.lit(0), start - margin), F.least(F.length(t), m["end"] + margin)
+        out = F.concat(
+            F.when(left > 0, F.lit("...")).otherwise(F.lit("")),
+            flat(F.substring(t, left + 1, start - left)), F.lit(opening),
+            F.substring(t, start + 1, m["width"]), F.lit(closing),
+            flat(F.substring(t, m["end"] + 1, right - m["end"])),
+            F.when(right < F.length(t), F.lit("...")).otherwise(F.lit("")),
+        )
+        return F.when(m.isNull(), F.lit("")).otherwise(out)
+
+    return _let(first_match(t, keywords), around)
 
 
 def three_line_excerpt(text: Column | str, keyword: Column) -> Column:

@@ -98,8 +98,10 @@ def text_marks(texts: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
             for pos in [F.locate(w.lower(), lowered)]
         ]
         best = places[0] if len(places) == 1 else F.array_min(F.array(*places))
-        excerpt = snippet_at("text", best["pos"], best["width"])
-        marks.append(F.when(best.isNotNull(), F.struct(best["pos"].alias("pos"), excerpt.alias("snippet"))))
+        # Bound as a lambda variable, so that positions are looked up once per text and group.
+        marked = F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(
+            b["pos"].alias("pos"), snippet_at("text", b["pos"], b["width"]).alias("snippet"))))
+        marks.append(F.get(marked, F.lit(0)))
     meets_one = T.any_of([F.contains(lowered, F.lit(w.lower())) for g in groups for w in g])
     return texts.where(meets_one).select("path_key", F.array(*marks).alias("marks"))
 

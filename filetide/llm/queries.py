@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import decontaminate, templates, toxicity
 
 QUERIES = {
+    "op2_line_templates": templates.query,
+    "op3_benchmark_containment": decontaminate.query,
     "op10_toxicity_lexicon": toxicity.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_benchmark_containment": decontaminate.ORACLE,
+}

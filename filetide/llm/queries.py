@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, templates, toxicity
+from . import decontaminate, superminhash, templates, toxicity
 
 QUERIES = {
     "op2_line_templates": templates.query,
     "op3_benchmark_containment": decontaminate.query,
+    "op7_superminhash_groups": superminhash.query,
     "op10_toxicity_lexicon": toxicity.query,
 }
 ORACLE_SQL = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, superminhash, templates, toxicity
+from . import decontaminate, pieces, superminhash, templates, toxicity
 
 QUERIES = {
     "op2_line_templates": templates.query,
     "op3_benchmark_containment": decontaminate.query,
+    "op5_piece_scan": pieces.query,
     "op7_superminhash_groups": superminhash.query,
     "op10_toxicity_lexicon": toxicity.query,
 }

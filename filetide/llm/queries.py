@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, superminhash, templates, toxicity
+from . import adsampling, decontaminate, hypershuffle, pieces, superminhash, templates, toxicity
 
 QUERIES = {
     "op2_line_templates": templates.query,
     "op3_benchmark_containment": decontaminate.query,
     "op5_piece_scan": pieces.query,
+    "op6_hypergeometric_shards": hypershuffle.query,
     "op7_superminhash_groups": superminhash.query,
+    "op8_adaptive_scan": adsampling.query,
     "op10_toxicity_lexicon": toxicity.query,
 }
 ORACLE_SQL = {

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import adsampling, decontaminate, hypershuffle, pieces, superminhash, templates, toxicity
+from . import adsampling, decontaminate, hypershuffle, pieces, rans, superminhash, templates, toxicity
 
 QUERIES = {
+    "op1_rans_token_blocks": rans.query,
     "op2_line_templates": templates.query,
     "op3_benchmark_containment": decontaminate.query,
     "op5_piece_scan": pieces.query,

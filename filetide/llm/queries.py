@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adsampling, decontaminate, hypershuffle, pieces, rans, superminhash, templates, toxicity
+from . import adsampling, decontaminate, hypershuffle, novelty, pieces, rans, superminhash, templates, toxicity
 
 QUERIES = {
     "op1_rans_token_blocks": rans.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_hypergeometric_shards": hypershuffle.query,
     "op7_superminhash_groups": superminhash.query,
     "op8_adaptive_scan": adsampling.query,
+    "op9_zstd_novelty": novelty.query,
     "op10_toxicity_lexicon": toxicity.query,
 }
 ORACLE_SQL = {

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import adsampling, decontaminate, hypershuffle, novelty, pieces, rans, superminhash, templates, toxicity
+from . import adsampling, brown, decontaminate, hypershuffle, novelty, pieces, rans, superminhash, templates, toxicity
 
 QUERIES = {
     "op1_rans_token_blocks": rans.query,
     "op2_line_templates": templates.query,
     "op3_benchmark_containment": decontaminate.query,
+    "op4_brown_classes": brown.query,
     "op5_piece_scan": pieces.query,
     "op6_hypergeometric_shards": hypershuffle.query,
     "op7_superminhash_groups": superminhash.query,

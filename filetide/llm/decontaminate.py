@@ -26,16 +26,22 @@ CONTAINMENT = 0.75
 BROADCAST_ROWS = 2_000_000  # sketch rows of 40 bytes: at most 80 MB in a broadcast, beyond that a shuffled join
 
 
+def _starts(words: Column, width: int) -> Column:
+    """Places at which a shingle begins; none in fewer words than it has."""
+    n = F.size(words) - width + 1
+    return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
 def shingle_hashes(words: Column, width: int) -> Column:
     def windows(hashed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashed) - width + 1), lambda i: F.xxhash64(F.slice(hashed, i, width)))
+        return F.transform(_starts(hashed, width), lambda i: F.xxhash64(F.slice(hashed, i, width)))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
 def shingle_texts(words: Column, width: int) -> Column:
     def windows(read: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(read) - width + 1), lambda i: F.concat_ws(" ", F.slice(read, i, width)))
+        return F.transform(_starts(read, width), lambda i: F.concat_ws(" ", F.slice(read, i, width)))
 
     return let(words, windows)
 

@@ -9,13 +9,14 @@ classes, so a text copied a thousand times costs one signature.
    of a text together and end as soon as no place can still get less.
 2. Banding: ``BANDS`` bands of ``ROWS`` places; classes that agree on a band
    share a bucket.
-3. Verification on full sets, in rounds, so that a bucket of thousands makes no
-   square of pairs: first each member with the bucket's centre (the class with
-   most copies). Where a bucket still spans several components, each member with
-   its likeliest partner in another component. Last, every pair of a bucket that
-   still lies in different components and whose signatures agree on at least
-   ``LIKELY`` of the places, once, in the first band they share. Links inside a
-   component change nothing, so none is lost for the groups.
+3. Verification on full sets, so that a bucket of thousands emits no square of
+   pairs: first each member with the bucket's centre (the class with most
+   copies). Where a bucket still spans several components, its members meet in
+   tasks of two blocks each. A pair of different components, in the first band it
+   shares, whose signatures agree on at least ``LIKELY`` of the places, is
+   verified there on the full sets, and a task reports only links that join
+   components. Links inside a component change nothing, so none is lost for the
+   groups.
 4. Union-find: the smallest class number spreads along verified links.
 
 A pair at the threshold shares a band with probability 1 - (1 - 0.75^4)^32, that
@@ -30,7 +31,7 @@ under one ``doc_id`` are grouped each by its own text; a row with a null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ ROWS = 4
 BANDS = SLOTS // ROWS
 LIKELY = 0.60
 BLOCK = 1024  # members of a bucket compared in one task at a time
+BYTES = 16 << 20  # of their sets
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +111,7 @@ def set_names(docs: DataFrame) -> DataFrame:
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """``(c, bands array<long>, signature binary)`` of the texts of ``(c, text)``."""
+    """``(c, bands array<long>, signature binary, size)`` of the texts of ``(c, text)``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +119,10 @@ def sketched(texts: DataFrame) -> DataFrame:
                 values = signatures(hashes, borders)
                 bands = _bands(values)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.record_batch([part.column("c"), flat, pa.array([v.tobytes() for v in values.astype(np.uint16)], pa.binary())], ["c", "bands", "signature"])
+                low = pa.array([v.tobytes() for v in values.astype(np.uint16)], pa.binary())
+                yield pa.record_batch([part.column("c"), flat, low, pa.array(np.diff(borders))], ["c", "bands", "signature", "size"])
 
-    return texts.select("c", "text").mapInArrow(work, "c long, bands array<long>, signature binary")
+    return texts.select("c", "text").mapInArrow(work, "c long, bands array<long>, signature binary, size long")
 
 
 def _bands(values: np.ndarray) -> np.ndarray:
@@ -183,48 +186,87 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(both.groupBy("a", "part").applyInPandas(work, "a long, b long"), "verified")
 
 
-def _partners(rows: DataFrame, last: bool) -> DataFrame:
-    """Candidate pairs across components from buckets that still span several.
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that span several components, dealt into tasks.
 
-    ``rows`` has (bucket, band, c, comp, signature). Large buckets are cut into
-    blocks and every two blocks meet in one task. With ``last`` unset each member
-    names its likeliest partner only; else every likely pair of the first band
-    it shares.
+    A bucket is cut into blocks of at most about ``BLOCK`` members and ``BYTES``
+    of sets; every two blocks meet in one task, so each member is repeated once
+    per block.
     """
-    spans = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("comp").alias("k")).where("k > 1")
-    rows = rows.join(spans.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BYTES)).cast("int").alias("blocks")
+    spans = rows.groupBy("bucket").agg(blocks, F.count_distinct("comp").alias("k")).where("k > 1").drop("k")
+    rows = rows.join(spans, "bucket").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _likely(frame: pd.DataFrame, joined: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of a task with their likely partners in other components, each pair in the first band it shares."""
+    c, block, band = frame["c"].to_numpy(), frame["block"].to_numpy(), int(frame["band"].iloc[0])
+    values = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), SLOTS)
+    split = frame["low"].iloc[0] != frame["high"].iloc[0]
+    for i in range(len(frame)):
+        apart = ~joined(i, c) & (c > c[i])
+        if split:
+            apart &= block != block[i]
+        at = np.flatnonzero(apart)
+        same = values[at] == values[i]
+        take = same.sum(axis=1) >= LIKELY * SLOTS
+        if band:
+            take &= ~same[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+        if take.any():
+            yield i, at[take]
+
+
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """The rows of ``_blocked`` that have a likely partner in their task, as keys."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        c, comp = frame["c"].to_numpy(), frame["comp"].to_numpy()
-        block, band = frame["block"].to_numpy(), int(frame["band"].iloc[0])
-        values = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), SLOTS)
-        split = frame["low"].iloc[0] != frame["high"].iloc[0]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(frame)):
-            apart = comp != comp[i]
-            if split:
-                apart &= block != block[i]
-            at = np.flatnonzero(apart)
-            if not len(at):
-                continue
-            same = values[at] == values[i]
-            agree = same.sum(axis=1)
-            likely = agree >= LIKELY * SLOTS
-            if last:
-                first = same[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1) if band else np.zeros(len(at), bool)
-                take = at[likely & ~first & (c[at] > c[i])]
-            else:
-                take = at[[int(np.argmax(agree))]] if likely.any() else at[:0]
-            found.append((np.full(len(take), c[i]), c[take]))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    pairs = rows.groupBy("bucket", "low", "high").applyInPandas(work, "a long, b long")
-    return stored(pairs.distinct(), "pairs")
+        comp, found = frame["comp"].to_numpy(), np.zeros(len(frame), bool)
+        for i, at in _likely(frame, lambda i, c: comp == comp[i]):
+            found[i] = True
+            found[at] = True
+        return frame.loc[found, ["bucket", "low", "high", "c"]]
+
+    return rows.groupBy("bucket", "low", "high").applyInPandas(work, "bucket long, low int, high int, c long")
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that join components, found on the full sets in ``set``; in a task no two join the same ones."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        _, comp = np.unique(frame["comp"].to_numpy(), return_inverse=True)
+        c, links = frame["c"].to_numpy(), []
+        sets = [np.frombuffer(x, np.uint64) for x in frame["set"]]
+        sizes = np.array([len(x) for x in sets])
+        for i, at in _likely(frame, lambda i, _: comp == comp[i]):
+            for a in range(0, len(at), 256):
+                part = at[a : a + 256]
+                part = part[comp[part] != comp[i]]
+                if not len(part):
+                    continue
+                inside = np.isin(np.concatenate([sets[j] for j in part]), sets[i])
+                borders = np.concatenate([[0], np.cumsum(sizes[part])])
+                running = np.concatenate([[0], np.cumsum(inside)])
+                shared = running[borders[1:]] - running[borders[:-1]]
+                for j in part[similar_enough(shared, sizes[part] + sizes[i] - shared)]:
+                    if comp[j] != comp[i]:
+                        comp[comp == comp[j]] = comp[i]
+                        links.append((c[i], c[j]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("bucket", "low", "high").applyInPandas(work, "a long, b long")
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """``(c, set binary)``: the sorted 64-bit shingle hashes of each text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes, borders in _sets(batch, "text"):
+                yield pa.record_batch([part.column("c"), pa.array([hashes[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])], pa.binary())], ["c", "set"])
+
+    return texts.select("c", "text").mapInArrow(work, "c long, set binary")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -247,11 +289,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     star = members.where("c <> centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct()
     comps = components(nodes, verified(star, near_texts))
     # A bucket of two is settled by its star.
-    crowded = members.where("n > 2").select("bucket", "band", "c").join(sketches.select("c", "signature"), "c")
-    for last in (False, True):
-        more = _between(verified(_partners(crowded.join(comps, "c"), last), near_texts), comps)
-        roots = components(comps.select(F.col("comp").alias("c")).distinct(), more).select(F.col("c").alias("comp"), F.col("comp").alias("root"))
-        comps = stored(comps.join(roots, "comp").select("c", F.col("root").alias("comp")), "components")
+    crowded = members.where("n > 2").select("bucket", "band", "c").join(sketches.select("c", "signature", "size"), "c")
+    rows = stored(_blocked(crowded.join(comps, "c")), "open")
+    keys = ["bucket", "low", "high", "c"]
+    paired = stored(_with_partners(rows), "paired")
+    sets = full_sets(near_texts.join(paired.select("c").distinct(), "c", "left_semi"))
+    links = _between(stored(_links(rows.join(paired, keys, "left_semi").join(sets, "c")), "links"), comps)
+    roots = components(comps.select(F.col("comp").alias("c")).distinct(), links).select(F.col("c").alias("comp"), F.col("comp").alias("root"))
+    comps = comps.join(roots, "comp").select("c", F.col("root").alias("comp"))
     placed = classes.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = placed.groupBy("comp").agg(F.min("doc").alias("component_id"))
     placed = placed.join(least, "comp").select("name", "component_id")

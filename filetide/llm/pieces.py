@@ -24,12 +24,14 @@ replay merges, so ids differ from those of greedy merging.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ LITERAL = "\udc81"  # stands for a blank sign of the text itself; no text can ho
 CHUNK = 16_384
 GIANT = 4 * CHUNK
 SPAN = 256
-CACHE = 300_000  # words remembered by a Python worker
+CACHE = 250_000  # words in each of two generations that a Python worker remembers
 NEVER = -(1 << 60)
 
 
@@ -74,45 +76,50 @@ class Pieces:
         crosses = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
         self.words = re.compile("(?s).+" if crosses or lines else f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-        self.known: dict[str, tuple[bytes, int]] = {}
+        # Every beginning of a piece, with the piece's id and score where it is one itself.
+        self.starts: dict[str, tuple[int, int] | None] = {p[:j]: None for p in self.ids for j in range(1, len(p))}
+        self.starts.update(self.ids)
+        self.known = _Known(self)
+
+    def _values(self, word: str) -> tuple[list[int], list[int], list[int]]:
+        """Best score up to each place, and the start and id of its last piece (-1: byte pieces)."""
+        n, starts, penalty = len(word), self.starts, self.penalty
+        value, start, last = [0] + [NEVER] * n, [0] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            here = value[i]
+            for j in range(i + 1, n + 1):
+                hit = starts.get(word[i:j], 0)
+                if hit is None:
+                    continue
+                if hit == 0:
+                    break
+                total = here + hit[1]
+                if total > value[j]:
+                    value[j], start[j], last[j] = total, i, hit[0]
+            if here + penalty > value[i + 1] and word[i] not in self.ids:
+                value[i + 1], start[i + 1], last[i + 1] = here + penalty, i, -1
+        return value, start, last
 
     def best(self, word: str) -> tuple[bytes, int]:
         """Ids (32-bit little-endian) and score of the best segmentation; of equals, the one with longer last pieces."""
-        n, ids, longest = len(word), self.ids, self.longest
-        value, back = [0] + [NEVER] * n, [(0, ())] * (n + 1)
-        for i in range(n):
-            here = value[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                hit = ids.get(word[i:j])
-                if hit is not None and here + hit[1] > value[j]:
-                    value[j], back[j] = here + hit[1], (i, (hit[0],))
-            c = word[i]
-            if c not in ids and here + self.penalty > value[i + 1]:
-                raw = (BLANK if c == LITERAL else c).encode()
-                value[i + 1], back[i + 1] = here + self.penalty, (i, tuple(self.bytes[x] for x in raw))
+        value, start, last = self._values(word)
         out: list[int] = []
-        j = n
+        j = len(word)
         while j:
-            i, piece = back[j]
-            out.extend(reversed(piece))
+            i = start[j]
+            if last[j] >= 0:
+                out.append(last[j])
+            else:
+                raw = (BLANK if word[i] == LITERAL else word[i]).encode()
+                out.extend(self.bytes[x] for x in reversed(raw))
             j = i
-        return np.array(out[::-1], "<i4").tobytes(), value[n]
-
-    def word(self, word: str) -> tuple[bytes, int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.best(word)
-            if len(word) <= 64:
-                self.known[word] = found
-        return found
+        return struct.pack(f"<{len(out)}i", *out[::-1]), value[len(word)]
 
     def encode(self, marked: str) -> bytes:
-        return b"".join([self.word(w)[0] for w in self.words.findall(marked)])
+        return b"".join(map(self.known.__getitem__, self.words.findall(marked)))
 
     def score(self, marked: str) -> int:
-        return sum(self.word(w)[1] for w in self.words.findall(marked))
+        return sum(self._values(w)[0][-1] for w in self.words.findall(marked))
 
     def decode(self, ids: np.ndarray) -> str:
         joined = b"".join([self.texts[i] for i in ids.tolist()])
@@ -140,17 +147,26 @@ class Pieces:
         return out
 
     def _forward(self, text: str) -> list[int]:
-        n, ids, longest = len(text), self.ids, self.longest
-        value = [0] + [NEVER] * n
-        for i in range(n):
-            here = value[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                hit = ids.get(text[i:j])
-                if hit is not None and here + hit[1] > value[j]:
-                    value[j] = here + hit[1]
-            if text[i] not in ids and here + self.penalty > value[i + 1]:
-                value[i + 1] = here + self.penalty
-        return value
+        return self._values(text)[0]
+
+
+class _Known(dict):
+    """Ids of words met lately. When it is full, the words of the generation before are given up."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces, self.older = pieces, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.pieces.best(word)[0]
+        if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -197,7 +213,8 @@ def encode_column(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = loaded(path)
         for texts in batches:
-            yield _id_lists([pieces.encode(marked(t or "")) for t in texts.to_pylist()])
+            raw = [pieces.encode(marked(t or "")) for a in range(0, len(texts), 256) for t in texts.slice(a, 256).to_pylist()]
+            yield _id_lists(raw)
 
     return ids(text)
 
@@ -207,8 +224,9 @@ def decode_column(ids: Column, path: str) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = loaded(path)
         for lists in batches:
-            flat, borders = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in lists])])
-            yield pa.array([pieces.decode(flat[a:b]) for a, b in zip(borders[:-1], borders[1:])], pa.string())
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = np.cumsum(sizes)
+            yield pa.array([pieces.decode(flat[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist())], pa.string())
 
     return text(ids)
 

@@ -1,14 +1,16 @@
 """Snapshot history: retention, growth, anomalies, regression, smoothing, thresholds.
 
-A history is kept to the newest ``RETAINED`` snapshots per target, as the store
-that writes it does. That is what bounds the per-target arrays further down.
+Retention belongs to the store (``retain_newest``); analysis reads every row it is given.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,29 +106,68 @@ def history_rows(snapshots: DataFrame) -> DataFrame:
     return growth(snapshots).withColumn("change", label)
 
 
-def _median(values: Column) -> Column:
-    """Median of a sorted, non-empty array; the mean of the middle two when even."""
-    n = F.size(values)
-    upper = F.element_at(values, (n / 2).cast("int") + 1)
-    lower = F.element_at(values, F.greatest((n / 2).cast("int"), F.lit(1)))
-    return F.when(n % 2 == 1, upper).otherwise((lower + upper) / 2.0)
+class Baseline:
+    """Median and MAD of all rates seen so far, each in logarithmic time."""
+
+    def __init__(self) -> None:
+        self.rates: list[float] = []
+
+    def add(self, rate: float) -> None:
+        insort(self.rates, rate)
+
+    def median(self) -> float:
+        n = len(self.rates)
+        return self.rates[n // 2] if n % 2 else (self.rates[n // 2 - 1] + self.rates[n // 2]) / 2.0
+
+    def _kth(self, median: float, k: int) -> float:
+        """The ``k``-th smallest distance to the median (from 0): two sorted runs leave it to either side."""
+        rates, at = self.rates, bisect_left(self.rates, median)
+        low, high = max(0, k + 1 - (len(rates) - at)), min(at, k + 1)
+        while low < high:  # how many of the k + 1 nearest lie below the median
+            take = (low + high) // 2
+            right = k + 1 - take
+            if right > 0 and median - rates[at - take - 1] < rates[at + right - 1] - median:
+                low = take + 1
+            else:
+                high = take
+        right = k + 1 - low
+        return max(median - rates[at - low] if low else 0.0, rates[at + right - 1] - median if right else 0.0)
+
+    def mad(self, median: float) -> float:
+        n = len(self.rates)
+        return self._kth(median, n // 2) if n % 2 else (self._kth(median, n // 2 - 1) + self._kth(median, n // 2)) / 2.0
+
+
+VERDICTS = ["baseline_count", "baseline_median", "baseline_mad"]
+
+
+def _causal(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["ts", "snapshot_id"], kind="stable")
+    base, rows = Baseline(), []
+    for rate in frame["rate"]:
+        n = len(base.rates)
+        median = base.median() if n >= MIN_DELTAS else np.nan
+        rows.append((n, median, max(base.mad(median), MAD_FLOOR) if n >= MIN_DELTAS else np.nan))
+        base.add(rate)
+    columns = {name: [r[i] for r in rows] for i, name in enumerate(VERDICTS)}
+    return frame.assign(**columns)
 
 
 def anomalies(snapshots: DataFrame) -> DataFrame:
-    """Causal surge test: each change against the median and MAD of strictly earlier rates.
+    """Causal surge test: each change against the median and MAD of all strictly earlier rates.
 
-    Later snapshots never change a verdict. The arrays hold at most ``RETAINED``
-    rates because only the retained history is read.
+    Later snapshots never change a verdict. The baseline of a target is kept in
+    order by one task, with 8 bytes a snapshot and work in proportion to
+    ``n log n``; targets are apart from each other.
     """
-    kept = retain_newest(snapshots, ["target_key"], ["ts", "snapshot_id"])
-    rates = growth(kept).where("has_prev")
-    earlier = Window.partitionBy("target_key").orderBy("ts", "snapshot_id").rowsBetween(Window.unboundedPreceding, -1)
-    based = rates.withColumn("_base", F.sort_array(F.collect_list("rate").over(earlier)))
-    based = based.withColumn("baseline_count", F.size("_base"))
+    rates = growth(snapshots).where("has_prev").drop("has_prev")
+    narrow = rates.select("target_key", "ts", "snapshot_id", "rate")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
+    base = narrow.groupBy("target_key").applyInPandas(_causal, f"{kinds}, baseline_count int, baseline_median double, baseline_mad double")
+    # NaN stands for "too few rates" on the way out of Python.
+    base = base.withColumns({c: F.when(F.col("baseline_count") >= MIN_DELTAS, F.col(c)) for c in VERDICTS[1:]})
+    based = rates.join(base.drop("rate"), ["target_key", "ts", "snapshot_id"])
     enough = F.col("baseline_count") >= MIN_DELTAS
-    based = based.withColumn("baseline_median", F.when(enough, _median(F.col("_base"))))
-    deviations = F.sort_array(F.transform("_base", lambda r: F.abs(r - F.col("baseline_median"))))
-    based = based.withColumn("baseline_mad", F.when(enough, F.greatest(_median(deviations), F.lit(MAD_FLOOR))))
     z = F.lit(Z_SCALE) * F.abs(F.col("rate") - F.col("baseline_median")) / F.col("baseline_mad")
     surge = (
         enough
@@ -138,7 +179,6 @@ def anomalies(snapshots: DataFrame) -> DataFrame:
         based.withColumn("z_score", F.when(enough, z))
         .withColumn("insufficient_baseline", ~enough)
         .withColumn("is_anomaly", F.coalesce(surge, F.lit(False)))
-        .drop("_base", "has_prev")
     )
 
 
@@ -151,9 +191,8 @@ def mark_anomalies(rows: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def rate_baseline(snapshots: DataFrame) -> DataFrame:
-    """Median daily rate and MAD (with its floor) of each target over its retained history."""
-    kept = retain_newest(snapshots, ["target_key"], ["ts", "snapshot_id"])
-    rates = growth(kept).where("has_prev").select("target_key", "rate")
+    """Median daily rate and MAD (with its floor) of each target over its whole history."""
+    rates = growth(snapshots).where("has_prev").select("target_key", "rate")
     middle = rates.groupBy("target_key").agg(
         F.percentile("rate", F.lit(0.5)).alias("median_rate"), F.count("*").alias("_n")
     )
@@ -253,31 +292,43 @@ def model_confidence(fitted: DataFrame) -> DataFrame:
     return fitted.withColumn("confidence", label).withColumn("monthly_bytes", F.col("slope") * DAYS_PER_MONTH)
 
 
+def _steps(maps: Column) -> Column:
+    """Maps of (level, trend) composed in order: a 2 x 2 matrix ``m`` and a shift ``v``."""
+    def then(one: Column, two: Column) -> Column:
+        cell = lambda i, j: two[f"m{i}0"] * one[f"m0{j}"] + two[f"m{i}1"] * one[f"m1{j}"]
+        shift = lambda i: two[f"m{i}0"] * one["v0"] + two[f"m{i}1"] * one["v1"] + two[f"v{i}"]
+        return F.struct(*[cell(i, j).alias(f"m{i}{j}") for i in (0, 1) for j in (0, 1)], shift(0).alias("v0"), shift(1).alias("v1"))
+
+    same = {"m00": 1.0, "m01": 0.0, "m10": 0.0, "m11": 1.0, "v0": 0.0, "v1": 0.0}
+    start = F.struct(*[F.lit(v).alias(k) for k, v in same.items()])
+    fields = lambda x: F.struct(*[x[k].alias(k) for k in same])
+    return F.aggregate(maps, start, lambda one, two: then(one, fields(two)))
+
+
 def holt(snapshots: DataFrame) -> DataFrame:
-    """Holt's linear smoothing for uneven spacing: a fold over each target's retained history.
+    """Holt's linear smoothing for uneven spacing, over each target's whole history.
 
-    The fold starts at the first point with the first slope as trend, and is
-    applied from the second point on; at most ``RETAINED`` points per target.
+    It starts at the first point with the first slope as trend and is applied
+    from the second point on. A step is an affine map of (level, trend), so the
+    steps of a month are composed on their own, then the months.
     """
-    kept = retain_newest(snapshots, ["target_key"], ["ts", "snapshot_id"])
-    series = kept.groupBy("target_key").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.unix_micros("ts").alias("us"), "snapshot_id", F.col("total_bytes").cast("double").alias("y"),
-        ))).alias("pts")
-    ).where(F.size("pts") >= MIN_SCANS)
-    p = lambda i: F.element_at("pts", i)
-    day = F.lit(86_400_000_000.0)
-    step = lambda a, b: F.greatest((b - a) / day, F.lit(MIN_HOLT_STEP))
-    start = F.struct(
-        p(1)["us"].alias("us"), p(1)["y"].alias("level"),
-        ((p(2)["y"] - p(1)["y"]) / step(p(1)["us"], p(2)["us"])).alias("trend"),
+    moved = growth(snapshots).where("has_prev")
+    dt = F.greatest(days_between("ts", "prev_ts"), F.lit(MIN_HOLT_STEP))
+    y = F.col("total_bytes").cast("double")
+    order = [F.col("ts").alias("ts"), F.col("snapshot_id").alias("snapshot_id")]
+    step = F.struct(
+        *order, F.lit(1 - ALPHA).alias("m00"), ((1 - ALPHA) * dt).alias("m01"), (-ALPHA * BETA / dt).alias("m10"),
+        F.lit(BETA * (1 - ALPHA) + 1 - BETA).alias("m11"), (ALPHA * y).alias("v0"), (ALPHA * BETA * y / dt).alias("v1"),
     )
-
-    def advance(state: Column, point: Column) -> Column:
-        dt = step(state["us"], point["us"])
-        level = ALPHA * point["y"] + (1.0 - ALPHA) * (state["level"] + state["trend"] * dt)
-        trend = BETA * ((level - state["level"]) / dt) + (1.0 - BETA) * state["trend"]
-        return F.struct(point["us"].alias("us"), level.alias("level"), trend.alias("trend"))
-
-    folded = series.select("target_key", F.aggregate(F.slice("pts", 2, RETAINED), start, advance).alias("_end"))
-    return folded.select("target_key", F.col("_end.level").alias("level"), F.col("_end.trend").alias("trend"))
+    first = F.min(F.struct(*order, F.col("prev_total_bytes").cast("double").alias("y0"), y.alias("y1"), dt.alias("dt"))).alias("first")
+    months = moved.groupBy("target_key", F.date_trunc("month", "ts").alias("month")).agg(
+        F.array_sort(F.collect_list(step)).alias("steps"), first, F.count("*").alias("n")
+    )
+    months = months.select("target_key", "month", _steps(F.col("steps")).alias("map"), "first", "n")
+    whole = months.groupBy("target_key").agg(
+        F.array_sort(F.collect_list(F.struct("month", "map.*"))).alias("maps"), F.min("first").alias("first"), F.sum("n").alias("n")
+    ).where(F.col("n") + 1 >= MIN_SCANS)
+    level, trend = F.col("first.y0"), (F.col("first.y1") - F.col("first.y0")) / F.col("first.dt")
+    ended = whole.select("target_key", _steps(F.col("maps")).alias("m"), level.alias("l"), trend.alias("t"))
+    end = lambda i: F.col(f"m.m{i}0") * F.col("l") + F.col(f"m.m{i}1") * F.col("t") + F.col(f"m.v{i}")
+    return ended.select("target_key", end(0).alias("level"), end(1).alias("trend"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,23 +17,21 @@ OUTPUT = (
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def verdict(rates: list[float], delta: int, rate: float) -> tuple[float | None, bool]:
+def verdict(base: H.Baseline, delta: int, rate: float) -> tuple[float | None, bool]:
     """Z-score and verdict of a change against strictly earlier rates."""
-    if len(rates) < H.MIN_DELTAS:
+    if len(base.rates) < H.MIN_DELTAS:
         return None, False
-    base = np.asarray(rates)
-    median = float(np.median(base))
-    mad = max(float(np.median(np.abs(base - median))), H.MAD_FLOOR)
-    z = H.Z_SCALE * abs(rate - median) / mad
+    median = base.median()
+    z = H.Z_SCALE * abs(rate - median) / max(base.mad(median), H.MAD_FLOOR)
     return z, bool(delta >= H.MIN_ANOMALY_BYTES and rate > median and z > H.Z_LIMIT)
 
 
 class SurgeDetector(StatefulProcessor):
-    """Per target: the last snapshot, the newest rates (bounded) and a count of late rows."""
+    """Per target: the last snapshot, all rates (8 bytes each) and a count of late rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "us bigint, total bigint")
-        self.rates = handle.getValueState("rates", "rates array<double>")
+        self.rates = handle.getListState("rates", "rate double")
         self.late = handle.getValueState("late", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -42,7 +39,8 @@ class SurgeDetector(StatefulProcessor):
         batch["us"] = pd.to_datetime(batch["ts"]).astype("datetime64[us]").astype("int64")
         batch = batch.sort_values(["us", "snapshot_id"], kind="stable")
         last = self.last.get() if self.last.exists() else None
-        rates = list(self.rates.get()[0]) if self.rates.exists() else []
+        base, fresh = H.Baseline(), []
+        base.rates = sorted(r[0] for r in self.rates.get()) if self.rates.exists() else []
         late = self.late.get()[0] if self.late.exists() else 0
         out = []
         for snapshot_id, ts, us, total in zip(batch["snapshot_id"], batch["ts"], batch["us"], batch["total_bytes"]):
@@ -53,13 +51,15 @@ class SurgeDetector(StatefulProcessor):
                 days = max((us - last[0]) / 86_400_000_000.0, H.MIN_GAP_DAYS)
                 delta = int(total - last[1])
                 rate = delta / days
-                z, surge = verdict(rates, delta, rate)
-                out.append((key[0], snapshot_id, ts, delta, rate, len(rates), z, surge, late))
-                rates = (rates + [rate])[-(H.RETAINED - 1):]
+                z, surge = verdict(base, delta, rate)
+                out.append((key[0], snapshot_id, ts, delta, rate, len(base.rates), z, surge, late))
+                base.add(rate)
+                fresh.append((rate,))
             last = (int(us), int(total))
         if last is not None:
             self.last.update(last)
-        self.rates.update((rates,))
+        if fresh:
+            self.rates.appendList(fresh)
         self.late.update((late,))
         columns = [f.split()[0] for f in OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=columns).astype({"baseline_count": "int32", "late_dropped": "int64", "delta_bytes": "int64"})
@@ -71,8 +71,8 @@ class SurgeDetector(StatefulProcessor):
 def stream_growth_alerts(snapshots: DataFrame) -> DataFrame:
     """Verdict of every snapshot as it arrives. The session needs the RocksDB state store (``STATE_STORE``).
 
-    Memory per target is bounded by the retained rates; a batch of one target is
-    sorted inside its task, so triggers should keep batches moderate.
+    State per target is its rates; a batch of one target is sorted inside its
+    task, so triggers should keep batches moderate.
     """
     return snapshots.groupBy("target_key").transformWithStateInPandas(
         statefulProcessor=SurgeDetector(), outputStructType=OUTPUT, outputMode="append", timeMode="none"

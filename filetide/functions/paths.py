@@ -34,12 +34,13 @@ def path_key(path: Column | str) -> Column:
 def map_drives(df: DataFrame, drives: DataFrame, path: str = "path") -> DataFrame:
     """Replace a mapped drive letter by its share.
 
-    ``drives(drive, remote)`` has one row per letter, so at most 26 rows: that
-    is the size bound of the broadcast.
+    ``drives(drive, remote)`` may spell a letter in several ways; rows without a
+    letter map nothing. One row per letter is left, at most 26: that is the size
+    bound of the broadcast.
     """
-    known = F.broadcast(
-        drives.groupBy(F.upper("drive").alias("_drive")).agg(F.min("remote").alias("_remote")).limit(26)
-    )
+    named = F.upper(F.regexp_extract(F.trim("drive"), r"^([A-Za-z]):?[\\/]?$", 1))
+    letters = drives.select(F.concat(F.when(named != "", named), F.lit(":")).alias("_drive"), "remote")
+    known = F.broadcast(letters.where(F.col("_drive").isNotNull()).groupBy("_drive").agg(F.min("remote").alias("_remote")))
     canonical = canonical_path(path)
     letter = F.upper(F.regexp_extract(canonical, "^([A-Za-z]:)", 1))
     rest = F.expr("substring(_canonical, 3)")

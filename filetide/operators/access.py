@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def with_primary_groups(member_of: DataFrame, primary: DataFrame) -> DataFrame:
     return member_of.unionByName(edges).distinct()
 
 
-def group_closure(member_of: DataFrame, max_depth: int = 64) -> DataFrame:
+def group_closure(member_of: DataFrame) -> DataFrame:
     """``(member_sid, group_sid, depth)`` with the shortest depth, at any nesting, safe for cycles.
 
     The loop closes the graph of groups only, which has no user in it. Each round
@@ -47,7 +49,7 @@ def group_closure(member_of: DataFrame, max_depth: int = 64) -> DataFrame:
     step = cut_lineage(nested.select(F.col("member_sid").alias("via"), F.col("group_sid").alias("next")))
     known = cut_lineage(step.select(F.col("via").alias("start"), F.col("next").alias("group_sid"), F.lit(1).alias("depth")))
     newest = known
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         reached = (
             newest.join(step, newest["group_sid"] == step["via"])
             .select("start", F.col("next").alias("group_sid")).distinct()

@@ -12,9 +12,6 @@ from ..functions import terms as T
 from ..functions.markup import markup_to_text
 from ..functions.snippets import three_line_excerpt
 
-HEAD = 4096  # fixed value: bytes that decide the encoding
-
-
 # --- paged documents -------------------------------------------------------
 
 def match_pages(pages: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
@@ -135,14 +132,13 @@ def trigram_search(index: DataFrame, docs: DataFrame, query: str, key: str = "pa
 # --- decoding --------------------------------------------------------------
 
 def _decode(raw: bytes) -> str:
-    head = raw[:HEAD]
-    if head[:2] == b"\xff\xfe":
+    if raw[:2] == b"\xff\xfe":
         return raw[2:].decode("utf-16-le", "replace")
-    if head[:2] == b"\xfe\xff":
+    if raw[:2] == b"\xfe\xff":
         return raw[2:].decode("utf-16-be", "replace")
-    if head[:3] == b"\xef\xbb\xbf":
+    if raw[:3] == b"\xef\xbb\xbf":
         return raw[3:].decode("utf-8", "replace")
-    if len(head) >= 8 and head[1::2].count(0) > len(head) // 4:
+    if len(raw) >= 8 and raw[1::2].count(0) > len(raw) // 4:
         return raw.decode("utf-16-le", "replace")
     try:
         return raw.decode("utf-8")
@@ -154,7 +150,7 @@ def decode_text(files: DataFrame) -> DataFrame:
     """``file_text`` from ``file_content``: byte order mark, UTF-16 by null bytes, strict UTF-8, else CP932.
 
     Encodings are the one thing expressions cannot detect, so bytes go through
-    Python in Arrow batches. The whole content decides between UTF-8 and CP932.
+    Python in Arrow batches. The whole content decides.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

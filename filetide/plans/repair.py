@@ -29,10 +29,10 @@ def media_report(entries: DataFrame, optimised: DataFrame, **options: object) ->
 
 def run_search(
     entries: DataFrame, spec: search.SearchSpec, as_of: datetime, texts: DataFrame | None = None, links: DataFrame | None = None,
-    order: str = "Relevance", limit: int = search.MAX_ROWS,
+    order: str = "Relevance",
 ) -> dict[str, DataFrame]:
-    """Rows for display and exact totals: two plans, so the limit never touches the totals."""
+    """All hits in order and their totals; ``search.shown``-like cuts are the caller's."""
     found = search.hit_columns(search.hits(entries, spec, texts, links))
     words: Sequence[str] = [*spec.words(), *spec.phrases]
     scored = found.withColumn("relevance", terms.relevance(words, as_of, "snippet"))
-    return {"totals": search.totals(found), "rows": search.sort_hits(scored, order).limit(limit)}
+    return {"totals": search.totals(found), "rows": search.sort_hits(scored, order)}

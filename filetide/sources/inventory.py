@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import paths as P
+from ..session import cut_lineage
 
 
 def entries_from_listing(listing: DataFrame, root: str, snapshot_id: str) -> DataFrame:
@@ -61,50 +62,40 @@ def read_content(spark: SparkSession, folder: str, glob: str | None = None) -> D
 
 # --- design projects -------------------------------------------------------
 
-def design_schema(depth: int) -> T.StructType:
-    """Schema of a nested design file down to ``depth`` levels of folders."""
-    acl = T.StructType([
-        T.StructField("AccountName", T.StringType()), T.StructField("Rights", T.IntegerType()),
-        T.StructField("AccessType", T.StringType()),
-    ])
-    node: list[T.StructField] = [
-        T.StructField("Name", T.StringType()), T.StructField("EstimatedSizeBytes", T.LongType()),
-        T.StructField("EstimatedFileCount", T.LongType()), T.StructField("InheritAcl", T.BooleanType()),
-        T.StructField("MappedSourcePaths", T.ArrayType(T.StringType())), T.StructField("AclEntries", T.ArrayType(acl)),
-    ]
-    children: T.DataType | None = None
-    for _ in range(depth):
-        fields = node + ([T.StructField("Children", children)] if children else [])
-        children = T.ArrayType(T.StructType(fields))
-    return T.StructType([T.StructField("ProjectName", T.StringType()), T.StructField("RootFolders", children)])
-
-
-def load_design(spark: SparkSession, path: str, depth: int = 12) -> dict[str, DataFrame]:
-    """``plan_nodes``, ``plan_sources`` and ``plan_aces`` of nested design files, one explode per level.
-
-    Node ids are positions (``0.1.3``), parents and levels follow from the nesting.
+DESIGN = "ProjectName STRING, RootFolders ARRAY<STRING>"
+DESIGN_NODE = (
+    "Name STRING, EstimatedSizeBytes BIGINT, EstimatedFileCount BIGINT, InheritAcl BOOLEAN, MappedSourcePaths ARRAY<STRING>, "
+    "AclEntries ARRAY<STRUCT<AccountName: STRING, Rights: INT, AccessType: STRING>>, Children ARRAY<STRING>"
+)
+
+
+def load_design(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``plan_nodes``, ``plan_sources`` and ``plan_aces`` of nested design files, of any depth.
+
+    A level keeps its children as JSON texts and the next one parses them, until
+    none is left; each level is written to the shared folder. Node ids are
+    positions (``0.1.3``), parents and levels follow from the nesting.
     """
-    level = spark.read.schema(design_schema(depth)).option("multiLine", True).json(path).select(
-        F.col("ProjectName").alias("plan_id"), F.lit(None).cast("string").alias("parent_id"),
-        F.posexplode("RootFolders").alias("ord", "node"),
+    tops = spark.read.schema(DESIGN).option("multiLine", True).json(path)
+    below = tops.select(F.col("ProjectName").alias("plan_id"), F.lit(None).cast("string").alias("parent_id"), F.posexplode("RootFolders").alias("ord", "json"))
+    levels: list[DataFrame] = []
+    while True:
+        node = F.from_json("json", DESIGN_NODE)
+        rows = below.withColumn("node_id", F.concat_ws(".", "parent_id", F.col("ord").cast("string"))).withColumn("node", node)
+        level = cut_lineage(rows.select("plan_id", "node_id", "parent_id", "ord", F.lit(len(levels)).alias("level"), "node.*"))
+        if levels and level.isEmpty():
+            break
+        levels.append(level)
+        below = level.select("plan_id", F.col("node_id").alias("parent_id"), F.posexplode("Children").alias("ord", "json"))
+    flat = reduce(DataFrame.unionByName, levels)
+    nodes = flat.select(
+        "plan_id", "node_id", "parent_id", "ord", F.col("Name").alias("name"), "level", F.col("EstimatedSizeBytes").alias("est_size"),
+        F.col("EstimatedFileCount").alias("est_files"), F.coalesce("InheritAcl", F.lit(True)).alias("inherit_acl"),
     )
-    flat = None
-    for number in range(depth):
-        node_id = F.concat_ws(".", "parent_id", F.col("ord").cast("string"))
-        rows = level.withColumn("node_id", node_id)
-        part = rows.select(
-            "plan_id", "node_id", "parent_id", "ord", F.col("node.Name").alias("name"), F.lit(number).alias("level"),
-            F.col("node.EstimatedSizeBytes").alias("est_size"), F.col("node.EstimatedFileCount").alias("est_files"),
-            F.coalesce("node.InheritAcl", F.lit(True)).alias("inherit_acl"), F.col("node.MappedSourcePaths").alias("_sources"),
-            F.col("node.AclEntries").alias("_aces"),
-        )
-        flat = part if flat is None else flat.unionByName(part)
-        if number + 1 < depth:
-            level = rows.select("plan_id", F.col("node_id").alias("parent_id"), F.posexplode("node.Children").alias("ord", "node"))
     return {
-        "plan_nodes": flat.drop("_sources", "_aces"),
-        "plan_sources": flat.select("plan_id", "node_id", F.explode("_sources").alias("source_path")),
-        "plan_aces": flat.select("plan_id", "node_id", F.posexplode("_aces").alias("ace_order", "a")).select(
+        "plan_nodes": nodes,
+        "plan_sources": flat.select("plan_id", "node_id", F.explode("MappedSourcePaths").alias("source_path")),
+        "plan_aces": flat.select("plan_id", "node_id", F.posexplode("AclEntries").alias("ace_order", "a")).select(
             "plan_id", "node_id", "ace_order", F.col("a.AccountName").alias("account"), F.col("a.Rights").alias("rights"),
             F.col("a.AccessType").alias("access_type"),
         ),

@@ -214,7 +214,8 @@ def children(entries: DataFrame, parent: str) -> DataFrame:
 def ordered_children(nodes: DataFrame) -> DataFrame:
     """Folders before files, larger first."""
     name = "name" if "name" in nodes.columns else "leaf"
-    return nodes.orderBy(F.desc("is_dir"), F.desc("size"), name)
+    tie = [c for c in ("path_key", "folder_key") if c in nodes.columns]
+    return nodes.orderBy(F.desc("is_dir"), F.desc("size"), name, *tie)
 
 
 def preorder_key(key: Column | str) -> Column:

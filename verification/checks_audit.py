@@ -8,7 +8,7 @@ from filetide.functions import naming
 from filetide.operators import audit, cleanup, dedupe, hygiene
 from filetide.plans.audit import AuditOptions, collect_reasons, hygiene_audit
 
-from .registry import ORACLE, add, once, up
+from .registry import ORACLE, add, once, positioned, up
 
 AS_OF = datetime(2004, 6, 1)
 DOCS_AS_OF = datetime(2024, 2, 1)
@@ -246,12 +246,13 @@ _ORDER = {
     "IssueType": ("IssueType", False, "ty, g, is_original DESC, path_key"),
 }
 ORACLE["orderable"] = """
-  SELECT f.*, COALESCE(b.name, string_split(f.path_key, '/')[-1] || '/') AS name, b.modified_at, COALESCE(d.group_index, 2147483647) AS g,
+  SELECT f.*, COALESCE(b.name, string_split(f.path_key, '/')[-1] || '/') AS name,
+    COALESCE(b.modified_at, (SELECT MAX(x.modified_at) FROM {two_roots} x WHERE starts_with(x.path_key, f.path_key || '/'))) AS modified_at, COALESCE(d.group_index, 2147483647) AS g,
     list_position(['PathTooLong', 'InvalidChar', 'Dormant', 'VersionFamily', 'ExtractedArchive', 'GraveyardTree', 'Duplicate'], issue_type) AS ty
   FROM {flagged} f LEFT JOIN {two_roots} b USING (path_key) LEFT JOIN {dup_numbered} d USING (path_key)"""
 for _key, (_name, _desc, _sql) in _ORDER.items():
-    add(f"k5_order_{_key.lower()}", lambda t, n=_name, d=_desc: audit.sort(candidates(t), n, d).limit(150).select("path_key"),
-        f"SELECT path_key FROM {{orderable}} ORDER BY {_sql} LIMIT 150")
+    add(f"k5_order_{_key.lower()}", lambda t, n=_name, d=_desc: positioned(audit.sort(candidates(t), n, d), "path_key"),
+        f"SELECT path_key, row_number() OVER (ORDER BY {_sql}) AS position FROM {{orderable}}")
 add("k6_shown_rows", lambda t: audit.shown(candidates(t), 300)[0].select("path_key"),
     "SELECT path_key FROM {orderable} ORDER BY can_clean DESC, score DESC, size DESC, lower(name), path_key LIMIT 300")
 add("k6_matched_count", lambda t: audit.shown(candidates(t), 300)[1], "SELECT COUNT(*) AS matched FROM {combined}")

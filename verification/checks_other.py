@@ -12,7 +12,7 @@ from filetide.sources import inventory, reports
 from filetide.streaming import alerts, history as stream_history
 
 from .checks_audit import candidates
-from .registry import ORACLE, add, once
+from .registry import ORACLE, add, once, positioned
 
 TARGET = "/target"
 BUDGET = 60_000_000_000
@@ -186,7 +186,7 @@ def nested_design(t):
     roots = child(0).join(mid, ["plan_id", "node_id"], "left").select(F.col("plan_id").alias("ProjectName"), F.array(node([F.col("Children")])).alias("RootFolders"))
     folder = scratch_path(t.spark, "design")
     roots.repartition("ProjectName").write.partitionBy().option("maxRecordsPerFile", 1).json(folder)
-    return inventory.load_design(t.spark, folder, depth=4)["plan_nodes"]
+    return inventory.load_design(t.spark, folder)["plan_nodes"]
 
 
 add("a20_load_design", lambda t: nested_design(t).select("plan_id", "name", "level", "est_size", "est_files", "inherit_acl"),
@@ -238,7 +238,7 @@ ORACLE["media_rows"] = """
     CASE WHEN ext IN ('.psd', '.nef') THEN 'Master extension' WHEN contains(path_key, '_master') THEN 'Protected folder name' END AS protection FROM {media})
   WHERE media_class IS NOT NULL AND NOT (media_class = 'Image' AND protection IS NULL AND size < 2097152)"""
 add("f31_media_classes", lambda t: media.classify(t.media).select("path_key", "media_class", "protection"), "SELECT path_key, media_class, protection FROM {media_rows}")
-add("k11_videos", lambda t: media.videos(media.classify(t.media)).limit(50).select("path_key", "size"), "SELECT path_key, size FROM {media_rows} WHERE media_class = 'Video' ORDER BY size DESC, path_key LIMIT 50")
+add("k11_videos", lambda t: positioned(media.videos(media.classify(t.media)), "path_key", "size"), "SELECT path_key, size, row_number() OVER (ORDER BY size DESC, path_key) AS position FROM {media_rows} WHERE media_class = 'Video'")
 ORACLE["media_done"] = "SELECT m.*, o.optimised_size FROM {media_rows} m LEFT JOIN {optimised} o USING (path_key)"
 _MEDIA_TOTALS = """SELECT COUNT(*) FILTER (WHERE media_class <> 'Video') AS images, COUNT(*) FILTER (WHERE media_class = 'Video') AS videos, CAST(SUM(CASE WHEN optimised_size IS NOT NULL THEN size END) AS BIGINT) AS original_bytes,
   CAST(SUM(optimised_size) AS BIGINT) AS optimised_bytes FROM {media_done}"""

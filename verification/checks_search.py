@@ -11,7 +11,7 @@ from filetide.plans.repair import run_search
 from filetide.streaming import hits as stream
 from filetide.session import scratch_path
 
-from .registry import ORACLE, add
+from .registry import ORACLE, add, positioned
 
 AS_OF = datetime(2002, 1, 1)
 DOCS_AS_OF = datetime(2024, 2, 1)
@@ -105,16 +105,15 @@ add("k9_relevance", lambda t: t.estate.select("path_key", terms.relevance(WORDS,
     f"SELECT path_key, {_SCORE} + CASE WHEN {_AGE} <= 7 THEN 5 WHEN {_AGE} <= 30 THEN 3 WHEN {_AGE} <= 365 THEN 1 ELSE 0 END AS relevance FROM {{estate}}")
 for _order, _sql in {"DateDesc": "modified_at DESC", "DateAsc": "modified_at", "CreatedDesc": "created_at DESC", "CreatedAsc": "created_at"}.items():
     add(f"k8_order_{_order.lower()}",
-        lambda t, o=_order: search.sort_hits(search.name_hits(t.estate, SearchSpec(extensions=["tmp"])), o).limit(500).select("path_key"),
-        f"SELECT path_key FROM {{estate}} WHERE ext = '.tmp' ORDER BY {_sql}, path_key LIMIT 500")
+        lambda t, o=_order: positioned(search.sort_hits(search.name_hits(t.estate, SearchSpec(extensions=["tmp"])), o), "path_key"),
+        f"SELECT path_key, row_number() OVER (ORDER BY {_sql}, path_key) AS position FROM {{estate}} WHERE ext = '.tmp'")
 add("j2_search",
-    lambda t: run_search(t.docs, SearchSpec(keyword_groups=[["que", "der"]], content_mode=True), DOCS_AS_OF, t.file_text, limit=300)["rows"].select("path_key", "relevance"),
-    """SELECT path_key, relevance FROM (SELECT path_key, modified_at,
+    lambda t: positioned(run_search(t.docs, SearchSpec(keyword_groups=[["que", "der"]], content_mode=True), DOCS_AS_OF, t.file_text)["rows"], "path_key", "relevance"),
+    """SELECT path_key, relevance, row_number() OVER (ORDER BY relevance DESC, modified_at DESC, path_key) AS position FROM (SELECT path_key, modified_at,
          (CASE WHEN contains(lname, 'que') THEN 30 ELSE 0 END) + (CASE WHEN contains(lname, 'der') THEN 30 ELSE 0 END)
          + CASE WHEN contains(lower(COALESCE(snip, '')), 'que') THEN 15 ELSE 0 END + CASE WHEN contains(lower(COALESCE(snip, '')), 'der') THEN 15 ELSE 0 END
          + CASE WHEN age <= 7 THEN 5 WHEN age <= 30 THEN 3 WHEN age <= 365 THEN 1 ELSE 0 END AS relevance FROM (
-           SELECT *, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(modified_at)) / 86400000000.0 AS age FROM {snipped}))
-       ORDER BY relevance DESC, modified_at DESC, path_key LIMIT 300""")
+           SELECT *, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(modified_at)) / 86400000000.0 AS age FROM {snipped}))""")
 
 # --- excerpts -----------------------------------------------------------------
 

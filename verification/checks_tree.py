@@ -1,6 +1,5 @@
 """Folder tree, snapshots of it, and history."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from filetide.functions import formats, paths
@@ -10,7 +9,7 @@ from filetide.plans.storage import storage_report
 from filetide.sources import reports, snapshots as store
 from filetide.session import scratch_path
 
-from .registry import ORACLE, add
+from .registry import ORACLE, add, positioned
 
 STAMP = "%Y-%m-%d %H:%M:%S"
 
@@ -19,14 +18,6 @@ def text_time(column):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
 
-def tree_window():
-    return Window.partitionBy("parent_key").orderBy(F.desc("is_dir"), F.desc("size"), "name")
-
-
-def preorder_window():
-    return Window.partitionBy(F.get(F.split("path_key", "/"), F.lit(2))).orderBy(tree.preorder_key("path_key"))
-
-
 # A folder counts as unchanged when it or any folder above it is.
 ORACLE["same_folders"] = """SELECT e.path_key FROM {entries} e JOIN {previous} p ON p.path_key = e.path_key AND p.is_dir
   WHERE e.is_dir AND abs(epoch_us(e.modified_at) - epoch_us(p.modified_at)) <= 2000000"""
@@ -231,9 +222,8 @@ add(
 )
 add(
     "k3_children_order",
-    lambda t: tree.ordered_children(t.entries).select(
-        "path_key", F.row_number().over(tree_window()).alias("position")),
-    """SELECT path_key, row_number() OVER (PARTITION BY parent_key ORDER BY is_dir DESC, size DESC, name) AS position FROM {entries}""",
+    lambda t: positioned(tree.ordered_children(t.entries), "path_key"),
+    """SELECT path_key, row_number() OVER (ORDER BY is_dir DESC, size DESC, name, path_key) AS position FROM {entries}""",
 )
 add(
     "k4_children_of_folder",
@@ -242,11 +232,8 @@ add(
 )
 add(
     "k10_preorder",
-    lambda t: t.entries.select("path_key", F.lag("path_key").over(preorder_window()).alias("before")).where(
-        F.col("before").isNotNull()).groupBy((F.col("before") == F.regexp_replace("path_key", "/[^/]*$", "")).alias("child_of_before")).agg(F.count("*").alias("n")),
-    """SELECT before = regexp_replace(path_key, '/[^/]*$', '') AS child_of_before, COUNT(*) AS n FROM (
-         SELECT path_key, lag(path_key) OVER (PARTITION BY string_split(path_key, '/')[3] ORDER BY string_split(path_key, '/')) AS before FROM {entries})
-       WHERE before IS NOT NULL GROUP BY ALL""",
+    lambda t: positioned(tree.preorder(t.entries), "path_key"),
+    """SELECT path_key, row_number() OVER (ORDER BY root_key, snapshot_id, string_split(path_key, '/')) AS position FROM {entries}""",
 )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from filetide.session import cut_lineage
 
@@ -33,6 +34,21 @@ def add(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None) -
     CHECKS[name] = Check(run, sql)
 
 
+def positioned(ordered: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of a sorted frame with the place of each row, from 1.
+
+    Rows are numbered within the sorted partitions; the sizes of the partitions
+    before, one number each, shift them.
+    """
+    rows = cut_lineage(ordered.select(*columns, F.monotonically_increasing_id().alias("_at")))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.col("_at") - F.shiftleft("_part", 33) + F.col("_shift") + 1
+    return rows.join(F.broadcast(shift), "_part").select(*columns, place.alias("position"))
+
+
 def once(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Write a table several queries start from once per session and folder."""
     made: dict[tuple[str, str], DataFrame] = {}

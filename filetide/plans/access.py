@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import access, acl_diff
+from ..session import cut_lineage
 
 
 def effective_access(
@@ -13,7 +14,8 @@ def effective_access(
     """What each of ``accounts(target, account, sid, root_key)`` can reach and where that changes."""
     closure = access.group_closure(member_of)
     known = access.tokens(accounts, closure, principals)
-    rights = access.effective_rights(access.matched_aces(aces, known))
+    # Change points read the rights four times: written once, they are worked out once.
+    rights = cut_lineage(access.effective_rights(access.matched_aces(aces, known)))
     items = access.change_points(rights, folders, accounts)
     return {
         "memberships": access.memberships(accounts, closure, principals),

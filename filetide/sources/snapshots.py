@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,9 @@ def _with_part(entries: DataFrame) -> DataFrame:
 
 
 def publish(entries: DataFrame, folder: str) -> None:
-    """Replace the partitions present in ``entries`` in one step; others stay.
+    """Replace the partitions present in ``entries``; others stay.
 
+    The replacement is not atomic for a reader that lists the folder meanwhile.
     Rows are ranged by key and sorted, so a subtree is a narrow key range in the
     Parquet statistics and one big root is still written by many tasks.
     """
@@ -54,10 +57,12 @@ def read(spark: SparkSession, folder: str, root_key: str | None = None, snapshot
     return entries.select(*schemas.ENTRIES.names)
 
 
-def delete_root(spark: SparkSession, folder: str, root_key: str, target: str) -> None:
-    """Write the store without one root to ``target``; the caller then switches folders."""
-    remaining = read(spark, folder).where(F.col("root_key") != root_key)
-    publish(remaining, target)
+def delete_root(spark: SparkSession, folder: str, root_key: str) -> None:
+    """Remove the partition folder of one root; nothing else is read or written."""
+    part = hashlib.sha256(root_key.lower().encode()).hexdigest()[:16]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/root_part={part}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # --- portable tree ---------------------------------------------------------

@@ -92,10 +92,10 @@ add(
 
 
 def without_docs(t):
-    folder, target = scratch_path(t.spark, "roots"), scratch_path(t.spark, "roots-left")
+    folder = scratch_path(t.spark, "roots")
     store.publish(t.entries.unionByName(t.docs), folder)
-    store.delete_root(t.spark, folder, "/docs", target)
-    return store.read(t.spark, target).groupBy("root_key").agg(F.count("*").alias("n"))
+    store.delete_root(t.spark, folder, "/docs")
+    return store.read(t.spark, folder).groupBy("root_key").agg(F.count("*").alias("n"))
 
 
 add("a7_delete_root", without_docs, "SELECT root_key, COUNT(*) AS n FROM {entries} GROUP BY ALL")

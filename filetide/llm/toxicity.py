@@ -144,7 +144,7 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None,
     counted = (
         sample.mapInPandas(term_counts, "term string, kind int, n long").groupBy("term")
         .agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("good"))
-        .where((F.col("bad") >= 2) & (F.col("bad") * good > 4 * F.col("good") * bad)).withColumn("odds", odds)
+        .where((F.col("bad") >= max(3, bad // 100)) & (F.col("bad") * good > 4 * F.col("good") * bad)).withColumn("odds", odds)
         .orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(CANDIDATES).collect()
     )
     weight = {r["term"]: float(r["odds"]) for r in counted}

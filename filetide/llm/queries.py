@@ -17,5 +17,6 @@ QUERIES = {
     "op10_toxicity_lexicon": toxicity.query,
 }
 ORACLE_SQL = {
+    "op2_line_templates": templates.ORACLE,
     "op3_benchmark_containment": decontaminate.ORACLE,
 }

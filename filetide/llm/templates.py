@@ -96,7 +96,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         .where((F.col("families") >= MIN_DOCS) & (F.col("families") * F.col("n_tokens") >= MIN_EVIDENCE) & (F.col("families") * 2 >= F.col("bodies")))
         .select("key", "bodies", "first")
     )
-    template = F.max(F.struct("bodies", "key", "first")).alias("template")
+    template = F.max(F.struct("bodies", "first")).alias("template")  # of a line's recurring templates, the most frequent
     chosen = rows.join(recurring, "key").groupBy("doc_id", "body", "at").agg(template)
     gone = chosen.where(~place.eqNullSafe(F.col("template.first")))
     return gone.groupBy("doc_id", "body").agg(F.sort_array(F.collect_list("at")).alias("gone"))
@@ -126,3 +126,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_recurring(docs)
+
+
+_SPACES = "[ \\t\\n\\x0B\\f\\r]+"
+_GENERAL = " UNION ALL ".join(
+    f"""SELECT doc_id, body, place, n, family, '{k}|' || leaf || '|' || array_to_string(t[4:3 + (n - 3) * {k} // {SEGMENTS}], ' ')
+      || '|' || array_to_string(t[4 + (n - 3) * {k + 1} // {SEGMENTS}:], ' ') AS key FROM shared WHERE n >= {MIN_GENERAL}"""
+    for k in range(SEGMENTS)
+)
+ORACLE = f"""
+WITH cut AS (SELECT doc_id, text AS body, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+  raw AS (SELECT doc_id, body, i - 1 AS place, parts[i] AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM cut)),
+  tok AS (SELECT *, list_filter(string_split_regex(line, '{_SPACES}'), lambda x: x <> '') AS w FROM raw),
+  masked AS (SELECT doc_id, body, place, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '<*>' ELSE x END) AS t FROM tok WHERE len(w) >= {MIN_TOKENS}),
+  leafed AS (SELECT *, CAST(n AS VARCHAR) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf FROM masked),
+  least AS (SELECT doc_id, list_sort(list_distinct(list(md5(leaf))))[1:2] AS l FROM leafed GROUP BY doc_id),
+  placed AS (SELECT f.*, COALESCE(CASE WHEN md5(leaf) = l[1] THEN l[2] ELSE l[1] END, '') AS family FROM leafed f JOIN least USING (doc_id)),
+  shared AS (SELECT * FROM placed WHERE leaf IN (SELECT leaf FROM placed GROUP BY leaf HAVING COUNT(DISTINCT body) >= {MIN_DOCS})),
+  keyed AS (SELECT doc_id, body, place, n, family, 'x|' || leaf || '|' || array_to_string(t[4:], ' ') AS key FROM shared UNION ALL {_GENERAL}),
+  once AS (SELECT key, body, MIN(family) AS family, MIN((doc_id, place)) AS earliest, MAX(n) AS n FROM keyed GROUP BY key, body),
+  recurring AS (SELECT key, COUNT(*) AS bodies, MIN(earliest) AS earliest FROM once GROUP BY key
+    HAVING COUNT(DISTINCT family) >= {MIN_DOCS} AND COUNT(DISTINCT family) * MAX(n) >= {MIN_EVIDENCE} AND COUNT(DISTINCT family) * 2 >= COUNT(*)),
+  gone AS (SELECT doc_id, place FROM (SELECT doc_id, place, MAX((bodies, earliest)) AS best FROM keyed JOIN recurring USING (key) GROUP BY doc_id, place) WHERE best[2] <> (doc_id, place)),
+  kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM raw ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(k.text, '') END AS text,
+  CAST(COALESCE(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, (SELECT COUNT(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_dropped
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -25,10 +25,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,11 +42,11 @@ from .common import slices, stored, table, utf8
 
 BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
-SEGMENT = 1 << 17
+LANES = 2048
+SEGMENT = 1 << 18
 BLOCK = 1 << 20
 END = 0
-CACHE = 300_000  # words and pieces remembered by a Python worker
+CACHE = 500_000  # texts after which a Python worker starts a new generation of its memory
 
 
 # ---- tokens -----------------------------------------------------------------
@@ -68,59 +71,108 @@ class Encoder:
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        self.odd = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+        self.run = re.compile(r"\s (?:\s|\Z)")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(other)}}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.marks = {c: self._whole(c) for c in ".,;:!?"}
+        self.words = _Memory()
+        self.spaced = _Memory()  # runs of letters after a blank
+        self.others = _Memory()  # all other splits
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _spell(self, part: str) -> str:
+        return part.encode().decode("latin-1").translate(self.letters)
+
+    def _merge(self, spelled: list[str]) -> list[bytes]:
+        """Ids of each split, given in byte letters."""
+        out: list[bytes] = []
+        for a in range(0, len(spelled), 2000):
+            found = self.bare.encode("\n".join(spelled[a : a + 2000]), add_special_tokens=False)
+            cuts = (np.cumsum(np.bincount(found.word_ids)) * 4).tolist()
+            raw = np.array(found.ids, "<u4").tobytes()
+            out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        new = words - self.words.keys()
-        pieces: dict[str, list[str]] = {}
-        for w in new:
+        plain, marked, rest, marks = [], [], {}, self.marks
+        for w in self.words.missing(words):
             if w.isalpha():
-                pieces[w] = [" " + w]
-            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
-                pieces[w] = [" " + w[:-1], w[-1]]
+                plain.append(w)
+            elif w[-1:] in marks and w[:-1].isalpha():
+                marked.append(w)
             else:
-                pieces[w] = self.split.findall(" " + w)
-        wanted = list({p for ps in pieces.values() for p in ps} - self.parts.keys())
-        spelled = [p.encode().decode("latin-1").translate(self.letters) for p in wanted]
-        for a in range(0, len(wanted), 2000):
-            found = self.bare.encode("\n".join(spelled[a : a + 2000]), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(found.word_ids))]) * 4
-            raw = ids.tobytes()
-            self.parts.update((p, raw[cuts[i] : cuts[i + 1]]) for i, p in enumerate(wanted[a : a + 2000]))
-        parts = self.parts
-        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in pieces.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit little-endian numbers."""
-        import re
-
-        split: list[list[str] | None] = []
-        seen: set[str] = set()
-        for text in texts:
-            risky = "  " in text or "\n " in text or self.odd.search(text)
-            if risky and re.search(r"\s (?:\s|\Z)", text):
-                split.append(None)
-                continue
-            words = text.split(" ")
-            split.append(words)
-            seen.update(words[1:])
-        self._learn(seen)
-        # What this batch needs must survive the limit on the memory.
-        known = self.words
-        return [self._whole(t) if ws is None else (self._whole(ws[0]) if ws[0] else b"") + b"".join(map(known.__getitem__, ws[1:])) for t, ws in zip(texts, split)]
+                rest[w] = self.split.findall(" " + w)
+        stems = [w[:-1] for w in marked]
+        wanted = list(self.spaced.missing({*plain, *stems}))
+        self.spaced.add(wanted, self._merge(["\u0120" + w if w.isascii() else "\u0120" + self._spell(w) for w in wanted]))
+        wanted = list(self.others.missing({p for ps in rest.values() for p in ps}))
+        self.others.add(wanted, self._merge([self._spell(p) for p in wanted]))
+        spaced, others = self.spaced.now, self.others.now
+        self.words.add(plain, map(spaced.__getitem__, plain))
+        self.words.add(marked, [spaced[stem] + marks[w[-1]] for w, stem in zip(marked, stems)])
+        self.words.add(rest, [b"".join([others[p] for p in ps]) for ps in rest.values()])
+
+    def _values(self, words: list[str]) -> list[bytes]:
+        get = self.words.now.get
+        found = list(map(get, words))
+        if None in found:
+            self._learn(set(compress(words, map(not_, found))))
+            known = self.words.now
+            found = [v if v is not None else known[w] for w, v in zip(words, found)]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Words are looked up once for all texts, then laid out text by text."""
+        texts = pc.fill_null(texts, "")
+        risky = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\n ")), pc.match_substring_regex(texts, self.odd))
+        whole = np.zeros(len(texts), bool)
+        for i in np.flatnonzero(risky.to_numpy(zero_copy_only=False)).tolist():
+            whole[i] = self.run.search(texts[i].as_py()) is not None
+        lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        borders = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        spaced = np.ones(len(flat), bool)
+        spaced[borders[:-1]] = False  # a text's first word has no blank before it
+        coded = flat.filter(pa.array(spaced)).dictionary_encode()
+        values = self._values(coded.dictionary.to_pylist())
+        n = len(values)
+        values += [self._whole(w) if w else b"" for w in flat.filter(pa.array(~spaced)).to_pylist()]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = np.empty(len(flat), np.int64)
+        at[spaced] = coded.indices.to_numpy()
+        at[~spaced] = n + np.arange(len(flat) - len(coded))
+        blob, long = np.frombuffer(b"".join(values), "<u4"), sizes[at]
+        ends = np.cumsum(long)
+        ids = blob[np.repeat(starts[at] - (ends - long), long) + np.arange(int(long.sum()))]
+        ends = np.concatenate([[0], ends])[borders].tolist()
+        laid = iter(zip(ends[:-1], ends[1:]))
+        return [np.frombuffer(self._whole(texts[i].as_py()), "<u4") if w else ids[slice(*next(laid))] for i, w in enumerate(whole.tolist())]
+
+
+class _Memory:
+    """Two generations of ids by text: what is asked for again outlives the next clearing."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> set[str]:
+        """The texts not known; all others are at hand in ``now`` afterwards."""
+        if len(self.now) > CACHE:
+            self.now, self.before = {}, self.now
+        absent = texts - self.now.keys()
+        again = absent & self.before.keys()
+        before = self.before
+        self.now.update((t, before[t]) for t in again)
+        return absent - again
+
+    def add(self, texts, values) -> None:
+        self.now.update(zip(texts, values))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -156,10 +208,9 @@ def token_blocks(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
             return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            for part in slices(batch, np.diff(utf8(batch.column("text"))[1]), 4 << 20):
-                raw = tokens.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc, ids in zip(part.column("doc_id").to_pylist(), raw):
-                    left = np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
+            for part in slices(batch, np.diff(utf8(batch.column("text"))[1]), 16 << 20):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text"))):
+                    left = np.append(ids, np.uint32(END))
                     done = 0
                     while done < len(left):
                         take = min(len(left) - done, block - size)
@@ -267,8 +318,9 @@ class Coder:
         checks = [zlib.crc32(ids[a : a + segment].astype("<u4").tobytes()) for a in range(0, n, segment)]
         return {"n_tokens": n, "lanes": lanes, "words": words.tobytes(), "states": b"".join(s.astype("<u8").tobytes() for s in states[::-1]), "places": places, "checks": checks}
 
-    def decode(self, n: int, lanes: int, words: bytes, states: bytes, places: list[int], checks: list[int], segment: int = SEGMENT) -> np.ndarray:
+    def decode(self, n_tokens: int, lanes: int, words: bytes, states: bytes, places: list[int], checks: list[int], segment: int = SEGMENT) -> np.ndarray:
         """All segments side by side; raises where a checksum does not fit."""
+        n = n_tokens
         if not n:
             return np.zeros(0, np.uint32)
         stream = np.append(np.frombuffer(words, "<u4").astype(np.uint64), np.zeros(1, np.uint64))

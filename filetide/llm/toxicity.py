@@ -44,6 +44,7 @@ EXCEPTIONS = (
 SAMPLE_ROWS = 12_000  # bound on the labelled rows the lexicon is learned from
 CANDIDATES = 4_096  # bound on the terms that are weighed together
 PREFIX = range(4, 9)
+EVIDENCE = 16.0  # one chance in ten million, as so many terms are looked at
 DEMAND = 5  # each toxic row asks to be hit by so many terms
 THRESHOLD = 0.3
 
@@ -104,6 +105,12 @@ def hit_weight(text: str, automaton) -> float:
     return total / math.sqrt(max(1, text.count(" ") - 1)) if total else 0.0
 
 
+def _evidence(share: float) -> Column:
+    """How unlikely so toxic a term is by chance, as a log likelihood ratio against the toxic share of rows."""
+    b, g = F.col("bad"), F.col("good")
+    return b * F.log(b / (b + g) / share) + F.when(g > 0, g * F.log(g / (b + g) / (1 - share))).otherwise(0.0)
+
+
 def _terms(text: str) -> set[str]:
     words = set(text.split())
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in PREFIX if len(w) >= n}
@@ -144,7 +151,8 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None,
     counted = (
         sample.mapInPandas(term_counts, "term string, kind int, n long").groupBy("term")
         .agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("good"))
-        .where((F.col("bad") >= max(3, bad // 100)) & (F.col("bad") * good > 4 * F.col("good") * bad)).withColumn("odds", odds)
+        .where((F.col("bad") >= max(3, bad // 100)) & (F.col("bad") * good > 4 * F.col("good") * bad) & (_evidence(bad / (bad + good)) >= EVIDENCE))
+        .withColumn("odds", odds)
         .orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term").limit(CANDIDATES).collect()
     )
     weight = {r["term"]: float(r["odds"]) for r in counted}

@@ -46,7 +46,7 @@ LANES = 2048
 SEGMENT = 1 << 18
 BLOCK = 1 << 20
 END = 0
-CACHE = 500_000  # texts after which a Python worker starts a new generation of its memory
+CACHE = 400_000  # texts after which a Python worker starts a new generation of its memory
 
 
 # ---- tokens -----------------------------------------------------------------

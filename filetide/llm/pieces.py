@@ -42,7 +42,7 @@ LITERAL = "\udc81"  # stands for a blank sign of the text itself; no text can ho
 CHUNK = 16_384
 GIANT = 4 * CHUNK
 SPAN = 256
-CACHE = 250_000  # words in each of two generations that a Python worker remembers
+CACHE = 200_000  # words in each of two generations that a Python worker remembers
 NEVER = -(1 << 60)
 
 
@@ -302,7 +302,13 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     return small.unionByName(large.drop("ids").join(found, [doc, body]).drop(doc, body))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Id lists are several times as large as texts: fewer rows travel to a Python worker at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = model_file()
     encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     same = decode_column(F.col("ids"), path) == F.coalesce("text", F.lit(""))
@@ -311,4 +317,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their texts in a column ``ids``."""
+    small_batches(spark)
     return encode(docs)

@@ -8,8 +8,10 @@ compressor primed with identifiers of the corpus; if the string costs at least
 ``PRICE`` bytes per character it is incompressible there and is reported.
 
 The identifier dictionary is counted over all documents that hold a sensitive
-word: words of letters and underscores, by the number of distinct texts, the
-``IDENTIFIERS`` most frequent (a fixed bound on what reaches the driver).
+word: tokens of letters and underscores, by the number of distinct texts, the
+``IDENTIFIERS`` most frequent (a fixed bound on what reaches the driver). Only
+whole tokens between characters outside the secret alphabet count, too short to
+be a candidate, so that no copied secret primes its own compressor.
 
 Spans are in code points, end exclusive, of the whole match. Defined results:
 a null text counts as empty and has no span; repeated rows get equal spans; very
@@ -40,6 +42,8 @@ SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
 CONTEXT = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SHORTEST = 16
+# A whole token too short to be a candidate: no piece of one.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])([A-Za-z_]{4,%d})(?![A-Za-z0-9+/_=-])" % (SHORTEST - 1)
 REACH = 48
 AROUND = 512
 PRICE = 0.78
@@ -100,7 +104,7 @@ def identifier_dictionary(docs: DataFrame, size: int = IDENTIFIERS) -> tuple[str
     """Identifiers of the documents with a sensitive word, most frequent first."""
     pattern = "(?i)" + "|".join(SENSITIVE)
     texts = docs.where(F.col("text").rlike(pattern)).select(F.xxhash64("text").alias("body"), "text")
-    words = texts.select("body", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]{4,32})")))).alias("word"))
+    words = texts.select("body", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER)))).alias("word"))
     counts = words.distinct().groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     return tuple(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
 

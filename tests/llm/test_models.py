@@ -127,6 +127,15 @@ def test_novelty_tells_words_from_keys():
     assert judge.price(around * 5, "connectionConfiguration2connection", " and then") < novelty.PRICE
 
 
+def test_a_copied_secret_does_not_prime_its_compressor(spark):
+    draw = random.Random(5)
+    key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
+    docs = frame(spark, [(i, f"{prose(i, 30)} connection bearer {key} connection {prose(100 + i, 30)}") for i in range(12)])
+    identifiers = novelty.identifier_dictionary(docs)
+    assert {"connection", "bearer"} <= set(identifiers) and not any(w in key for w in identifiers)
+    assert all(r["spans"].count("novel") == 1 for r in novelty.scan(docs, identifiers).collect())
+
+
 def test_shards_are_exact_and_gapless(spark, tmp_path):
     rows = [*EMPTY, *[(i, prose(i, 5)) for i in range(500)], *[(600, "copy")] * 300]
     out = hypershuffle.query(spark, folder(spark, tmp_path / "shards", rows)).collect()

@@ -1,11 +1,12 @@
 """Secret scan by dictionary-primed zstandard novelty (operator 9).
 
 Fixed patterns give base spans. The method adds spans of kind ``novel``: strings
-of ``SHORTEST`` or more characters of the secret alphabet, with letters and
-digits, that follow a sensitive word within ``REACH`` characters and overlap no
-base span. For each, the text around it is compressed with and without it, by a
-compressor primed with identifiers of the corpus; if the string costs at least
-``PRICE`` bytes per character it is incompressible there and is reported.
+of ``SHORTEST`` or more characters of the secret alphabet, with letters, that
+follow a sensitive word within ``REACH`` characters and overlap no base span. For
+each, the text around it is compressed with and without it, by a compressor
+primed with identifiers of the corpus; if the string costs about what a random
+one of its own alphabet must (``asked``) it is incompressible there and is
+reported.
 
 The identifier dictionary is counted over all documents that hold a sensitive
 word: tokens of letters and underscores, by the number of distinct texts, the
@@ -21,6 +22,7 @@ long texts are scanned whole.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,9 +46,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SHORTEST = 16
 # A whole token too short to be a candidate: no piece of one.
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])([A-Za-z_]{4,%d})(?![A-Za-z0-9+/_=-])" % (SHORTEST - 1)
+CAPITAL_HEX, SMALL_HEX = frozenset("0123456789ABCDEF"), frozenset("0123456789abcdef")
 REACH = 48
 AROUND = 512
-PRICE = 0.78
+PRICE = 0.78  # a string this dear, in bytes a character, is reported whatever its alphabet
+SHARE = 0.95  # of the entropy of the candidate's alphabet
+ROUNDING = 1.0  # bytes; frames are whole bytes, and the candidate changes the code of its surroundings
+SAMPLED = 128  # a string this long shows all symbols of its alphabet
 IDENTIFIERS = 2_000
 
 
@@ -62,6 +68,22 @@ def base_spans(text: str, low: bytes | None = None) -> list[tuple[int, int, int]
     return sorted(found)
 
 
+def alphabet(candidate: str) -> int:
+    """Number of symbols a random string of this kind is drawn from."""
+    kinds = set(candidate)
+    if len(candidate) >= SAMPLED:
+        return len(kinds)
+    if kinds <= CAPITAL_HEX or kinds <= SMALL_HEX:
+        return 16
+    size = sum(n for n, some in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(some, kinds)))
+    return size + sum(not c.isalnum() for c in kinds)
+
+
+def asked(candidate: str) -> float:
+    """Bytes per character from which a candidate is incompressible."""
+    return min(PRICE, SHARE * math.log2(alphabet(candidate)) / 8 - ROUNDING / len(candidate))
+
+
 class Novelty:
     """Marginal compressed size against a text and a dictionary of identifiers."""
 
@@ -91,11 +113,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if e - s < SHORTEST or not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+        if e - s < SHORTEST or not any(c.isalpha() for c in m[0]):
             continue
         if any(a < e and s < b for a, _, b in base) or not CONTEXT.search(text, max(0, s - REACH), s):
             continue
-        if novelty.price(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND]) >= PRICE:
+        if novelty.price(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND]) >= asked(m[0]):
             found.append((s, 3, e))
     return found
 

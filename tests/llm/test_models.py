@@ -136,6 +136,17 @@ def test_a_copied_secret_does_not_prime_its_compressor(spark):
     assert all(r["spans"].count("novel") == 1 for r in novelty.scan(docs, identifiers).collect())
 
 
+@pytest.mark.parametrize("symbols, length", [("0123456789ABCDEF", 256), ("abcdefghijklmnopqrstuvwxyz0123456789", 512), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 32)])
+def test_random_strings_of_small_alphabets_are_novel(symbols, length):
+    draw, judge = random.Random(6), novelty.Novelty(("configuration", "connection", "password"))
+    for _ in range(20):
+        before, key = "the header of the connection configuration bearer ", "".join(draw.choice(symbols) for _ in range(length))
+        text = before + key + " and then the connection"
+        assert novelty.novel_spans(text, [], judge, text.encode().lower()) == [(len(before), 3, len(before) + length)]
+    text = "the connection and the configuration, bearer connectionConfigurationConnection"
+    assert novelty.novel_spans(text, [], judge, text.encode().lower()) == []
+
+
 def test_shards_are_exact_and_gapless(spark, tmp_path):
     rows = [*EMPTY, *[(i, prose(i, 5)) for i in range(500)], *[(600, "copy")] * 300]
     out = hypershuffle.query(spark, folder(spark, tmp_path / "shards", rows)).collect()

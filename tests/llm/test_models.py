@@ -55,36 +55,6 @@ def test_no_training_rows(spark, tmp_path):
     assert all(math.isfinite(r["score"]) for r in brown.scored(frame(spark, EMPTY), model, counts).collect())
 
 
-def test_rare_words_are_placed_by_their_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(brown, "HEAD", 50)  # the other words are no units and are joined
-    draw = random.Random(3)
-    kinds = [[f"{k}{i}" for i in range(20)] for k in "ab"]
-    rare = [[f"{k}{i:02d}same" for i in range(60)] for k in "ab"]  # one suffix, two kinds
-    texts = []
-    for t in range(300):
-        texts.append((t, " ".join(draw.choice((kinds if draw.random() < 0.9 else rare)[i % 2]) for i in range(30))))
-    model, table = brown.train(frame(spark, texts))
-    rows = {bytes(r["word"]): r for r in table.collect()}
-    one, two = (Counter(rows[w.encode()]["class"] for w in kind if w.encode() in rows and rows[w.encode()]["n"] > 1) for kind in rare)
-    assert sum((one & two).values()) < 0.1 * (one.total() + two.total())
-    # Transitions and scores equal a plain count over the classes of words.
-    pairs, n = Counter(), Counter()
-    for _, t in texts:
-        cls = [brown.CLASSES, *[rows[w]["class"] for w in words(t)], brown.CLASSES] if t else []
-        pairs.update(zip(cls, cls[1:]))
-    share = np.bincount([d for (_, d), k in pairs.items() for _ in range(k)], minlength=brown.CLASSES + 1)
-    share = (share + 0.5) / (share.sum() + 0.5 * len(share))
-    before = Counter()
-    for (c, _), k in pairs.items():
-        before[c] += k
-    for t, r in zip(texts[:40], sorted(brown.scored(frame(spark, texts[:40]), model, table).collect(), key=lambda r: r["doc_id"])):
-        cls = [brown.CLASSES, *[rows[w]["class"] for w in words(t[1])], brown.CLASSES]
-        count = [*[rows[w]["n"] for w in words(t[1])], len(texts)]
-        plain = sum(math.log10((pairs[c, d] + brown.PULL * share[d]) / (before[c] + brown.PULL)) for c, d in zip(cls, cls[1:]))
-        plain += sum(math.log10(k - model.discount) - model.room[d] for k, d in zip(count, cls[1:]))
-        assert abs(plain - r["score"]) < 1e-6
-
-
 TOXIC = ["zorgblat", "fumblewit", "snarkle"]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adsampling, brown, decontaminate, hypershuffle, novelty, pieces, rans, superminhash, templates, toxicity
+from . import adsampling, brown, decontaminate, hypershuffle, novelty, pieces, rans, runs, superminhash, templates, toxicity
 
 QUERIES = {
     "op1_rans_token_blocks": rans.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_adaptive_scan": adsampling.query,
     "op9_zstd_novelty": novelty.query,
     "op10_toxicity_lexicon": toxicity.query,
+    "op11_suffix_tree_runs": runs.query,
 }
 ORACLE_SQL = {
     "op2_line_templates": templates.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adsampling, brown, decontaminate, hypershuffle, novelty, pieces, rans, runs, superminhash, templates, toxicity, whitening
+from . import adsampling, brown, decontaminate, hypershuffle, novelty, pieces, rans, ruleset, runs, superminhash, templates, toxicity, whitening
 
 QUERIES = {
     "op1_rans_token_blocks": rans.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity_lexicon": toxicity.query,
     "op11_suffix_tree_runs": runs.query,
     "op12_cholesky_whitening": whitening.query,
+    "op13_rule_ensemble": ruleset.query,
 }
 ORACLE_SQL = {
     "op2_line_templates": templates.ORACLE,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rights as R
 from ..session import cut_lineage
+from .skew import measured_join
 
 WORLD = ["everyone", "authenticated users"]  # fixed values: principals that always match
 MARKER = "[UNAVAILABLE]"
@@ -40,29 +41,26 @@ def with_primary_groups(member_of: DataFrame, primary: DataFrame) -> DataFrame:
 def group_closure(member_of: DataFrame) -> DataFrame:
     """``(member_sid, group_sid, depth)`` with the shortest depth, at any nesting, safe for cycles.
 
-    The loop closes the graph of groups only, which has no user in it. Each round
-    joins the newest pairs to the edges and drops known ones; rounds are written
-    to the shared folder, and each ends with one bounded ``isEmpty`` action.
+    The graph of groups only, which has no user in it, is closed by doubling:
+    after a round, all pairs up to depth ``2^k`` are known; a shortest way of up to
+    twice that begins with one of exactly ``2^k`` steps, so only those pairs are
+    joined to the known ones. A chain of n groups takes log2(n) rounds; each
+    writes one table anew and asks whether any pair is that deep.
     """
     edges = member_of.select("member_sid", "group_sid").distinct()
     nested = edges.join(edges.select(F.col("group_sid").alias("member_sid")).distinct(), "member_sid", "left_semi")
-    step = cut_lineage(nested.select(F.col("member_sid").alias("via"), F.col("group_sid").alias("next")))
-    known = cut_lineage(step.select(F.col("via").alias("start"), F.col("next").alias("group_sid"), F.lit(1).alias("depth")))
-    newest = known
-    for depth in count(2):
-        reached = (
-            newest.join(step, newest["group_sid"] == step["via"])
-            .select("start", F.col("next").alias("group_sid")).distinct()
-            .join(known, ["start", "group_sid"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        newest = cut_lineage(reached)
-        if newest.isEmpty():
+    known = cut_lineage(nested.select(F.col("member_sid").alias("start"), "group_sid", F.lit(1).alias("depth")))
+    for k in count():
+        farthest = known.where(F.col("depth") == 2**k)
+        if farthest.isEmpty():
             break
-        known = known.unionByName(newest)
+        first = farthest.select("start", F.col("group_sid").alias("via"))
+        rest = known.select(F.col("start").alias("via"), "group_sid", (F.col("depth") + 2**k).alias("depth"))
+        longer = measured_join(rest, first, ["via"]).select("start", "group_sid", "depth")
+        known = cut_lineage(known.unionByName(longer).groupBy("start", "group_sid").agg(F.min("depth").alias("depth")))
     direct = edges.select("member_sid", "group_sid", F.lit(1).alias("depth"))
     above = known.select(F.col("start").alias("via"), F.col("group_sid").alias("upper"), F.col("depth").alias("more"))
-    indirect = edges.join(above, edges["group_sid"] == above["via"]).select(
+    indirect = measured_join(edges.withColumnRenamed("group_sid", "via"), above, ["via"]).select(
         "member_sid", F.col("upper").alias("group_sid"), (F.col("more") + 1).alias("depth")
     )
     return direct.unionByName(indirect).groupBy("member_sid", "group_sid").agg(F.min("depth").alias("depth"))
@@ -137,8 +135,11 @@ def matched_aces(aces: DataFrame, identity_tokens: DataFrame) -> DataFrame:
         "target", F.col("sid").alias("_sid"), F.col("account").alias("_account"), F.col("m.rank").alias("rank"),
         F.col("m.depth").alias("membership_depth"), F.col("m.label").alias("label"),
     )
-    same = F.col("sid").eqNullSafe(F.col("_sid")) & F.col("account").eqNullSafe(F.col("_account"))
-    return aces.join(known, same).drop("_sid", "_account")
+    # One key that tells null from empty, so that an identity with most entries can be spread.
+    told = lambda sid, account: F.to_json(F.array(sid, account))
+    held = aces.withColumn("_identity", told(F.col("sid"), F.col("account")))
+    named = known.withColumn("_identity", told(F.col("_sid"), F.col("_account"))).drop("_sid", "_account")
+    return measured_join(held, named, ["_identity"]).drop("_identity")
 
 
 # --- evaluation ------------------------------------------------------------
@@ -226,7 +227,7 @@ def change_points(access: DataFrame, folders: DataFrame, accounts: DataFrame) ->
     )
     readable = folders.where("readable").select("path_key")
     here = access.join(readable, "path_key", "left_semi").join(place, "path_key")
-    joined = here.join(parent_state, "parent_key", "left").join(parent_access, ["target", "parent_key"], "left")
+    joined = measured_join(measured_join(here, parent_state, ["parent_key"], "left"), parent_access, ["target", "parent_key"], "left")
     same = (F.col("level") == F.col("_p_level")) & (F.col("allowed") == F.col("_p_allowed"))
     change = (
         F.when(F.col("depth") == 0, "Baseline")
@@ -241,12 +242,9 @@ def change_points(access: DataFrame, folders: DataFrame, accounts: DataFrame) ->
     nothing = [
         F.lit("None").alias("level"), F.lit(0).alias("allowed"), F.lit(0).alias("denied"),
     ]
-    lost = (
-        folders.where("readable").select("path_key", "parent_key", "folder_name")
-        .join(access.join(readable, "path_key", "left_semi")
-              .select("target", F.col("path_key").alias("parent_key"), F.col("level").alias("_p_level")), "parent_key")
-        .join(access.select("target", "path_key"), ["target", "path_key"], "left_anti")
-    )
+    above = access.join(readable, "path_key", "left_semi").select("target", F.col("path_key").alias("parent_key"), F.col("level").alias("_p_level"))
+    below = measured_join(folders.where("readable").select("path_key", "parent_key", "folder_name"), above, ["parent_key"])
+    lost = below.join(access.select("target", "path_key"), ["target", "path_key"], "left_anti")
     severed = lost.select(
         "target", "path_key", "folder_name", *nothing, F.lit(True).alias("has_deny"), F.lit(False).alias("is_inherited"),
         F.lit("Severed").alias("grant_source"), F.concat(F.lit("Parent had "), F.col("_p_level")).alias("grant_trace"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rights as R
+from .skew import measured_join
 
 KEY = ["account_key", "access_type", "inherit_flags", "prop_flags"]
 
@@ -14,7 +15,7 @@ def with_account_key(aces: DataFrame, principals: DataFrame) -> DataFrame:
     """Identity to compare by: the SID, else the SID behind the name, else the name."""
     known = principals.groupBy(F.lower("account").alias("_name")).agg(F.min("sid").alias("_sid"))
     blank = lambda c: F.when(F.trim(c) != "", F.lower(c))
-    joined = aces.withColumn("_name", F.lower("account")).join(known, "_name", "left")
+    joined = measured_join(aces.withColumn("_name", F.lower("account")), known, ["_name"], "left")
     return joined.withColumn(
         "account_key", F.coalesce(blank(F.col("sid")), F.lower("_sid"), F.col("_name"))
     ).drop("_name", "_sid")

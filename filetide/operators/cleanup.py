@@ -26,7 +26,7 @@ def plan(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     members = candidates.where(F.col("group_id").isNotNull()).groupBy(*TREE, "group_id").agg(F.count("*").alias("_n"))
     sized = originals.join(members, [*TREE, "group_id"])
     columns = [*TREE, "path_key", "name", "size", "modified_at", "group_id", "sha256", "score"]
-    return attach(chosen.select(*columns), sized, [*TREE, "group_id"], group_rows="_n", spread="path_key", how="left")
+    return attach(chosen.select(*columns), sized, [*TREE, "group_id"], group_rows="_n", how="left")
 
 
 def within_stamp(size: Column, modified: Column, expected_size: Column, expected_modified: Column) -> Column:

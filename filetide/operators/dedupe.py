@@ -26,7 +26,7 @@ def size_groups(entries: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     """Files of at least ``min_size`` bytes that share their size with another file."""
     files = entries.where(~F.col("is_dir") & (F.col("size") >= min_size))
     sizes = files.groupBy(*TREE, "size").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    return attach(files, sizes, [*TREE, "size"], group_rows="_n", spread="path_key")
+    return attach(files, sizes, [*TREE, "size"], group_rows="_n")
 
 
 def head_tail(content: Column) -> Column:
@@ -67,7 +67,7 @@ def narrow(rows: DataFrame, keys: list[str]) -> DataFrame:
     per_hash = marked.groupBy(*keys, "hash").agg(F.count("*").alias("_n"))
     failed = per_hash.where(F.col("hash") == "unknown").select(*keys, F.lit(True).alias("_failed"))
     kept = per_hash.join(failed, keys, "left").where((F.col("_n") > 1) | F.col("_failed"))
-    joined = attach(marked, kept, [*keys, "hash"], group_rows="_n", spread="path_key")
+    joined = attach(marked, kept, [*keys, "hash"], group_rows="_n")
     return joined.withColumn("hash", F.when(F.col("_failed"), "unknown").otherwise(F.col("hash"))).drop("_failed")
 
 
@@ -101,7 +101,7 @@ def confirmed(candidates: DataFrame, content: DataFrame, **sampling: object) ->
     full = hashed(left, content, F.sha2(F.col("content"), 256)).withColumnRenamed("hash", "sha256")
     keys = [*TREE, "size", "sha256"]
     groups = full.where(F.col("sha256").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return cut_lineage(attach(full, groups.where(F.col("_n") > 1), keys, group_rows="_n", spread="path_key"))
+    return cut_lineage(attach(full, groups.where(F.col("_n") > 1), keys, group_rows="_n"))
 
 
 def pick_order() -> Column:
@@ -134,11 +134,11 @@ def grouped(duplicates: DataFrame) -> DataFrame:
     keys = [*TREE, "size", "sha256"]
     ranked = duplicates.withColumn("_pick", pick_order())
     groups = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_pick").alias("_original"))
-    rows = attach(ranked, number_groups(groups), keys, group_rows="_n", spread="path_key")
+    rows = attach(ranked, number_groups(groups), keys, group_rows="_n")
     physical = ranked.where(F.col("physical_id").isNotNull()).groupBy(*keys, "physical_id").agg(
         F.count("*").alias("_m"), F.min("_pick").alias("_first")
     )
-    rows = attach(rows, physical, [*keys, "physical_id"], group_rows="_m", spread="path_key", how="left")
+    rows = attach(rows, physical, [*keys, "physical_id"], group_rows="_m", how="left")
     return (
         rows.withColumn("is_original", F.col("_pick") == F.col("_original"))
         .withColumn("is_alias", F.coalesce(F.col("_pick") != F.col("_first"), F.lit(False)) & ~F.col("is_original"))

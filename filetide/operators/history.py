@@ -5,17 +5,16 @@ Retention belongs to the store (``retain_newest``); analysis reads every row it
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import tree
-from .skew import lag_in_slices, newest, top_k
+from .baselines import BLOCK, running_median_mad
+from .skew import lag_in_slices, newest, number_within, top_k
 
 # Fixed values of the history store and the forecast model.
 RETAINED = 500
@@ -106,82 +105,40 @@ def history_rows(snapshots: DataFrame) -> DataFrame:
     return growth(snapshots).withColumn("change", label)
 
 
-class Baseline:
-    """Median and MAD of all rates seen so far, each in logarithmic time."""
-
-    def __init__(self) -> None:
-        self.rates: list[float] = []
-
-    def add(self, rate: float) -> None:
-        insort(self.rates, rate)
-
-    def median(self) -> float:
-        n = len(self.rates)
-        return self.rates[n // 2] if n % 2 else (self.rates[n // 2 - 1] + self.rates[n // 2]) / 2.0
-
-    def _kth(self, median: float, k: int) -> float:
-        """The ``k``-th smallest distance to the median (from 0): two sorted runs leave it to either side."""
-        rates, at = self.rates, bisect_left(self.rates, median)
-        low, high = max(0, k + 1 - (len(rates) - at)), min(at, k + 1)
-        while low < high:  # how many of the k + 1 nearest lie below the median
-            take = (low + high) // 2
-            right = k + 1 - take
-            if right > 0 and median - rates[at - take - 1] < rates[at + right - 1] - median:
-                low = take + 1
-            else:
-                high = take
-        right = k + 1 - low
-        return max(median - rates[at - low] if low else 0.0, rates[at + right - 1] - median if right else 0.0)
-
-    def mad(self, median: float) -> float:
-        n = len(self.rates)
-        return self._kth(median, n // 2) if n % 2 else (self._kth(median, n // 2 - 1) + self._kth(median, n // 2)) / 2.0
-
-
-VERDICTS = ["baseline_count", "baseline_median", "baseline_mad"]
-
-
-def _causal(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["ts", "snapshot_id"], kind="stable")
-    base, rows = Baseline(), []
-    for rate in frame["rate"]:
-        n = len(base.rates)
-        median = base.median() if n >= MIN_DELTAS else np.nan
-        rows.append((n, median, max(base.mad(median), MAD_FLOOR) if n >= MIN_DELTAS else np.nan))
-        base.add(rate)
-    columns = {name: [r[i] for r in rows] for i, name in enumerate(VERDICTS)}
-    return frame.assign(**columns)
-
-
-def anomalies(snapshots: DataFrame) -> DataFrame:
+def anomalies(snapshots: DataFrame, block: int = BLOCK) -> DataFrame:
     """Causal surge test: each change against the median and MAD of all strictly earlier rates.
 
-    Later snapshots never change a verdict. The baseline of a target is kept in
-    order by one task, with 8 bytes a snapshot and work in proportion to
-    ``n log n``; targets are apart from each other.
+    Later snapshots never change a verdict. A target of any size is worked on in
+    blocks of ``block`` snapshots (``baselines``). Rows without a rate (a total is
+    null) have no baseline and no verdict and enter no baseline.
     """
     rates = growth(snapshots).where("has_prev").drop("has_prev")
-    narrow = rates.select("target_key", "ts", "snapshot_id", "rate")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
-    base = narrow.groupBy("target_key").applyInPandas(_causal, f"{kinds}, baseline_count int, baseline_median double, baseline_mad double")
-    # NaN stands for "too few rates" on the way out of Python.
-    base = base.withColumns({c: F.when(F.col("baseline_count") >= MIN_DELTAS, F.col(c)) for c in VERDICTS[1:]})
-    based = rates.join(base.drop("rate"), ["target_key", "ts", "snapshot_id"])
-    enough = F.col("baseline_count") >= MIN_DELTAS
+    based = running_median_mad(rates.where(F.col("rate").isNotNull()), "target_key", ["ts", "snapshot_id"], "rate", block)
+    based = based.unionByName(rates.where(F.col("rate").isNull()), allowMissingColumns=True)
+    enough = F.col("earlier_count") >= MIN_DELTAS
+    based = based.withColumns({
+        "baseline_count": F.col("earlier_count").cast("int"),
+        "baseline_median": F.when(enough, F.col("earlier_median")),
+        "baseline_mad": F.when(enough, F.greatest("earlier_mad", F.lit(MAD_FLOOR))),
+    }).drop("earlier_count", "earlier_median", "earlier_mad")
     z = F.lit(Z_SCALE) * F.abs(F.col("rate") - F.col("baseline_median")) / F.col("baseline_mad")
     surge = (
-        enough
+        enough_rates()
         & (F.col("delta_bytes") >= MIN_ANOMALY_BYTES)
         & (F.col("rate") > F.col("baseline_median"))
         & (F.col("z_score") > Z_LIMIT)
     )
     return (
-        based.withColumn("z_score", F.when(enough, z))
-        .withColumn("insufficient_baseline", ~enough)
+        based.withColumn("z_score", F.when(enough_rates(), z))
+        .withColumn("insufficient_baseline", ~enough_rates())
         .withColumn("is_anomaly", F.coalesce(surge, F.lit(False)))
     )
 
 
+def enough_rates() -> Column:
+    return F.coalesce(F.col("baseline_count") >= MIN_DELTAS, F.lit(False))
+
+
 def mark_anomalies(rows: DataFrame, points: DataFrame) -> DataFrame:
     """History rows with the verdict of the same snapshot."""
     verdict = points.select("target_key", "snapshot_id", "is_anomaly", "z_score")
@@ -190,16 +147,21 @@ def mark_anomalies(rows: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
+def _middle(values: DataFrame, value: str, out: str) -> DataFrame:
+    """Median by position of every target; the rows are ranked across tasks, so no target is gathered."""
+    ranked = number_within(values, ["target_key"], [value], "_r")
+    sizes = values.groupBy("target_key").agg(F.count("*").alias("_n"))
+    middle = F.col("_r").between(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    return ranked.join(sizes, "target_key").where(middle).groupBy("target_key").agg(F.avg(value).alias(out))
+
+
 def rate_baseline(snapshots: DataFrame) -> DataFrame:
     """Median daily rate and MAD (with its floor) of each target over its whole history."""
-    rates = growth(snapshots).where("has_prev").select("target_key", "rate")
-    middle = rates.groupBy("target_key").agg(
-        F.percentile("rate", F.lit(0.5)).alias("median_rate"), F.count("*").alias("_n")
-    )
-    spread = rates.join(middle.drop("_n"), "target_key").groupBy("target_key", "median_rate").agg(
-        F.percentile(F.abs(F.col("rate") - F.col("median_rate")), F.lit(0.5)).alias("_mad")
-    )
-    return spread.select("target_key", "median_rate", F.greatest("_mad", F.lit(MAD_FLOOR)).alias("effective_mad"))
+    rates = cut_lineage(growth(snapshots).where(F.col("rate").isNotNull()).select("target_key", "rate"))
+    medians = _middle(rates, "rate", "median_rate")
+    away = rates.join(medians, "target_key").select("target_key", F.abs(F.col("rate") - F.col("median_rate")).alias("away"))
+    both = medians.join(_middle(away, "away", "_mad"), "target_key")
+    return both.select("target_key", "median_rate", F.greatest("_mad", F.lit(MAD_FLOOR)).alias("effective_mad"))
 
 
 # --- contributors ----------------------------------------------------------

@@ -121,7 +121,7 @@ def version_families(files: DataFrame, as_of: datetime) -> DataFrame:
             F.col("name").alias("name"), F.col("modified_at").alias("modified_at"), F.col("size").alias("size"),
         )).alias("active"),
     ).where((F.col("_n") >= 2) & F.col("_suffixed"))
-    members = attach(named, families, keys, group_rows="_n", spread="path_key")
+    members = attach(named, families, keys, group_rows="_n")
     twin = (F.col("modified_at") == F.col("active.modified_at")) & (F.col("size") == F.col("active.size"))
     older = members.where((F.col("path_key") != F.col("active.key")) & ~twin)
     suffixed = F.col("suffix") != ""

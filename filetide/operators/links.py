@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linktext as L
 from ..functions import paths as P
+from .skew import measured_join
 
 # Bits of what was found in a file.
 WORKBOOK, FORMULA, MACRO = 1, 2, 4
@@ -64,7 +65,7 @@ def rewrite(links: DataFrame, mapping: DataFrame) -> DataFrame:
         .groupBy("_key").agg(F.max(F.struct(F.length("prefix_key").alias("n"), "m")).alias("b"))
         .select("_key", F.col("b.m.old_prefix").alias("old_prefix"), F.col("b.m.new_prefix").alias("new_prefix"))
     )
-    joined = keyed.join(best, "_key", "left").drop("_key")
+    joined = measured_join(keyed, best, ["_key"], "left").drop("_key")
     formula = F.col("kind").isin("formula", "definedName")
     old, new = F.col("old_prefix"), F.col("new_prefix")
     replaced = F.when(formula, L.replace_in_formula(F.col("target"), old, new)).otherwise(

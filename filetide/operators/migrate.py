@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..session import cut_lineage
-from .skew import attach, top_k
+from .skew import attach, measured_join, number_within, running_min, running_sum, top_k
 
 MIB = 1024 * 1024
 MAX_FILES, MAX_HOURS = 100_000, 48
@@ -158,28 +155,34 @@ def units(nodes: DataFrame, totals: DataFrame, sources: DataFrame, policy: str =
 def next_fit(pieces: DataFrame, budget: int) -> DataFrame:
     """Waves by size budget, in order; an oversize first piece is kept.
 
-    The rule is sequential within a plan. Plans run in parallel; each is streamed
-    in order in Arrow batches with two numbers of state, never gathered.
+    A wave that starts at piece i ends before the first piece j whose running sum
+    passes the sum before i by more than the budget, so the next start of every
+    piece is a look-up among running sums. Starts are marked from the first piece
+    by doubling: with the 2^k-th next start of every piece, the first 2^k starts
+    give the next 2^k. A plan is many tasks and takes log2(waves) rounds.
     """
-    schema = "plan_id string, unit_id string, wave int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, wave, filled, count = None, 0, 0, 0
-        for batch in batches:
-            waves = []
-            for row_plan, size in zip(batch["plan_id"], batch["size"]):
-                if row_plan != plan:
-                    plan, wave, filled, count = row_plan, 1, 0, 0
-                elif count and filled + size > budget:
-                    wave, filled, count = wave + 1, 0, 0
-                filled, count = filled + size, count + 1
-                waves.append(wave)
-            yield pd.DataFrame({"plan_id": batch["plan_id"], "unit_id": batch["unit_id"], "wave": waves})
-
-    ordered = pieces.select("plan_id", "unit_id", "unit_ord", "size").repartition("plan_id").sortWithinPartitions(
-        "plan_id", "unit_ord", "unit_id"
-    )
-    return ordered.mapInPandas(run, schema)
+    order = ["unit_ord", "unit_id"]
+    sized = pieces.select("plan_id", "unit_id", "unit_ord", F.coalesce("size", F.lit(0)).cast("decimal(38,0)").alias("size"))
+    numbered = number_within(sized, ["plan_id"], order, "i")
+    summed = cut_lineage(running_sum(numbered, ["plan_id"], ["i"], "size", "before"))
+    # Sorted from the greatest sum down, the last end seen before a limit is the first that passes it.
+    ends = summed.select("plan_id", "i", (F.col("before") + F.col("size")).alias("at"), F.lit(1).alias("asks"), F.col("i").alias("j"))
+    limits = summed.select("plan_id", "i", (F.col("before") + F.lit(budget)).alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("j"))
+    found = running_min(ends.unionByName(limits), ["plan_id"], [F.desc("at"), F.col("asks"), F.col("i")], "j", "passes").where("asks = 0")
+    jump = cut_lineage(found.where("passes is not null").select("plan_id", "i", F.greatest(F.col("passes"), F.col("i") + 1).alias("to")))
+    jump = jump.join(summed.select("plan_id", F.col("i").alias("to")), ["plan_id", "to"], "left_semi")  # an oversize last piece has no next
+    starts = cut_lineage(summed.where("i = 0").select("plan_id", "i"))
+    jump = cut_lineage(jump)
+    while True:
+        reached = cut_lineage(starts.join(jump, ["plan_id", "i"]).select("plan_id", F.col("to").alias("i")))
+        if reached.isEmpty():
+            break
+        starts = cut_lineage(starts.unionByName(reached))
+        twice = jump.select("plan_id", F.col("i").alias("to"), F.col("to").alias("end"))
+        jump = cut_lineage(jump.join(twice, ["plan_id", "to"]).select("plan_id", "i", F.col("end").alias("to")))
+    marked = summed.select("plan_id", "unit_id", "i").join(starts.withColumn("starts", F.lit(1)), ["plan_id", "i"], "left")
+    counted = running_sum(marked.fillna(0, ["starts"]), ["plan_id"], ["i"], "starts", "earlier")
+    return counted.select("plan_id", "unit_id", (F.col("earlier") + F.col("starts")).cast("int").alias("wave"))
 
 
 def assign_waves(pieces: DataFrame, policy: str = TOP_LEVEL, budget: int = 500 * 1024 * MIB) -> DataFrame:
@@ -188,8 +191,8 @@ def assign_waves(pieces: DataFrame, policy: str = TOP_LEVEL, budget: int = 500 *
         return pieces.withColumn("wave", F.lit(1))
     if policy == BUDGET:
         return pieces.join(next_fit(pieces, budget), ["plan_id", "unit_id"])
-    order = Window.partitionBy("plan_id").orderBy("unit_ord", "unit_id")
-    return pieces.withColumn("wave", F.row_number().over(order))
+    numbered = number_within(pieces, ["plan_id"], ["unit_ord", "unit_id"], "_i")
+    return numbered.withColumn("wave", (F.col("_i") + 1).cast("int")).drop("_i")
 
 
 def node_waves(nodes: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -307,7 +310,7 @@ def deepest_place(entries: DataFrame, places: DataFrame) -> DataFrame:
         .groupBy("parent_key").agg(F.max(F.struct(P.components("place_key").alias("d"), "place_key")).alias("_p"), F.max("_rows").alias("_rows"))
         .select("parent_key", F.col("_p.place_key").alias("place_key"), "_rows")
     )
-    below = attach(entries, covered, ["parent_key"], group_rows="_rows", spread="path_key")
+    below = attach(entries, covered, ["parent_key"], group_rows="_rows")
     return below.join(places.select(F.col("place_key").alias("path_key")).distinct(), "path_key", "left_anti")
 
 
@@ -319,7 +322,7 @@ def expected_items(entries: DataFrame, copy: DataFrame) -> DataFrame:
     """
     places = copy.select(F.col("source_key").alias("place_key")).distinct()
     owned = deepest_place(entries, places)
-    moved = owned.join(copy.select("plan_id", "wave", F.col("source_key").alias("place_key"), "destination_key"), "place_key")
+    moved = measured_join(owned, copy.select("plan_id", "wave", F.col("source_key").alias("place_key"), "destination_key"), ["place_key"])
     suffix = F.substring(F.col("path_key"), F.length("place_key") + F.lit(1), F.length("path_key"))
     items = moved.select(
         "plan_id", "wave", F.concat("destination_key", suffix).alias("target_key"), "is_dir", F.col("path_key").alias("source_key"),
@@ -364,7 +367,7 @@ def removals(actual: DataFrame, items: DataFrame, copy: DataFrame, wave: int | N
     places = copy.select(F.col("destination_key").alias("place_key")).distinct()
     active = copy if wave is None else copy.where(F.col("wave") == wave)
     mine = active.select("plan_id", F.col("destination_key").alias("place_key")).distinct()
-    owned = deepest_place(actual, places).join(mine, "place_key")
+    owned = measured_join(deepest_place(actual, places), mine, ["place_key"])
     wanted = items.select("plan_id", F.col("target_key").alias("path_key")).distinct()
     ancestors = P.explode_all_ancestors(copy.select("plan_id", "destination_key").distinct(), "destination_key", "path_key").select(
         "plan_id", "path_key").distinct()

@@ -7,43 +7,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256  # size bound of the broadcast list of hot keys
+from ..session import cut_lineage
+
 HOT_ROWS = 500_000  # a smaller group fits one task; salting it would only cost
-SALTS = 64
+HOT_LIST = 10_000  # bound on the broadcast list of hot keys: only keys with more than this share of all hot rows enter it
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``keys`` of groups too large for one task, with ``_salts``: the tasks each is spread over, by its own rows.
+
+    ``counts`` has one row per key and its rows in ``_rows``. At most
+    ``HOT_LIST`` keys can hold ``1 / HOT_LIST`` of the hot rows, so the list is
+    small whatever the input; a key below that share is no larger than any of the
+    parts the others are cut into. None where no group is that large.
+    """
+    large = cut_lineage(counts.where(F.col("_rows") >= hot_rows).select(*keys, "_rows"))
+    total = large.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return None
+    part = max(hot_rows, -(-total // HOT_LIST))
+    return large.where(F.col("_rows") >= part).select(*keys, F.ceil(F.col("_rows") / part).cast("long").alias("_salts"))
+
+
+def measured_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, counts: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """A join on ``keys`` in which a key of ``left`` takes as many tasks as its rows need.
+
+    Rows of a hot key are dealt over its salts, and its rows of ``right`` repeated
+    once per salt; every other key has salt 0. Every row of ``left`` meets every
+    row of ``right`` with its key exactly once, so ``inner``, ``left``,
+    ``left_semi`` and ``left_anti`` give what the plain join gives. The rows of
+    each key are counted first, unless ``counts`` has them.
+    """
+    keys = list(keys)
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    found = hot_keys(counts.dropna(subset=keys), keys, hot_rows)
+    if found is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(found)
+    dealt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")), F.lit(0).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    one = left.join(hot, keys, "left").withColumn("_salt", dealt).drop("_salts")
+    two = right.join(hot, keys, "left").withColumn("_salt", every).drop("_salts")
+    return one.join(two, [*keys, "_salt"], how).drop("_salt")
 
 
 def attach(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: Sequence[str],
-    *,
-    group_rows: str,
-    spread: str,
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], *, group_rows: str, how: str = "inner", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join per-group values back to the rows they came from, salting hot groups.
+    """Join per-group values back to the rows they came from, hot groups spread.
 
     ``groups`` has one row per key with its row count in ``group_rows`` (dropped
-    from the result). The at most ``HOT_KEYS`` largest groups above ``hot_rows``
-    are broadcast; their rows are spread over ``SALTS`` tasks by a hash of
-    ``spread`` and their single group row is repeated once per salt. Every other
-    key has salt 0. The result equals a plain join whatever the list holds.
+    from the result), so the rows need not be counted again; it is written once
+    and read for both the list of hot keys and the join.
     """
-    keys = list(keys)
-    hot = F.broadcast(
-        groups.where(F.col(group_rows) >= hot_rows)
-        .orderBy(F.desc(group_rows), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(
-        F.array(F.lit(0).cast("long"))
-    )
-    right = groups.drop(group_rows).join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    held = cut_lineage(groups)
+    counts = held.select(*keys, F.col(group_rows).alias("_rows"))
+    return measured_join(rows, held.drop(group_rows), keys, how, counts=counts, hot_rows=hot_rows)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
@@ -87,7 +109,7 @@ def lag_in_slices(
         .drop("_tail")
     )
     lagged = sliced.withColumn("_prev", F.lag(packed).over(inner))
-    joined = attach(lagged, tails, [*keys, "_slice"], group_rows="_n", spread=order[-1], how="left")
+    joined = attach(lagged, tails, [*keys, "_slice"], group_rows="_n", how="left")
     joined = joined.withColumn("_prev", F.coalesce("_prev", "_carry"))
     return joined.select(
         *df.columns,
@@ -121,3 +143,46 @@ def number_rows(df: DataFrame, rank: Column, order: Sequence[Column], out: str,
         .withColumn(out, F.row_number().over(inside) + F.col("_offset"))
         .drop("_part", "_offset", "_key")
     )
+
+
+def _in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """``df`` sorted by ranges of key and order and written, with ``_at`` growing along and ``_part`` its partition.
+
+    A large key is many partitions.
+    """
+    spread = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return cut_lineage(spread.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+
+
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """Consecutive numbers from 0 along ``order`` among the rows of every key, however many rows one has.
+
+    The rows a key has in the partitions before are added to the number in its own.
+    """
+    keys = list(keys)
+    placed = _in_parts(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    pieces = pieces.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(pieces, [*keys, "_part"]).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the key strictly before each row along ``order``; 0 for the first."""
+    return _running(df, keys, order, value, out, F.sum, lambda inside, carried: F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0)))
+
+
+def running_min(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, out: str) -> DataFrame:
+    """Least ``value`` of the rows of the key strictly before each row along ``order``; null where there is none."""
+    return _running(df, keys, order, value, out, F.min, F.least)
+
+
+def _running(df, keys, order, value, out, gather, both) -> DataFrame:
+    keys = list(keys)
+    placed = _in_parts(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(*keys, "_part").agg(gather(value).alias("_whole"))
+    pieces = pieces.select(*keys, "_part", gather("_whole").over(before).alias("_carried"))
+    joined = placed.withColumn("_inside", gather(value).over(inside)).join(pieces, [*keys, "_part"])
+    return joined.select(*df.columns, both(F.col("_inside"), F.col("_carried")).alias(out))

@@ -115,7 +115,7 @@ def root_share(rolled: DataFrame) -> DataFrame:
     roots = rolled.where(F.col("folder_key") == F.col("root_key")).select(
         *TREE, F.col("bytes").alias("root_bytes"), (F.col("folders") + 1).alias("_rows")
     )
-    joined = attach(rolled, roots, TREE, group_rows="_rows", spread="folder_key", how="left")
+    joined = attach(rolled, roots, TREE, group_rows="_rows", how="left")
     share = F.when(F.col("root_bytes") > 0, F.least(F.lit(100.0), F.col("bytes") / F.col("root_bytes") * 100.0))
     return joined.withColumn("percentage", F.coalesce(share, F.lit(0.0)))
 
@@ -142,7 +142,7 @@ def child_share(entries: DataFrame) -> DataFrame:
         (F.col("files") + F.col("folders")).alias("_rows"),
     )
     joined = attach(
-        node_sizes(entries, rolled), parents, [*TREE, "parent_key"], group_rows="_rows", spread="path_key"
+        node_sizes(entries, rolled), parents, [*TREE, "parent_key"], group_rows="_rows"
     )
     whole = F.greatest(F.col("parent_bytes"), F.lit(1))
     return joined.withColumn("share", F.least(F.lit(100.0), F.col("size") / whole * 100.0))

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import tree
+from ..operators.skew import measured_join
+from ..session import cut_lineage
 
 LAYOUT = ["root_part", "snapshot_id"]
 
@@ -35,7 +37,8 @@ def publish(entries: DataFrame, folder: str) -> None:
 def split_by_coverage(entries: DataFrame, coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of complete scans, and those of scans that must not replace a good snapshot."""
     complete = coverage.where("is_complete").select(*tree.TREE)
-    return entries.join(complete, tree.TREE, "left_semi"), entries.join(complete, tree.TREE, "left_anti")
+    counts = cut_lineage(entries.groupBy(*tree.TREE).agg(F.count("*").alias("_rows")))
+    return measured_join(entries, complete, tree.TREE, "left_semi", counts=counts), measured_join(entries, complete, tree.TREE, "left_anti", counts=counts)
 
 
 def publish_if_complete(entries: DataFrame, coverage: DataFrame, folder: str, partial_folder: str) -> None:

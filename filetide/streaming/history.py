@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from .. import schemas
 
@@ -15,7 +20,70 @@ def read_snapshots(spark: SparkSession, folder: str, glob: str | None = None) ->
     return reader.parquet(folder)
 
 
+KEPT = "us bigint, snapshot_id string, total_bytes bigint, total_files bigint"
+
+
+class EarliestOfSecond(StatefulProcessor):
+    """State of one target and second: its earliest snapshot so far, given out when the second closes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", KEPT)
+
+    @staticmethod
+    def _rows(target: str, rows: list[tuple], late: bool) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["us", "snapshot_id", "total_bytes", "total_files"])
+        out.insert(0, "target_key", target)
+        whole = out.astype({"total_bytes": "Int64", "total_files": "Int64"})
+        return whole.assign(ts=pd.to_datetime(whole["us"], unit="us"), late=late)[["target_key", "snapshot_id", "ts", "total_bytes", "total_files", "late"]]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        target, second = key
+        closes = (int(second) + 1) * 1000
+        closed = closes <= timerValues.getCurrentWatermarkInMs()
+        best = self.kept.get() if not closed and self.kept.exists() else None
+        changed = False
+        for frame in rows:
+            whole = lambda x: None if pd.isna(x) else int(x)
+            here = [(int(u), s, whole(b), whole(f)) for u, s, b, f in zip(frame["us"], frame["snapshot_id"], frame["total_bytes"], frame["total_files"])]
+            if closed:
+                yield self._rows(target, here, True)
+                continue
+            first = min(here, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+            if best is None or (first[0], first[1] is not None, first[1] or "") < (best[0], best[1] is not None, best[1] or ""):
+                best, changed = first, True
+        if changed:
+            self.kept.update(tuple(best))
+            self.handle.registerTimer(closes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.kept.exists():
+            yield self._rows(key[0], [tuple(self.kept.get())], False)
+            self.kept.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def stream_history(snapshots: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One row per target and second; the watermark bounds the state that remembers seconds."""
-    keyed = snapshots.withColumn("second", F.date_trunc("second", "ts")).withWatermark("ts", delay)
-    return keyed.dropDuplicatesWithinWatermark(["target_key", "second"]).drop("second")
+    """One row per target and second, the earliest by ``(ts, snapshot_id)`` of those that came in time.
+
+    A second closes when the watermark, ``delay`` behind the newest snapshot,
+    passes its end; its row then leaves with ``late`` false, as the batch form keeps
+    it, whatever the order of arrival. A snapshot of a second that has closed leaves
+    at once with ``late`` true, so that none is lost uncounted (``late_counts``).
+    Needs the RocksDB state store.
+    """
+    marked = snapshots.withWatermark("ts", delay)
+    # The copy of the time carries no watermark: late rows reach the processor instead of being dropped before it.
+    us = F.unix_micros("ts")
+    rows = marked.select("target_key", F.floor(us / 1_000_000).alias("second"), us.alias("us"), "snapshot_id", "total_bytes", "total_files")
+    schema = StructType([*[snapshots.schema[c] for c in ("target_key", "snapshot_id", "ts", "total_bytes", "total_files")]]).add("late", "boolean")
+    return rows.groupBy("target_key", "second").transformWithStateInPandas(
+        statefulProcessor=EarliestOfSecond(), outputStructType=schema, outputMode="append", timeMode="EventTime"
+    )
+
+
+def late_counts(written: DataFrame) -> DataFrame:
+    """Late snapshots of every target in the written output of ``stream_history``."""
+    return written.groupBy("target_key").agg(F.sum(F.col("late").cast("long")).alias("late"))

@@ -41,11 +41,16 @@ def test_smoothing_over_the_whole_history(spark):
     assert abs(got["level"] - level) < 1e-6 * abs(level) and abs(got["trend"] - trend) < 1e-6 * abs(trend)
 
 
-def test_chain_of_groups_with_a_cycle(spark):
-    n = 70
-    edges = [("user", "g0"), *[(f"g{i}", f"g{i + 1}") for i in range(n)], (f"g{n}", "g60")]
+def test_chain_of_groups_with_a_cycle(spark, monkeypatch):
+    """A thousand groups deep, closed in about ten rounds; each writes one table."""
+    n = 1_000
+    edges = [("user", "g0"), *[(f"g{i}", f"g{i + 1}") for i in range(n)], (f"g{n}", "g900")]
+    written, original = [], access.cut_lineage
+    monkeypatch.setattr(access, "cut_lineage", lambda df: written.append(1) or original(df))
     closure = access.group_closure(spark.createDataFrame(edges, "member_sid string, group_sid string"))
     assert {r["group_sid"]: r["depth"] for r in closure.where("member_sid = 'user'").collect()} == {f"g{i}": i + 1 for i in range(n + 1)}
+    assert {r["group_sid"]: r["depth"] for r in closure.where("member_sid = 'g950'").collect()} == {f"g{900 + i}": i - 50 if i > 50 else i + 51 for i in range(101)}
+    assert len(written) <= 12
 
 
 def test_design_of_twenty_levels(spark, tmp_path):

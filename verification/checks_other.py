@@ -12,6 +12,7 @@ from filetide.sources import inventory, reports
 from filetide.streaming import alerts, history as stream_history
 
 from .checks_audit import candidates
+from .checks_tree import STAMP, text_time
 from .registry import ORACLE, add, once, positioned
 
 TARGET = "/target"
@@ -302,13 +303,28 @@ def run_stream(t, frame, out):
     return t.spark.read.schema(frame.schema).parquet(out)
 
 
+@once
 def streamed_history(t):
-    twice = t.snapshots.unionByName(t.snapshots)
-    source, out = arriving(t, "history", twice)
-    return run_stream(t, stream_history.stream_history(source), out).groupBy("target_key").agg(F.count("*").alias("n"))
-
-
-add("r1_stream_history", streamed_history, "SELECT target_key, COUNT(DISTINCT date_trunc('second', ts)) AS n FROM {snapshots} GROUP BY ALL")
+    """Snapshots arriving in three parts without order, each also a tenth of a second later; then a far newer one, then late copies."""
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", alerts.STATE_STORE)
+    folder, out = scratch_path(t.spark, "history"), scratch_path(t.spark, "history-out")
+    twice = t.snapshots.unionByName(t.snapshots.withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 MILLISECONDS")))
+    part = F.pmod(F.xxhash64("snapshot_id", "ts"), F.lit(3))
+    closing = t.snapshots.agg(F.max("ts").alias("ts")).select(
+        F.lit("~closing").alias("target_key"), F.lit("~closing").alias("snapshot_id"), (F.col("ts") + F.expr("INTERVAL 3000 DAYS")).alias("ts"), F.lit(0).cast("long").alias("total_bytes"), F.lit(0).cast("long").alias("total_files"))
+    late = t.snapshots.withColumn("snapshot_id", F.concat(F.lit("late-"), "snapshot_id"))
+    for arrival in (*[twice.where(part == i) for i in range(3)], closing, late):
+        arrival.write.mode("append").parquet(folder)
+        written = run_stream(t, stream_history.stream_history(stream_history.read_snapshots(t.spark, folder), "2000 days"), out)
+    return written.where("target_key <> '~closing'").select("target_key", "snapshot_id", text_time("ts"), "total_bytes", "total_files", "late")
+
+
+add("r1_stream_history", streamed_history,
+    f"""SELECT target_key, snapshot_id, strftime(ts, '{STAMP}') AS ts, total_bytes, total_files, FALSE AS late FROM (
+         SELECT *, row_number() OVER (PARTITION BY target_key, date_trunc('second', ts) ORDER BY ts, snapshot_id) AS rn FROM {{snapshots}}) WHERE rn = 1
+       UNION ALL SELECT target_key, 'late-' || snapshot_id, strftime(ts, '{STAMP}'), total_bytes, total_files, TRUE FROM {{snapshots}}""")
+add("r1_late_counts", lambda t: stream_history.late_counts(streamed_history(t)).where("late > 0"),
+    "SELECT target_key, COUNT(*) AS late FROM {snapshots} GROUP BY ALL")
 
 
 def streamed_alerts(t):

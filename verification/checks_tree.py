@@ -247,19 +247,29 @@ add(
 
 # --- history -----------------------------------------------------------------
 
-ORACLE["grown"] = """
+def grown(snapshots: str) -> str:
+    return f"""
   SELECT *, total_bytes - prev_bytes AS delta, GREATEST((epoch_us(ts) - epoch_us(prev_ts)) / 86400000000.0, 1.0 / 86400) AS days,
     (total_bytes - prev_bytes) / GREATEST((epoch_us(ts) - epoch_us(prev_ts)) / 86400000000.0, 1.0 / 86400) AS rate,
     row_number() OVER (PARTITION BY target_key ORDER BY ts, snapshot_id) AS rn FROM (
-    SELECT *, lag(total_bytes) OVER w AS prev_bytes, lag(ts) OVER w AS prev_ts, lag(snapshot_id) OVER w AS prev_id FROM {snapshots}
+    SELECT *, lag(total_bytes) OVER w AS prev_bytes, lag(ts) OVER w AS prev_ts, lag(snapshot_id) OVER w AS prev_id FROM {{{snapshots}}}
     WINDOW w AS (PARTITION BY target_key ORDER BY ts, snapshot_id))"""
+
+
+ORACLE["grown"] = grown("snapshots")
 ORACLE["kept"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_key ORDER BY ts DESC, snapshot_id DESC) AS age FROM {snapshots}) WHERE age <= 500"
-ORACLE["verdicts"] = """
+def verdicts(grown: str) -> str:
+    """Each change with median and MAD of the earlier ones of its target."""
+    past = "OVER (PARTITION BY target_key ORDER BY ts, snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
   SELECT *, rn - 2 AS base_n, CASE WHEN rn - 2 >= 5 THEN 0.6745 * abs(rate - med) / GREATEST(mad, 10485760.0) END AS z FROM (
-    SELECT g.*, list_aggregate(base, 'median') AS med,
-      list_aggregate(list_transform(base, lambda x: abs(x - list_aggregate(base, 'median'))), 'median') AS mad FROM (
-      SELECT *, list(rate) OVER (PARTITION BY target_key ORDER BY ts, snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base
-      FROM {grown} WHERE prev_ts IS NOT NULL) g) v"""
+    SELECT *, median(rate) {past} AS med, mad(rate) {past} AS mad FROM {{{grown}}} WHERE prev_ts IS NOT NULL) v"""
+
+
+ORACLE["verdicts"] = verdicts("grown")
+ORACLE["one_target"] = "SELECT 'all' AS target_key, * EXCLUDE (target_key) FROM {snapshots}"
+ORACLE["one_grown"] = grown("one_target")
+ORACLE["one_verdicts"] = verdicts("one_grown")
 
 add(
     "a12_load_history",
@@ -305,6 +315,16 @@ add(
     """SELECT target_key, snapshot_id, delta AS delta_bytes, base_n AS baseline_count, base_n < 5 AS insufficient_baseline,
          COALESCE(base_n >= 5 AND delta >= 524288000 AND rate > med AND z > 3.5, FALSE) AS is_anomaly, round(z, 4) AS z_score FROM {verdicts}""",
 )
+# Every snapshot in one target, in blocks far smaller than it.
+add(
+    "e6_one_target",
+    lambda t: history.anomalies(t.snapshots.withColumn("target_key", F.lit("all")), block=1 << 10).select(
+        "snapshot_id", "delta_bytes", "baseline_count", "insufficient_baseline", "is_anomaly", F.round(F.col("baseline_median") / 1e6, 2).alias("median_mb"),
+        F.round(F.col("baseline_mad") / 1e6, 2).alias("mad_mb"), F.round("z_score", 4).alias("z_score")),
+    """SELECT snapshot_id, delta AS delta_bytes, base_n AS baseline_count, base_n < 5 AS insufficient_baseline,
+         COALESCE(base_n >= 5 AND delta >= 524288000 AND rate > med AND z > 3.5, FALSE) AS is_anomaly, CASE WHEN base_n >= 5 THEN round(med / 1e6, 2) END AS median_mb,
+         CASE WHEN base_n >= 5 THEN round(GREATEST(mad, 10485760.0) / 1e6, 2) END AS mad_mb, round(z, 4) AS z_score FROM {one_verdicts}""",
+)
 add(
     "d22_history_with_anomalies",
     lambda t: history.mark_anomalies(history.history_rows(t.snapshots), history.anomalies(t.snapshots)).select(

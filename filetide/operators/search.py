@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.snippets import snippet_at
+from ..session import cut_lineage
+from ..sources.textstore import TextStore
+from .text import group_candidates
 
 MAX_ROWS = 10_000  # rows kept for display; totals always count everything
 
@@ -106,11 +109,15 @@ def text_marks(texts: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
     return texts.where(meets_one).select("path_key", F.array(*marks).alias("marks"))
 
 
-def content_hits(entries: DataFrame, texts: DataFrame, spec: SearchSpec) -> DataFrame:
+def content_hits(entries: DataFrame, texts: DataFrame | TextStore, spec: SearchSpec, index: DataFrame | None = None) -> DataFrame:
     """Name-or-content search: groups the name does not meet must be met by the text.
 
     The ``content_keyword`` is always required from the text. In plain mode the
     name must match in full and only the ``content_keyword`` is looked up.
+
+    Metadata decides first. With a ``TextStore`` only the files that hold texts of
+    the entries left are read, and with a trigram ``index`` only entries whose
+    postings allow the groups still open are left.
     """
     base = entries.where(spec.metadata_column())
     named = spec.name_column()
@@ -128,7 +135,13 @@ def content_hits(entries: DataFrame, texts: DataFrame, spec: SearchSpec) -> Data
     else:
         candidates = candidates.where(named)
 
-    joined = candidates.withColumn("_named", F.array(*met_by_name)).join(text_marks(texts, groups), "path_key")
+    candidates = candidates.withColumn("_named", F.array(*met_by_name))
+    if index is not None:
+        candidates = _allowed(candidates, index, groups)
+    if isinstance(texts, TextStore):
+        candidates = cut_lineage(candidates)
+        texts = texts.of(candidates)
+    joined = candidates.join(text_marks(texts, groups), "path_key")
     numbers = range(1, len(groups) + 1)
     required = [~F.element_at("_named", i) for i in numbers]
     in_text = [F.element_at("marks", i).isNotNull() for i in numbers]
@@ -145,6 +158,16 @@ def content_hits(entries: DataFrame, texts: DataFrame, spec: SearchSpec) -> Data
     return name_hits(entries, spec).unionByName(from_text)
 
 
+def _allowed(candidates: DataFrame, index: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
+    """Candidates whose open groups (``_named`` says which the name meets) may all be in the text."""
+    open_groups = [i for i, g in enumerate(groups) if all(len(w) >= 3 for w in g)]
+    if not open_groups:
+        return candidates
+    known = candidates.join(group_candidates(index, groups), "path_key", "left")
+    may = [F.element_at("_named", i + 1) | F.coalesce(F.array_contains("_met", i), F.lit(False)) for i in open_groups]
+    return known.where(T.every(may)).drop("_met")
+
+
 def link_hits(entries: DataFrame, links: DataFrame, spec: SearchSpec) -> DataFrame:
     """Office files with any external link, or with one whose target contains a text."""
     targets = links
@@ -159,10 +182,12 @@ def link_hits(entries: DataFrame, links: DataFrame, spec: SearchSpec) -> DataFra
     )
 
 
-def hits(entries: DataFrame, spec: SearchSpec, texts: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+def hits(
+    entries: DataFrame, spec: SearchSpec, texts: DataFrame | TextStore | None = None, links: DataFrame | None = None, index: DataFrame | None = None
+) -> DataFrame:
     """All hits of a spec with excerpt and reason."""
     if (spec.content_mode or spec.content_keyword) and texts is not None:
-        return content_hits(entries, texts, spec)
+        return content_hits(entries, texts, spec, index)
     if (spec.link_only or spec.link_keyword) and links is not None:
         return link_hits(entries, links, spec)
     return name_hits(entries, spec)

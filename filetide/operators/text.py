@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.markup import markup_to_text
 from ..functions.snippets import three_line_excerpt
+from ..session import cut_lineage
+from ..sources.textstore import TextStore
+from .skew import measured_join
+
+SHARD = 50_000  # keywords in one automaton: some 20 MB
 
 # --- paged documents -------------------------------------------------------
 
@@ -62,38 +69,47 @@ def _pieces(text: Column, width: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * width + "))"), F.lit(1))
 
 
-def match_keyword_table(docs: DataFrame, keywords: DataFrame, key: str = "path_key") -> DataFrame:
+def match_keyword_table(docs: DataFrame, keywords: DataFrame, key: str = "path_key", shard: int = SHARD) -> DataFrame:
     """Which keywords of a table each document contains, for keyword lists too long for expressions.
 
-    ``keywords(group_id, keyword)``. Each keyword is looked up by its rarest
-    trigram, so a common start of words does not pair it with every document;
-    candidates are then verified on the text. Keywords below three characters
-    have no trigram and are tested as a literal list, which their number bounds.
+    ``keywords(group_id, keyword)``. The distinct keywords are dealt by hash into
+    shards of about ``shard``; of each an Aho-Corasick automaton is built in the
+    tasks that read the texts, which finds all its keywords in one pass over a text.
+    Texts are read once per shard and never shuffled: what leaves the scan is a
+    document with the keywords it holds.
     """
-    words = keywords.select("group_id", F.lower("keyword").alias("keyword")).where(F.col("keyword") != "").distinct()
-    long_words = words.where(F.length("keyword") >= 3)
-    word_grams = distinct_trigrams(long_words.select("keyword").distinct(), "keyword", "keyword")
-    wanted = word_grams.select("trigram").distinct()
-    postings = distinct_trigrams(docs, key, "text").join(wanted, "trigram", "left_semi")
-    frequency = postings.groupBy("trigram").agg(F.count("*").alias("df"))
-    # A trigram without a posting makes its keyword impossible: count 0 sorts first and joins nothing.
-    anchors = word_grams.join(frequency, "trigram", "left").groupBy("keyword").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "trigram"))["trigram"].alias("trigram")
-    )
-    candidates = postings.join(anchors, "trigram").select(key, "keyword").distinct()
-    lowered = docs.select(key, F.lower("text").alias("_text"))
-    verified = candidates.join(lowered, key).where(F.contains("_text", F.col("keyword"))).select(key, "keyword")
-    found = verified.join(long_words, "keyword").select(key, "group_id", "keyword")
-    short = words.where(F.length("keyword") < 3)
-    cells = distinct_short(docs, key).join(short, "keyword").select(key, "group_id", "keyword")
-    return found.unionByName(cells)
+    words = cut_lineage(keywords.select("group_id", F.lower("keyword").alias("keyword")).where(F.col("keyword") != "").distinct())
+    distinct = words.select("keyword").distinct()
+    shards = max(1, -(-distinct.count() // shard))
+    dealt = cut_lineage(distinct.withColumn("_shard", F.pmod(F.xxhash64("keyword"), F.lit(shards))))
+    # Lower case is Spark's on both sides.
+    lowered = docs.where(F.col("text").isNotNull()).select(key, F.lower("text").alias("_text"))
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, keyword string"
+    found = [
+        lowered.mapInArrow(_scanner([r["keyword"] for r in dealt.where(F.col("_shard") == i).select("keyword").collect()], key), schema)
+        for i in range(shards)
+    ]
+    return measured_join(reduce(DataFrame.unionByName, found), words, ["keyword"]).select(key, "group_id", "keyword")
+
+
+def _scanner(words: Sequence[str], key: str):
+    """All of ``words`` that occur in each text, once each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            automaton.add_word(word, i)
+        if words:
+            automaton.make_automaton()
+        for batch in batches:
+            hits = [sorted({i for _, i in automaton.iter(t)}) if words else [] for t in batch.column("_text").to_pylist()]
+            places = pa.array([at for at, found in enumerate(hits) for _ in found], pa.int64())
+            found = pa.array([words[i] for held in hits for i in held], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(places), found], names=[key, "keyword"])
 
-
-def distinct_short(docs: DataFrame, key: str) -> DataFrame:
-    """Distinct one- and two-character pieces of each document."""
-    lowered = F.lower("text")
-    both = F.array_union(F.array_distinct(_pieces(lowered, 1)), F.array_distinct(_pieces(lowered, 2)))
-    return docs.select(key, F.explode(both).alias("keyword"))
+    return scan
 
 
 # --- trigram index ---------------------------------------------------------
@@ -102,31 +118,58 @@ def trigram_index(docs: DataFrame, key: str = "path_key") -> DataFrame:
     return distinct_trigrams(docs, key, "text")
 
 
-def write_trigram_index(index: DataFrame, path: str, key: str = "path_key", partitions: int = 200) -> None:
+def write_trigram_index(index: DataFrame, path: str, key: str = "path_key", partitions: int | None = None) -> None:
     """Postings sorted by trigram, so that a query reads a few row groups.
 
     The range is over trigram and document, which splits a very common trigram.
+    Without ``partitions`` Spark sets their number by size.
     """
-    index.repartitionByRange(partitions, "trigram", key).sortWithinPartitions("trigram", key).write.mode(
-        "overwrite").parquet(path)
+    ranged = index.repartitionByRange(*([partitions] if partitions else []), "trigram", key)
+    ranged.sortWithinPartitions("trigram", key).write.mode("overwrite").parquet(path)
+
+
+def _grams(text: str) -> list[str]:
+    lowered = text.lower()
+    return sorted({lowered[i:i + 3] for i in range(len(lowered) - 2)})
 
 
 def trigram_candidates(index: DataFrame, query: str, key: str = "path_key") -> DataFrame:
     """Documents that hold every trigram of the query; some may not hold the query itself."""
-    text = query.lower()
-    grams = sorted({text[i:i + 3] for i in range(len(text) - 2)})
+    grams = _grams(query)
     if not grams:
         raise ValueError("a query needs three characters to use the index")
     hits = index.where(F.col("trigram").isin(grams)).groupBy(key).agg(F.count("*").alias("_n"))
     return hits.where(F.col("_n") == len(grams)).select(key)
 
 
-def trigram_search(index: DataFrame, docs: DataFrame, query: str, key: str = "path_key") -> DataFrame:
-    """Documents that contain the query: candidates from the index, verified on the text."""
+def group_candidates(index: DataFrame, groups: Sequence[Sequence[str]], key: str = "path_key") -> DataFrame:
+    """``(key, _met)``: numbers of the keyword groups whose words a document may hold, from one read of the postings.
+
+    A group with a word below three characters may be met by any document and is
+    left out.
+    """
+    asked = {i: [_grams(w) for w in g] for i, g in enumerate(groups) if all(len(w) >= 3 for w in g)}
+    every = sorted({gram for words in asked.values() for grams in words for gram in grams})
+    held = index.where(F.col("trigram").isin(every)).groupBy(key).agg(F.collect_set("trigram").alias("_held"))
+    holds = lambda grams: F.size(F.array_intersect("_held", F.array(*map(F.lit, grams)))) == len(grams)
+    met = [F.when(T.any_of([holds(grams) for grams in words]), F.lit(i)) for i, words in asked.items()]
+    return held.select(key, F.array_compact(F.array(*met)).alias("_met")).where(F.size("_met") > 0)
+
+
+def trigram_search(index: DataFrame, docs: DataFrame | TextStore, query: str, key: str = "path_key") -> DataFrame:
+    """Documents that contain the query: candidates from the index, verified on the text.
+
+    With a ``TextStore`` only the files that hold candidates are read.
+    """
     test = F.contains(F.lower("text"), F.lit(query.lower()))
     if len(query) < 3:
-        return docs.where(test).select(key)
-    return docs.where(test).join(trigram_candidates(index, query, key), key, "left_semi").select(key)
+        return (docs.all() if isinstance(docs, TextStore) else docs).where(test).select(key)
+    candidates = trigram_candidates(index, query, key)
+    if isinstance(docs, TextStore):
+        candidates = cut_lineage(candidates)
+        docs = docs.of(candidates)
+    # The text is tested where it is read; only keys go on to the join.
+    return docs.where(test).select(key).join(candidates, key, "left_semi")
 
 
 # --- decoding --------------------------------------------------------------
@@ -149,16 +192,20 @@ def _decode(raw: bytes) -> str:
 def decode_text(files: DataFrame) -> DataFrame:
     """``file_text`` from ``file_content``: byte order mark, UTF-16 by null bytes, strict UTF-8, else CP932.
 
-    Encodings are the one thing expressions cannot detect, so bytes go through
-    Python in Arrow batches. The whole content decides.
+    The whole content decides. Valid UTF-8 without a null byte, marked or not, is
+    decoded by expressions; only other contents travel to Python in Arrow batches
+    (a null byte may mean UTF-16, and ``decode`` stops at a broken one).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [None if raw is None else _decode(bytes(raw)) for raw in batch["content"]]
-            yield pd.DataFrame({"path_key": batch["path_key"], "text": texts})
+    @F.pandas_udf("string")
+    def decode_rest(content: pd.Series) -> pd.Series:
+        return content.map(lambda raw: None if raw is None else _decode(bytes(raw)))
 
-    return files.select("path_key", "content").mapInPandas(run, "path_key string, text string")
+    raw = F.col("content")
+    mark = F.lit(bytearray(b"\xef\xbb\xbf"))
+    plain = F.is_valid_utf8(raw.cast("string")) & ~F.contains(raw, F.lit(bytearray(b"\x00")))
+    body = F.when(F.startswith(raw, mark), F.substring(raw, F.lit(4), F.octet_length(raw))).otherwise(raw)
+    return files.select("path_key", F.when(plain, body.cast("string")).otherwise(decode_rest(F.when(~plain, raw))).alias("text"))
 
 
 def pages_to_text(pages: DataFrame, markup: str = "html", key: str = "path_key") -> DataFrame:

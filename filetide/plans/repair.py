@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import terms
 from ..operators import links, media, search
+from ..sources.textstore import TextStore
 
 
 def link_repair_plan(all_links: DataFrame, mapping: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
@@ -28,11 +29,11 @@ def media_report(entries: DataFrame, optimised: DataFrame, **options: object) ->
 
 
 def run_search(
-    entries: DataFrame, spec: search.SearchSpec, as_of: datetime, texts: DataFrame | None = None, links: DataFrame | None = None,
-    order: str = "Relevance",
+    entries: DataFrame, spec: search.SearchSpec, as_of: datetime, texts: DataFrame | TextStore | None = None, links: DataFrame | None = None,
+    order: str = "Relevance", index: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All hits in order and their totals; ``search.shown``-like cuts are the caller's."""
-    found = search.hit_columns(search.hits(entries, spec, texts, links))
+    found = search.hit_columns(search.hits(entries, spec, texts, links, index))
     words: Sequence[str] = [*spec.words(), *spec.phrases]
     scored = found.withColumn("relevance", terms.relevance(words, as_of, "snippet"))
     return {"totals": search.totals(found), "rows": search.sort_hits(scored, order)}

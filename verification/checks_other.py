@@ -265,29 +265,26 @@ add("j15_trigram_index", lambda t: text.trigram_index(t.file_text).groupBy("trig
     """SELECT trigram, COUNT(*) AS docs FROM (SELECT DISTINCT path_key, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS trigram FROM {file_text}) GROUP BY ALL""")
 
 
-def indexed_search(t):
-    folder = scratch_path(t.spark, "trigrams")
-    text.write_trigram_index(text.trigram_index(t.file_text), folder, partitions=8)
-    return text.trigram_search(t.spark.read.schema("path_key string, trigram string").parquet(folder), t.file_text, "There")
-
-
-add("j15_trigram_search", indexed_search, "SELECT path_key FROM {file_text} WHERE contains(lower(text), 'there')")
 add("f34_markup_to_text", lambda t: t.pages.select("page_id", markup.markup_to_text("html").alias("text")),
     r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?i)</*(?:w:p|w:tr|w:tc|row|a:p|si|v|c )[^>]*>|</*c>', ' ', 'g'), '<[^>]*>', '', 'g'), '>', ''),
          '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS text FROM {pages}""")
 
 
 def encoded(t):
-    """Documents in five encodings, turned back into text."""
-    n = F.pmod(F.xxhash64("path_key"), F.lit(4))
+    """Documents in six forms, turned back into text: UTF-8 and UTF-16 with and without mark, and CP932."""
+    n = F.conv(F.substring(F.md5("path_key"), 1, 1), 16, 10).cast("int") % 6
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
     content = (
         F.when(n == 0, F.encode("text", "UTF-8")).when(n == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
-        .when(n == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+        .when(n == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).when(n == 3, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+        .when(n == 4, F.encode(F.concat(F.lit("plain"), plain), "UTF-16LE")).otherwise(F.concat(F.encode(plain, "UTF-8"), F.unhex(F.lit("93FA967B8CEA836583588367"))))
     )
     return text.decode_text(t.file_text.select("path_key", content.alias("content"))).select("path_key", F.md5("text").alias("digest"))
 
 
-add("j16_decode_text", encoded, "SELECT path_key, md5(text) AS digest FROM {file_text}")
+add("j16_decode_text", encoded,
+    """SELECT path_key, md5(CASE WHEN n < 4 THEN text WHEN n = 4 THEN 'plain' || plain ELSE plain || '日本語テスト' END) AS digest FROM (
+         SELECT *, CAST('0x' || substr(md5(path_key), 1, 1) AS INT) % 6 AS n, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS plain FROM {file_text})""")
 
 # --- streams ----------------------------------------------------------------------------------------
 
@@ -321,7 +318,8 @@ def streamed_history(t):
 
 add("r1_stream_history", streamed_history,
     f"""SELECT target_key, snapshot_id, strftime(ts, '{STAMP}') AS ts, total_bytes, total_files, FALSE AS late FROM (
-         SELECT *, row_number() OVER (PARTITION BY target_key, date_trunc('second', ts) ORDER BY ts, snapshot_id) AS rn FROM {{snapshots}}) WHERE rn = 1
+         SELECT *, row_number() OVER (PARTITION BY target_key, date_trunc('second', ts) ORDER BY ts, snapshot_id) AS rn FROM (
+           SELECT * FROM {{snapshots}} UNION ALL SELECT target_key, snapshot_id, ts + INTERVAL 100 MILLISECOND, total_bytes, total_files FROM {{snapshots}})) WHERE rn = 1
        UNION ALL SELECT target_key, 'late-' || snapshot_id, strftime(ts, '{STAMP}'), total_bytes, total_files, TRUE FROM {{snapshots}}""")
 add("r1_late_counts", lambda t: stream_history.late_counts(streamed_history(t)).where("late > 0"),
     "SELECT target_key, COUNT(*) AS late FROM {snapshots} GROUP BY ALL")

@@ -5,13 +5,14 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from filetide.functions import snippets, terms
-from filetide.operators import search
+from filetide.operators import search, text
 from filetide.operators.search import SearchSpec
 from filetide.plans.repair import run_search
 from filetide.streaming import hits as stream
 from filetide.session import scratch_path
+from filetide.sources.textstore import TextStore
 
-from .registry import ORACLE, add, positioned
+from .registry import ORACLE, add, once, positioned
 
 AS_OF = datetime(2002, 1, 1)
 DOCS_AS_OF = datetime(2024, 2, 1)
@@ -58,10 +59,6 @@ ORACLE["mixed"] = """
     contains(ltext, 'doc_1') OR contains(ltext, 'que') AS t1, contains(ltext, 'the') OR contains(ltext, 'der') AS t2 FROM {name_text}"""
 _REASON = """CASE WHEN n1 AND n2 THEN 'Name' WHEN n1 THEN 'Name + Content: "(the OR der)"' WHEN n2 THEN 'Name + Content: "(doc_1 OR que)"'
   ELSE 'Name + Content: "(doc_1 OR que) AND (the OR der)"' END"""
-add("b14_name_or_content", lambda t: search.content_hits(t.docs, t.file_text, MIXED).select("path_key", "reason"),
-    f"SELECT path_key, {_REASON} AS reason FROM {{mixed}} WHERE (n1 OR t1) AND (n2 OR t2)")
-add("b14_content_keyword", lambda t: search.content_hits(t.docs, t.file_text, SearchSpec(content_keyword="Que", keyword_groups=[["doc_2"]])).select("path_key", "reason"),
-    """SELECT path_key, 'Content: "Que"' AS reason FROM {name_text} WHERE contains(ltext, 'que') AND contains(lname, 'doc_2')""")
 add("b15_content_eligible", lambda t: t.estate.unionByName(t.media).unionByName(t.page_files).where(terms.content_eligible()).groupBy("ext").agg(F.count("*").alias("n")),
     "SELECT ext, COUNT(*) AS n FROM (SELECT * FROM {estate} UNION ALL SELECT * FROM {media} UNION ALL SELECT * FROM {page_files}) WHERE NOT is_dir AND ext IN ('.txt', '.xlsx', '.docx', '.xlsm', '.pdf', '.csv') GROUP BY ALL")
 add("b16_external_link_filter", lambda t: search.link_hits(t.page_files, t.links, SearchSpec(link_only=True, link_keyword="example.COM")).select("path_key", "reason"),
@@ -108,7 +105,7 @@ for _order, _sql in {"DateDesc": "modified_at DESC", "DateAsc": "modified_at", "
         lambda t, o=_order: positioned(search.sort_hits(search.name_hits(t.estate, SearchSpec(extensions=["tmp"])), o), "path_key"),
         f"SELECT path_key, row_number() OVER (ORDER BY {_sql}, path_key) AS position FROM {{estate}} WHERE ext = '.tmp'")
 add("j2_search",
-    lambda t: positioned(run_search(t.docs, SearchSpec(keyword_groups=[["que", "der"]], content_mode=True), DOCS_AS_OF, t.file_text)["rows"], "path_key", "relevance"),
+    lambda t: positioned(run_search(t.docs, SearchSpec(keyword_groups=[["que", "der"]], content_mode=True), DOCS_AS_OF, stored_texts(t), index=postings(t))["rows"], "path_key", "relevance"),
     """SELECT path_key, relevance, row_number() OVER (ORDER BY relevance DESC, modified_at DESC, path_key) AS position FROM (SELECT path_key, modified_at,
          (CASE WHEN contains(lname, 'que') THEN 30 ELSE 0 END) + (CASE WHEN contains(lname, 'der') THEN 30 ELSE 0 END)
          + CASE WHEN contains(lower(COALESCE(snip, '')), 'que') THEN 15 ELSE 0 END + CASE WHEN contains(lower(COALESCE(snip, '')), 'der') THEN 15 ELSE 0 END
@@ -129,6 +126,38 @@ def _snip_sql(source: str) -> str:
           SELECT *, substr(text, 1, pos - 1) AS before, substr(text, pos + w) AS after FROM ({source}) WHERE pos > 0))))"""
 
 
+_FIRST = "CASE WHEN {0} > 0 AND ({1} = 0 OR {0} < {1}) THEN {0} ELSE {1} END"
+# Place and width of each group's first word, then of the first among the groups the name does not meet.
+_PLACES = f"""SELECT *, CASE WHEN n1 THEN p2 WHEN n2 OR p1 < p2 THEN p1 ELSE p2 END AS pos, CASE WHEN NOT n1 AND (n2 OR p1 < p2) THEN w1 ELSE 3 END AS w FROM (
+    SELECT *, {_FIRST.format('a', 'b')} AS p1, CASE WHEN a > 0 AND (b = 0 OR a < b) THEN 5 ELSE 3 END AS w1, {_FIRST.format('c', 'd')} AS p2 FROM (
+      SELECT *, instr(ltext, 'doc_1') AS a, instr(ltext, 'que') AS b, instr(ltext, 'the') AS c, instr(ltext, 'der') AS d FROM {{mixed}}))
+  WHERE (n1 OR t1) AND (n2 OR t2) AND NOT (n1 AND n2)"""
+ORACLE["mixed_hits"] = f"""
+  SELECT path_key, {_REASON} AS reason, snip AS snippet FROM ({_snip_sql(_PLACES)}) UNION ALL SELECT path_key, 'Name', NULL FROM {{mixed}} WHERE n1 AND n2"""
+
+
+@once
+def postings(t):
+    return text.trigram_index(t.file_text)
+
+
+def stored_texts(t):
+    """The texts in buckets, written once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORES:
+        _STORES[key] = TextStore(t.spark, scratch_path(t.spark, "texts"), 16).write(t.file_text)
+    return _STORES[key]
+
+
+_STORES: dict[tuple[str, str], TextStore] = {}
+_MIXED_HITS = "SELECT * FROM {mixed_hits}"
+add("b14_name_or_content", lambda t: search.content_hits(t.docs, t.file_text, MIXED).select("path_key", "reason", "snippet"), _MIXED_HITS)
+add("b14_from_store", lambda t: search.content_hits(t.docs, stored_texts(t), MIXED).select("path_key", "reason", "snippet"), _MIXED_HITS)
+add("b14_from_index", lambda t: search.content_hits(t.docs, stored_texts(t), MIXED, postings(t)).select("path_key", "reason", "snippet"), _MIXED_HITS)
+add("b14_content_keyword", lambda t: search.content_hits(t.docs, stored_texts(t), SearchSpec(content_keyword="Que", keyword_groups=[["doc_2"]])).select("path_key", "reason", "snippet"),
+    f"""SELECT path_key, 'Content: "Que"' AS reason, snip AS snippet FROM ({_snip_sql("SELECT *, instr(ltext, 'que') AS pos, 3 AS w FROM {name_text} WHERE contains(ltext, 'que') AND contains(lname, 'doc_2')")})""")
+add("j15_trigram_search", lambda t: text.trigram_search(postings(t), stored_texts(t), "There"), "SELECT path_key FROM {file_text} WHERE contains(lower(text), 'there')")
+
 ORACLE["snipped"] = _snip_sql("""SELECT *, CASE WHEN p1 > 0 AND (p2 = 0 OR p1 <= p2) THEN p1 ELSE p2 END AS pos, 3 AS w FROM (
     SELECT *, instr(ltext, 'que') AS p1, instr(ltext, 'der') AS p2 FROM {name_text})""")
 add("f32_snippet", lambda t: t.file_text.select("path_key", snippets.snippet("text", "QUE").alias("snip")).where(F.col("snip").isNotNull()),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming as N
@@ -19,8 +21,6 @@ LOCAL_SAMPLE, NETWORK_SAMPLE = 64 * 1024, 1024 * 1024
 PREFIX_FROM, PREFIX = 32 * 1024 * 1024, 1024 * 1024
 SCORE_DUPLICATE = 95
 
-BROADCAST_KEYS = 200_000  # about 200 bytes each: at most 40 MB
-
 
 def size_groups(entries: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     """Files of at least ``min_size`` bytes that share their size with another file."""
@@ -41,21 +41,43 @@ def prefix(content: Column) -> Column:
     return F.when(F.octet_length(content) >= PREFIX, F.sha2(F.substring(content, F.lit(1), F.lit(PREFIX)), 256))
 
 
-def hashed(wanted: DataFrame, content: DataFrame, how: Column, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """``wanted`` rows with a ``hash`` of their content; null when missing or of another length.
+@dataclass(frozen=True)
+class BucketedContents:
+    """``(path_key, content)`` as a table bucketed and sorted by ``path_key``.
 
-    Contents are never shuffled. When a count shows that the wanted keys fit a
-    broadcast, only their contents are hashed; beyond that every content is
-    hashed where it is read, and only hashes travel. The count stops early. The
-    result is written to the shared folder, so no later stage hashes again.
+    A join on the key meets it bucket by bucket: the narrow side is dealt to the
+    buckets, contents stay where they lie.
     """
-    keys = wanted.select("path_key").distinct()
-    few = keys.limit(broadcast_keys + 1).count() <= broadcast_keys
-    source = content.join(F.broadcast(keys), "path_key", "left_semi") if few else content
-    sums = source.select("path_key", how.alias("hash"), F.octet_length("content").cast("long").alias("_read"))
+
+    spark: SparkSession
+    table: str
+
+    def write(self, content: DataFrame, folder: str, buckets: int) -> BucketedContents:
+        placed = content.select("path_key", "content").repartition(buckets, "path_key")
+        placed.write.bucketBy(buckets, "path_key").sortBy("path_key").mode("overwrite").option("path", folder).saveAsTable(self.table)
+        return self
+
+    def of(self, keys: DataFrame) -> DataFrame:
+        return self.spark.table(self.table).join(keys, "path_key")
+
+
+def hashes(wanted: DataFrame, content: DataFrame | BucketedContents, hows: dict[str, Column]) -> DataFrame:
+    """``wanted`` rows with hashes of their content, one column for each of ``hows``; null when missing or of another length.
+
+    Contents are never shuffled, and read once whatever the number of hashes. Of
+    ``BucketedContents`` those of the wanted keys are hashed; a plain table is hashed
+    where it is read, and only hashes travel. The result is written to the shared
+    folder, so no later stage hashes again.
+    """
+    source = content.of(wanted.select("path_key").distinct()) if isinstance(content, BucketedContents) else content
+    sums = source.select("path_key", *[how.alias(f"_{name}") for name, how in hows.items()], F.octet_length("content").cast("long").alias("_read"))
     joined = wanted.join(sums, "path_key", "left")
-    valid = F.when(F.col("_read") == F.col("size"), F.col("hash"))
-    return cut_lineage(joined.withColumn("hash", valid).drop("_read"))
+    same = F.col("_read") == F.col("size")
+    return cut_lineage(joined.select(*[c for c in wanted.columns if c not in hows], *[F.when(same, F.col(f"_{name}")).alias(name) for name in hows]))
+
+
+def hashed(wanted: DataFrame, content: DataFrame | BucketedContents, how: Column) -> DataFrame:
+    return hashes(wanted, content, {"hash": how})
 
 
 def narrow(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,30 +94,34 @@ def narrow(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sampled(
-    candidates: DataFrame, content: DataFrame, *, network: bool = False,
+    candidates: DataFrame, content: DataFrame | BucketedContents, *, network: bool = False,
     sample_from: int | None = None, prefix_from: int = PREFIX_FROM,
 ) -> DataFrame:
     """Candidates left after the head-and-tail sample and, on local disks, the prefix sample.
 
-    A stage without files of its size is skipped after one early-ending test.
+    Both samples come from one read. A stage without files of its size is skipped
+    after one early-ending test.
     """
     limit = sample_from if sample_from is not None else (NETWORK_SAMPLE if network else LOCAL_SAMPLE)
     keys, columns = [*TREE, "size"], candidates.columns
     small, large = candidates.where(F.col("size") < limit), candidates.where(F.col("size") >= limit)
     if large.isEmpty():
         return candidates
-    first = narrow(hashed(large, content, head_tail(F.col("content"))), keys)
+    hows = {"hash": head_tail(F.col("content"))}
+    if not network:
+        hows["start"] = F.when(F.octet_length("content") >= prefix_from, prefix(F.col("content")))
+    first = narrow(hashes(large, content, hows), keys)
     if network:
         return small.unionByName(first.select(*columns))
     first = cut_lineage(first.withColumnRenamed("hash", "sample"))
     short, long = first.where(F.col("size") < prefix_from), first.where(F.col("size") >= prefix_from)
     if long.isEmpty():
         return small.unionByName(short.select(*columns))
-    second = narrow(hashed(long, content, prefix(F.col("content"))), [*keys, "sample"])
+    second = narrow(long.withColumnRenamed("start", "hash"), [*keys, "sample"])
     return small.unionByName(short.select(*columns)).unionByName(second.select(*columns))
 
 
-def confirmed(candidates: DataFrame, content: DataFrame, **sampling: object) -> DataFrame:
+def confirmed(candidates: DataFrame, content: DataFrame | BucketedContents, **sampling: object) -> DataFrame:
     """Files whose full SHA-256 recurs among files of the same size; unreadable files drop out."""
     left = sampled(cut_lineage(candidates), content, **sampling).drop("sha256")
     full = hashed(left, content, F.sha2(F.col("content"), 256)).withColumnRenamed("hash", "sha256")

@@ -23,7 +23,7 @@ add("s11_paths", lambda t: run(t,
 add("s11_tree_paths", lambda t: run(t,
     """SELECT path_key, ft_parent_key(path_key) AS parent, ft_path_leaf(path_key) AS leaf, ft_path_components(path_key) AS parts, ft_is_below(path_key, '/estate') AS below
        FROM {entries} WHERE parent_key IS NOT NULL""", entries=t.entries),
-    """SELECT path_key, parent_key AS parent, string_split(path_key, '/')[-1] AS leaf, len(string_split(path_key, '/')) - 1 AS parts, starts_with(path_key, '/estate/') AS below
+    """SELECT path_key, parent_key AS parent, string_split(path_key, '/')[-1] AS leaf, len(string_split(path_key, '/')) AS parts, starts_with(path_key, '/estate/') AS below
        FROM {entries} WHERE parent_key IS NOT NULL""")
 add("s11_names", lambda t: run(t, "SELECT path_key, ft_has_copy_word(name) AS is_copy FROM {files}", files=t.docs.unionByName(t.parts)), same_as("f10_copy_words"))
 add("s11_formats", lambda t: run(t,

@@ -71,19 +71,22 @@ def up(table: str) -> str:
     )
 
 
-def rolled(up_table: str, table: str) -> str:
+def rolled(table: str) -> str:
+    """Bytes, files and folders below every folder: summed per parent first, so that only parents are repeated for their ancestors."""
     return f"""
-    SELECT d.root_key, d.snapshot_id, d.path_key AS folder_key, CAST(COALESCE(bytes, 0) AS BIGINT) AS bytes,
-      COALESCE(files, 0) AS files, COALESCE(folders, 0) AS folders
+    SELECT d.root_key, d.snapshot_id, d.path_key AS folder_key, CAST(COALESCE(a.bytes, 0) AS BIGINT) AS bytes,
+      CAST(COALESCE(a.files, 0) AS BIGINT) AS files, CAST(COALESCE(a.folders, 0) AS BIGINT) AS folders
     FROM (SELECT * FROM {{{table}}} WHERE is_dir) d LEFT JOIN (
-      SELECT anc, SUM(CASE WHEN is_dir THEN 0 ELSE size END) AS bytes, COUNT(*) FILTER (WHERE NOT is_dir) AS files,
-        COUNT(*) FILTER (WHERE is_dir) AS folders FROM {{{up_table}}} GROUP BY anc) a ON a.anc = d.path_key"""
+      SELECT anc, SUM(bytes) AS bytes, SUM(files) AS files, SUM(folders) AS folders FROM (
+        SELECT *, unnest(list_transform(range(2, len(parts) + 1), lambda i: array_to_string(parts[1:i], '/'))) AS anc FROM (
+          SELECT string_split(parent_key, '/') AS parts, SUM(CASE WHEN is_dir THEN 0 ELSE size END) AS bytes, COUNT(*) FILTER (WHERE NOT is_dir) AS files,
+            COUNT(*) FILTER (WHERE is_dir) AS folders FROM {{{table}}} WHERE parent_key IS NOT NULL GROUP BY parent_key)) GROUP BY anc) a ON a.anc = d.path_key"""
 
 
 ORACLE["up"] = up("entries")
-ORACLE["rolled"] = rolled("up", "entries")
+ORACLE["rolled"] = rolled("entries")
 ORACLE["up_previous"] = up("previous")
-ORACLE["rolled_previous"] = rolled("up_previous", "previous")
+ORACLE["rolled_previous"] = rolled("previous")
 ORACLE["up_estate"] = up("estate")
 ORACLE["nodes"] = """
     SELECT root_key, path_key, TRUE AS is_dir, bytes AS size FROM (SELECT folder_key AS path_key, * FROM {rolled})

@@ -10,9 +10,14 @@ all of them hashes: no line is compared with another.
 
 A template recurs if it stands in ``MIN_DOCS`` or more unrelated documents, more
 for short lines (``MIN_EVIDENCE``: documents times tokens). Copies are not
-unrelated: documents with equal texts count once, and so do documents whose
-other lines start alike (their smallest other leaf is the same). A template
-mostly shared by such relatives is a copy's line and is left to near dedup.
+unrelated: documents with equal texts count once. Of other documents, one whose
+other lines mostly stand in fewer than ``MIN_DOCS`` documents is unrelated to all.
+One made mostly of lines that others have too may be a near copy: its family is
+the document that most of its ``SKETCH`` smallest leaves, each under an order of
+its own, lead to (the least edited of those that share the leaf), so that neither an edited line nor a shared header decides
+alone. However many copies there are, they neither make a line recur nor keep
+one that does; their own lines are left to near dedup. Lines of fewer than
+``MIN_TOKENS`` tokens (captions, closings) never enter the tree and always stay.
 
 Of the lines of a recurring template the first, by ``doc_id`` and line number,
 stays and the others go.
@@ -37,6 +42,7 @@ MIN_TOKENS = 4
 MIN_GENERAL = 16  # fewer tokens than this have no template with a general part
 MIN_DOCS = 3
 MIN_EVIDENCE = 30
+SKETCH = 5  # orders of a document's leaves, each read from another place of their md5
 VARIABLE = "[0-9@]|://"
 
 
@@ -67,33 +73,52 @@ def _line(toks: Column, at: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """One row per line with enough tokens: its document, place, leaf, templates and the document's family."""
+    """One row per line with enough tokens: its document, place, leaf and templates, and the document's leaves as count and sketch."""
     lines = docs.where(F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), tokens).alias("lines")
     )
     rows = lines.select(
         "doc_id", "body", F.filter(F.transform("lines", lambda t, i: F.when(F.size(t) >= MIN_TOKENS, _line(t, i))), lambda x: x.isNotNull()).alias("lines")
     ).where(F.size("lines") > 0)
-    rows = rows.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.col("lines.leaf"))), 1, 2))
-    rows = rows.select("doc_id", "body", "least", F.explode("lines").alias("line"))
-    other = F.when(F.col("line.leaf") == F.col("least")[0], F.try_element_at("least", F.lit(2))).otherwise(F.col("least")[0])
-    return rows.select(
-        "doc_id", "body", "line.at", "line.n_tokens", F.xxhash64("line.leaf").alias("leaf"), "line.keys",
-        F.when(other.isNotNull(), F.xxhash64(other)).otherwise(F.lit(0).cast("long")).alias("family"),
+    rows = rows.withColumn("leaves", F.array_distinct(F.col("lines.leaf")))
+    least = lambda k: F.xxhash64(F.array_min(F.transform("leaves", lambda leaf: F.substring(leaf, 4 * k + 1, 16))))
+    rows = rows.select(
+        "doc_id", "body", F.xxhash64("doc_id", "body").alias("who"), F.size("leaves").alias("total"),
+        F.array(*[least(k) for k in range(SKETCH)]).alias("sketch"), F.explode("lines").alias("line"),
     )
+    return rows.select("doc_id", "body", "who", "total", "sketch", "line.at", "line.n_tokens", F.xxhash64("line.leaf").alias("leaf"), "line.keys")
+
+
+def families(shared: DataFrame) -> DataFrame:
+    """``(who, family)`` of the documents that hold lines of shared leaves."""
+    held = shared.groupBy("who").agg(
+        F.count_distinct("leaf").alias("n_shared"), F.first("total").alias("total"), F.first("sketch").alias("sketch"), F.first("body").alias("body"), F.first("doc_id").alias("doc_id")
+    )
+    # Of the other lines of a document, those no one else has are more than half.
+    apart = 2 * (F.col("total") - F.col("n_shared")) > F.col("total") - 1
+    held = stored(held.withColumn("apart", apart), "leaf-counts")
+    # Head of those that share a smallest leaf: the least edited, so that the same document heads most of a group's leaves.
+    rank = F.struct((F.col("total") - F.col("n_shared")).alias("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    near = held.where(~F.col("apart")).withColumn("rank", rank).select("who", "rank", F.posexplode("sketch").alias("k", "least"))
+    heads = near.groupBy("k", "least").agg(F.min("rank")["id"].alias("head"))
+    led = near.join(heads, ["k", "least"]).groupBy("who", "head").agg(F.count("*").alias("n"))
+    most = led.groupBy("who").agg(F.max(F.struct("n", "head"))["head"].alias("head"))
+    joined = held.join(most, "who", "left")
+    return joined.select("who", F.when(F.col("apart"), F.col("body")).otherwise(F.xxhash64(F.lit("head"), F.col("head"))).alias("family"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, body, gone)``: places of the lines to drop, for the documents that have any."""
     lines = stored(parsed(docs), "lines")
     leaves = lines.select("leaf", "body").distinct().groupBy("leaf").agg(F.count("*").alias("bodies")).where(F.col("bodies") >= MIN_DOCS)
-    shared = lines.join(leaves.select("leaf"), "leaf")
-    rows = stored(shared.select("doc_id", "body", "at", "n_tokens", "family", F.explode("keys").alias("key")), "templates")
+    shared = stored(lines.join(leaves.select("leaf"), "leaf"), "shared-lines")
+    related = shared.drop("total", "sketch").join(families(shared), "who")
+    rows = stored(related.select("doc_id", "body", "at", "n_tokens", "family", F.explode("keys").alias("key")), "templates")
     place = F.struct("doc_id", "body", "at")
     recurring = (
         rows.groupBy("key", "body").agg(F.min("family").alias("family"), F.min(place).alias("first"), F.max("n_tokens").alias("n_tokens"))
         .groupBy("key").agg(F.count("*").alias("bodies"), F.count_distinct("family").alias("families"), F.min("first").alias("first"), F.max("n_tokens").alias("n_tokens"))
-        .where((F.col("families") >= MIN_DOCS) & (F.col("families") * F.col("n_tokens") >= MIN_EVIDENCE) & (F.col("families") * 2 >= F.col("bodies")))
+        .where((F.col("families") >= MIN_DOCS) & (F.col("families") * F.col("n_tokens") >= MIN_EVIDENCE))
         .select("key", "bodies", "first")
     )
     template = F.max(F.struct("bodies", "first")).alias("template")  # of a line's recurring templates, the most frequent
@@ -140,13 +165,17 @@ WITH cut AS (SELECT doc_id, text AS body, string_split(text, chr(10)) AS parts F
   tok AS (SELECT *, list_filter(string_split_regex(line, '{_SPACES}'), lambda x: x <> '') AS w FROM raw),
   masked AS (SELECT doc_id, body, place, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '<*>' ELSE x END) AS t FROM tok WHERE len(w) >= {MIN_TOKENS}),
   leafed AS (SELECT *, CAST(n AS VARCHAR) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf FROM masked),
-  least AS (SELECT doc_id, list_sort(list_distinct(list(md5(leaf))))[1:2] AS l FROM leafed GROUP BY doc_id),
-  placed AS (SELECT f.*, COALESCE(CASE WHEN md5(leaf) = l[1] THEN l[2] ELSE l[1] END, '') AS family FROM leafed f JOIN least USING (doc_id)),
-  shared AS (SELECT * FROM placed WHERE leaf IN (SELECT leaf FROM placed GROUP BY leaf HAVING COUNT(DISTINCT body) >= {MIN_DOCS})),
+  totals AS (SELECT doc_id, COUNT(DISTINCT leaf) AS total, {", ".join(f"MIN(substr(md5(leaf), {4 * k + 1}, 16)) AS h{k}" for k in range(SKETCH))} FROM leafed GROUP BY doc_id),
+  common AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY leaf HAVING COUNT(DISTINCT body) >= {MIN_DOCS})),
+  owned AS (SELECT t.*, total - n_shared AS own, NOT 2 * (total - n_shared) > total - 1 AS near FROM totals t JOIN (SELECT doc_id, COUNT(DISTINCT leaf) AS n_shared FROM common GROUP BY doc_id) USING (doc_id)),
+  near AS (SELECT doc_id, own, unnest({list(range(SKETCH))}) AS k, unnest([{", ".join(f"h{k}" for k in range(SKETCH))}]) AS h FROM owned WHERE near),
+  led AS (SELECT doc_id, first_value(CAST(doc_id AS VARCHAR)) OVER (PARTITION BY k, h ORDER BY own, CAST(doc_id AS VARCHAR)) AS head FROM near),
+  heads AS (SELECT doc_id, MAX((n, head))[2] AS head FROM (SELECT doc_id, head, COUNT(*) AS n FROM led GROUP BY doc_id, head) GROUP BY doc_id),
+  shared AS (SELECT c.*, CASE WHEN h.doc_id IS NULL THEN 'b|' || c.body ELSE 'h|' || h.head END AS family FROM common c LEFT JOIN heads h ON h.doc_id = c.doc_id),
   keyed AS (SELECT doc_id, body, place, n, family, 'x|' || leaf || '|' || array_to_string(t[4:], ' ') AS key FROM shared UNION ALL {_GENERAL}),
   once AS (SELECT key, body, MIN(family) AS family, MIN((doc_id, place)) AS earliest, MAX(n) AS n FROM keyed GROUP BY key, body),
   recurring AS (SELECT key, COUNT(*) AS bodies, MIN(earliest) AS earliest FROM once GROUP BY key
-    HAVING COUNT(DISTINCT family) >= {MIN_DOCS} AND COUNT(DISTINCT family) * MAX(n) >= {MIN_EVIDENCE} AND COUNT(DISTINCT family) * 2 >= COUNT(*)),
+    HAVING COUNT(DISTINCT family) >= {MIN_DOCS} AND COUNT(DISTINCT family) * MAX(n) >= {MIN_EVIDENCE}),
   gone AS (SELECT doc_id, place FROM (SELECT doc_id, place, MAX((bodies, earliest)) AS best FROM keyed JOIN recurring USING (key) GROUP BY doc_id, place) WHERE best[2] <> (doc_id, place)),
   kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM raw ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(k.text, '') END AS text,

@@ -146,3 +146,46 @@ def test_both_ways_to_join(spark, tmp_path, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 10**6 if broadcast else 0)
     path = folder(spark, tmp_path / "join", [(1, prose(1, 80)), (2, prose(2, 80))], benchmark=[(9, " ".join(prose(1, 80).split()[:30]))])
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.query(spark, path).collect()] == [(1, 9)]
+
+
+def lines_of(seed: int, n: int) -> list[str]:
+    w = prose(seed, 12 * n).split()
+    return [" ".join(w[12 * i : 12 * i + 12]) for i in range(n)]
+
+
+def near_copy(lines: list[str], seed: int) -> list[str]:
+    """One line in twenty edited, at its start, so that its leaf changes."""
+    draw = np.random.default_rng(seed)
+    return [f"edit{chr(97 + seed % 26)} {x}" if draw.random() < 0.05 else x for x in lines]
+
+
+def test_copies_do_not_keep_a_passage_in_unrelated_documents(spark):
+    """A line in 12 unrelated documents goes from 11 of them, also when 40 near copies hold it."""
+    shared = " ".join(lines_of(900, 3))
+    base = lines_of(901, 24)
+    rows = [(i, "\n".join([*lines_of(i, 6), shared, *lines_of(500 + i, 3)])) for i in range(12)]
+    rows += [(100 + i, "\n".join([*near_copy(base, i), shared])) for i in range(40)]
+    for chosen in (rows[:12], rows):
+        out = {r["doc_id"]: r for r in templates.drop_recurring(frame(spark, chosen), counts=True).collect()}
+        assert [i for i in range(12) if shared in out[i]["text"].split("\n")] == [0]
+        assert all(out[i]["n_dropped"] == (i > 0) for i in range(12))
+        assert all(out[i]["n_dropped"] <= 1 for i in out)  # the copies lose the shared line at most, never their own
+
+
+def test_near_copies_alone_stay_whole(spark):
+    base = lines_of(902, 24)
+    rows = [(i, "\n".join(near_copy(base, i))) for i in range(60)]
+    assert all(r["n_dropped"] == 0 for r in templates.drop_recurring(frame(spark, rows), counts=True).collect())
+
+
+@pytest.mark.parametrize("trial", range(4))
+def test_two_shared_lines_do_not_make_documents_related(spark, trial):
+    first, second = lines_of(1000 + trial, 2)
+    rows = [(i, "\n".join([first, *lines_of(2000 + 50 * trial + i, 5), second])) for i in range(20)]
+    out = {r["doc_id"]: r for r in templates.drop_recurring(frame(spark, rows), counts=True).collect()}
+    assert [r["n_dropped"] for _, r in sorted(out.items())] == [0] + [2] * 19
+
+
+def test_lines_below_the_least_tokens_stay(spark):
+    rows = [(i, "\n".join(["the end now", *lines_of(3000 + i, 4)])) for i in range(40)]
+    assert all(r["n_dropped"] == 0 for r in templates.drop_recurring(frame(spark, rows), counts=True).collect())

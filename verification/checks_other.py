@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from filetide.functions import markup
-from filetide.operators import links, media, migrate, text, tree
+from filetide.operators import links, media, migrate, search, text, tree
 from filetide.plans.migration import plan_waves, transfer_check
 from filetide.plans.repair import link_repair_plan, media_report
 from filetide.session import scratch_path
@@ -85,8 +85,21 @@ add("c21_all_wave_totals", lambda t: migrate.all_wave_totals(migrate.wave_totals
     "SELECT plan_id, wave, CAST(SUM(bytes) AS BIGINT) AS bytes, CAST(SUM(full_seconds) AS BIGINT) AS full_seconds FROM {plan_waves} GROUP BY ROLLUP (plan_id, wave)")
 add("f27_wave_warnings", lambda t: migrate.wave_totals(pieces(t, migrate.TOP_LEVEL), waved(t), t.plan_sources, rate_mbps=0.5).groupBy("many_files", "over_48h").agg(F.count("*").alias("n")),
     """SELECT COALESCE(files > 100000, FALSE) AS many_files, GREATEST(5, CAST(floor(bytes / 1048576.0) AS BIGINT)) > 172800 AS over_48h, COUNT(*) AS n FROM {plan_waves} GROUP BY ALL""")
-add("j8_plan_waves", lambda t: plan_waves(t.plan_nodes, t.plan_sources, TARGET, migrate.SINGLE)["waves"].select("plan_id", "wave", "bytes"),
-    "SELECT p.plan_id, 1 AS wave, total_size AS bytes FROM {plan_totals} p JOIN {plan_nodes} n USING (plan_id, node_id) WHERE n.level = 0")
+
+
+def all_policies(t):
+    """Waves of every policy."""
+    made = [
+        plan_waves(t.plan_nodes, t.plan_sources, TARGET, policy, BUDGET)["waves"].select(F.lit(policy).alias("policy"), "plan_id", "wave", "bytes", "unit_count")
+        for policy in (migrate.SINGLE, migrate.TOP_LEVEL, migrate.BUDGET)
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+add("j8_plan_waves", all_policies,
+    """SELECT 'SingleBatch' AS policy, p.plan_id, 1 AS wave, total_size AS bytes, 1 AS unit_count FROM {plan_totals} p JOIN {plan_nodes} n USING (plan_id, node_id) WHERE n.level = 0
+       UNION ALL SELECT 'ByTopLevelFolder', plan_id, wave, CAST(SUM(size) AS BIGINT), COUNT(*) FROM {plan_waved} GROUP BY plan_id, wave
+       UNION ALL SELECT 'BySizeBudget', b.plan_id, b.wave, CAST(SUM(u.size) AS BIGINT), COUNT(*) FROM {budget_walk} b JOIN {plan_units} u USING (plan_id, unit_id) GROUP BY b.plan_id, b.wave""")
 add("u5_distinct_copy_units", lambda t: copy(t).select("plan_id", "wave", "source_key", "destination_key"), "SELECT * FROM {plan_copy}")
 add("d14_nested_sources", lambda t: migrate.exclusions(copy(t)),
     """SELECT DISTINCT a.plan_id, a.source_key, b.source_key AS excluded_key FROM {plan_copy} a JOIN {plan_copy} b ON b.plan_id = a.plan_id AND starts_with(b.source_key, a.source_key || '/')""")
@@ -144,12 +157,22 @@ add("j9_transfer_check", lambda t: transfer_check(t.depot, t.depot_units, t.targ
 
 
 def written_plan(t):
+    """Units, directories and exclusions as written, read back."""
     folder = scratch_path(t.spark, "plan")
     reports.write_transfer_plan(copy(t), migrate.planned_directories(paths(t), TARGET), migrate.exclusions(copy(t)), folder, threads=64)
-    return t.spark.read.schema("plan_id string, wave int, source string, destination string, threads int, copy_acl boolean").json(f"{folder}/units").groupBy("plan_id", "threads", "copy_acl").agg(F.count("*").alias("n"))
+    read = lambda name, schema: t.spark.read.schema(schema).json(f"{folder}/{name}")
+    rest = lambda kind, df: df.select(F.lit(kind).alias("kind"), "*").toDF("kind", "plan_id", "a", *(["b"] if len(df.columns) == 3 else []))
+    units = read("units", "plan_id string, wave int, source string, destination string, threads int, copy_acl boolean")
+    units = units.select(F.lit("unit").alias("kind"), "plan_id", F.lower("source").alias("a"), F.lower("destination").alias("b"), "wave", "threads", "copy_acl")
+    folders = rest("directory", read("directories", "plan_id string, directory string"))
+    nested = rest("exclusion", read("exclusions", "plan_id string, source_key string, excluded_key string"))
+    return units.unionByName(folders, allowMissingColumns=True).unionByName(nested, allowMissingColumns=True)
 
 
-add("a19_transfer_plan", written_plan, "SELECT plan_id, 32 AS threads, FALSE AS copy_acl, COUNT(*) AS n FROM {plan_copy} GROUP BY ALL")
+add("a19_transfer_plan", written_plan,
+    """SELECT 'unit' AS kind, plan_id, source_key AS a, destination_key AS b, wave, 32 AS threads, FALSE AS copy_acl FROM {plan_copy}
+       UNION ALL SELECT DISTINCT 'directory', plan_id, lower('/target/' || rel_path), NULL, NULL, NULL, NULL FROM {plan_paths}
+       UNION ALL SELECT DISTINCT 'exclusion', a.plan_id, a.source_key, b.source_key, NULL, NULL, NULL FROM {plan_copy} a JOIN {plan_copy} b ON b.plan_id = a.plan_id AND starts_with(b.source_key, a.source_key || '/')""")
 
 
 def csv_round_trip(t):
@@ -170,11 +193,51 @@ add("a15_diff_report", lambda t: reports.diff_report(migrate.design_diff(paths(t
 add("a16_kpi_by_issue", lambda t: reports.kpi_by_issue(candidates(t)).groupBy("issue").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes")),
     """SELECT issue, COUNT(*) AS files, CAST(SUM(CASE WHEN issue = 'Duplicate' AND is_alias THEN 0 ELSE size END) AS BIGINT) AS bytes FROM (SELECT *, unnest(string_split(issues, ',')) AS issue FROM {combined})
        WHERE NOT (issue = 'Duplicate' AND is_original) GROUP BY ALL""")
-add("a16_wave_overview", lambda t: reports.wave_overview(migrate.wave_totals(pieces(t, migrate.TOP_LEVEL), waved(t), t.plan_sources)).select("plan_id", "wave", "files_text"),
-    "SELECT plan_id, wave, CASE WHEN files IS NULL THEN 'Unmeasured (-)' ELSE format('{:,}', files) || ' files' END AS files_text FROM {plan_waves}")
+
+
+def size_sql(b: str, digits: int = 1) -> str:
+    """1024-based size text; one digit drops a trailing zero."""
+    scaled = lambda power, unit: f"printf('%.{digits}f', round_even({b} / {1024.0**power}, {digits}))" if digits == 2 else f"regexp_replace(printf('%.1f', round_even({b} / {1024.0**power}, 1)), '\\.0$', '')"
+    steps = " ".join(f"WHEN {b} < {1024 ** (p + 1)} THEN {scaled(p, u)} || ' {u}'" for p, u in ((1, "KB"), (2, "MB"), (3, "GB")))
+    return f"CASE WHEN {b} = 0 THEN '0 B' WHEN {b} < 1024 THEN {b} || ' B' {steps} ELSE {scaled(4, 'TB')} || ' TB' END"
+
+
+def duration_sql(s: str) -> str:
+    return f"""CASE WHEN {s} >= 86400 THEN ({s} // 86400) || 'd ' || ({s} // 3600 % 24) || 'h ' || ({s} // 60 % 60) || 'm' WHEN {s} >= 3600 THEN ({s} // 3600) || 'h ' || ({s} // 60 % 60) || 'm'
+      WHEN {s} >= 60 THEN ({s} // 60) || 'm ' || ({s} % 60) || 's' ELSE GREATEST({s}, 1) || 's' END"""
+
+
+add("a16_wave_overview", lambda t: reports.wave_overview(migrate.wave_totals(pieces(t, migrate.TOP_LEVEL), waved(t), t.plan_sources)),
+    "SELECT w.plan_id, w.wave, wave_name, " + size_sql("bytes") + " AS size_text, CASE WHEN files IS NULL THEN 'Unmeasured (-)' ELSE format('{:,}', files) || ' files' END AS files_text, "
+    + duration_sql("full_seconds") + " AS full_copy, " + duration_sql("cutover_seconds") + """ AS cutover, COALESCE(s.n, 0) AS source_count,
+         array_to_string(list_filter([CASE WHEN files > 100000 THEN 'over 100,000 files' END, CASE WHEN full_seconds > 172800 THEN 'over 48 hours' END], lambda x: x IS NOT NULL), ', ') AS warnings
+       FROM {plan_waves} w LEFT JOIN (SELECT plan_id, wave, COUNT(DISTINCT source_key) AS n FROM {plan_copy} GROUP BY ALL) s USING (plan_id, wave)""")
+add("a16_media_top", lambda t: reports.media_top(media.classify(t.media), 40).select("path_key", "media_class", "size", "status"),
+    """SELECT path_key, media_class, size, CASE WHEN protection IS NOT NULL THEN 'Protected (' || protection || ')' WHEN media_class = 'Video' THEN 'Large video' ELSE 'To optimise' END AS status
+       FROM {media_rows} ORDER BY size DESC, path_key LIMIT 40""")
+add("a15_search_report", lambda t: reports.search_report(search.hits(t.estate, search.SearchSpec(extensions=["txt"]))),
+    "SELECT 'File' AS type, name, size, " + size_sql("size", 2) + """ AS size_text, strftime(modified_at, '%Y/%m/%d %H:%M:%S') AS modified, ext, length(path) AS path_length, 'Match' AS reason_or_snippet, path
+       FROM {estate} WHERE ext = '.txt'""")
+add("a15_audit_report", lambda t: reports.audit_report(candidates(t)).select("issues", "name", "size_text", "score", F.lower("path").alias("path")),
+    "SELECT replace(issues, ',', ', ') AS issues, name, " + size_sql("size", 2) + " AS size_text, score, path_key AS path FROM {orderable}")
+
+
+def saved_design(t):
+    """A design saved and opened again: its nodes with their sources and grants."""
+    folder = scratch_path(t.spark, "saved-design")
+    inventory.save_design({"plan_nodes": t.plan_nodes, "plan_sources": t.plan_sources, "plan_aces": t.plan_aces}, folder)
+    opened = inventory.open_design(t.spark, folder)
+    named = opened["plan_nodes"].join(opened["plan_sources"], ["plan_id", "node_id"], "left").join(opened["plan_aces"], ["plan_id", "node_id"], "left")
+    return named.select("plan_id", "node_id", "parent_id", "ord", "name", "level", "est_size", "est_files", "inherit_acl", "source_path", "ace_order", "account", "rights", "access_type")
+
+
+add("a20_saved_design", saved_design,
+    """SELECT plan_id, node_id, parent_id, ord, name, level, est_size, est_files, inherit_acl, source_path, ace_order, account, rights, access_type
+       FROM {plan_nodes} LEFT JOIN {plan_sources} USING (plan_id, node_id) LEFT JOIN {plan_aces} USING (plan_id, node_id)""")
 add("a16_mapping_detail", lambda t: reports.mapping_detail(copy(t), migrate.exclusions(copy(t))).select("plan_id", "source_key", "destination_key", "excluded_count"),
     """SELECT a.plan_id, a.source_key, a.destination_key, (SELECT COUNT(DISTINCT b.source_key) FROM {plan_copy} b WHERE b.plan_id = a.plan_id AND starts_with(b.source_key, a.source_key || '/')) AS excluded_count FROM {plan_copy} a""")
-add("a16_issue_list", lambda t: reports.issue_list(candidates(t)).select("path_key", "issue_type", "score"), "SELECT path_key, issue_type, score FROM {combined}")
+add("a16_issue_list", lambda t: positioned(reports.issue_list(candidates(t)), "path_key", "issue_type", "name", "size", "score"),
+    """SELECT path_key, issue_type, name, size, score, row_number() OVER (ORDER BY can_clean DESC, score DESC, size DESC, lower(name), path_key) AS position FROM {orderable}""")
 
 
 def nested_design(t):

@@ -13,7 +13,7 @@ for short lines (``MIN_EVIDENCE``: documents times tokens). Copies are not
 unrelated: documents with equal texts count once. Of other documents, one whose
 other lines mostly stand in fewer than ``MIN_DOCS`` documents is unrelated to all.
 One made mostly of lines that others have too may be a near copy: its family is
-the document that most of its ``SKETCH`` smallest leaves, each under an order of
+the document that most of its ``SKETCH`` smallest shared leaves, each under an order of
 its own, lead to (the least edited of those that share the leaf), so that neither an edited line nor a shared header decides
 alone. However many copies there are, they neither make a line recur nor keep
 one that does; their own lines are left to near dedup. Lines of fewer than
@@ -73,33 +73,31 @@ def _line(toks: Column, at: Column) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """One row per line with enough tokens: its document, place, leaf and templates, and the document's leaves as count and sketch."""
+    """One row per line with enough tokens: its document, place, leaf and templates, and how many leaves the document has."""
     lines = docs.where(F.col("text").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), tokens).alias("lines")
     )
     rows = lines.select(
         "doc_id", "body", F.filter(F.transform("lines", lambda t, i: F.when(F.size(t) >= MIN_TOKENS, _line(t, i))), lambda x: x.isNotNull()).alias("lines")
     ).where(F.size("lines") > 0)
-    rows = rows.withColumn("leaves", F.array_distinct(F.col("lines.leaf")))
-    least = lambda k: F.xxhash64(F.array_min(F.transform("leaves", lambda leaf: F.substring(leaf, 4 * k + 1, 16))))
-    rows = rows.select(
-        "doc_id", "body", F.xxhash64("doc_id", "body").alias("who"), F.size("leaves").alias("total"),
-        F.array(*[least(k) for k in range(SKETCH)]).alias("sketch"), F.explode("lines").alias("line"),
-    )
-    return rows.select("doc_id", "body", "who", "total", "sketch", "line.at", "line.n_tokens", F.xxhash64("line.leaf").alias("leaf"), "line.keys")
+    total = F.size(F.array_distinct(F.col("lines.leaf")))
+    rows = rows.select("doc_id", "body", F.xxhash64("doc_id", "body").alias("who"), total.alias("total"), F.explode("lines").alias("line"))
+    return rows.select("doc_id", "body", "who", "total", "line.at", "line.n_tokens", F.xxhash64("line.leaf").alias("leaf"), F.col("line.leaf").alias("digest"), "line.keys")
 
 
 def families(shared: DataFrame) -> DataFrame:
     """``(who, family)`` of the documents that hold lines of shared leaves."""
+    order = lambda k: F.conv(F.substring("digest", 4 * k + 1, 15), 16, 10).cast("long")
     held = shared.groupBy("who").agg(
-        F.count_distinct("leaf").alias("n_shared"), F.first("total").alias("total"), F.first("sketch").alias("sketch"), F.first("body").alias("body"), F.first("doc_id").alias("doc_id")
-    )
+        F.count_distinct("leaf").alias("n_shared"), F.first("total").alias("total"), F.first("body").alias("body"), F.first("doc_id").alias("doc_id"),
+        *[F.min(order(k)).alias(f"least{k}") for k in range(SKETCH)],
+    )
     # Of the other lines of a document, those no one else has are more than half.
     apart = 2 * (F.col("total") - F.col("n_shared")) > F.col("total") - 1
     held = stored(held.withColumn("apart", apart), "leaf-counts")
     # Head of those that share a smallest leaf: the least edited, so that the same document heads most of a group's leaves.
     rank = F.struct((F.col("total") - F.col("n_shared")).alias("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
-    near = held.where(~F.col("apart")).withColumn("rank", rank).select("who", "rank", F.posexplode("sketch").alias("k", "least"))
+    near = held.where(~F.col("apart")).withColumn("rank", rank).select("who", "rank", F.posexplode(F.array(*[f"least{k}" for k in range(SKETCH)])).alias("k", "least"))
     heads = near.groupBy("k", "least").agg(F.min("rank")["id"].alias("head"))
     led = near.join(heads, ["k", "least"]).groupBy("who", "head").agg(F.count("*").alias("n"))
     most = led.groupBy("who").agg(F.max(F.struct("n", "head"))["head"].alias("head"))
@@ -112,7 +110,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = stored(parsed(docs), "lines")
     leaves = lines.select("leaf", "body").distinct().groupBy("leaf").agg(F.count("*").alias("bodies")).where(F.col("bodies") >= MIN_DOCS)
     shared = stored(lines.join(leaves.select("leaf"), "leaf"), "shared-lines")
-    related = shared.drop("total", "sketch").join(families(shared), "who")
+    related = shared.drop("total", "leaf", "digest").join(families(shared), "who")
     rows = stored(related.select("doc_id", "body", "at", "n_tokens", "family", F.explode("keys").alias("key")), "templates")
     place = F.struct("doc_id", "body", "at")
     recurring = (
@@ -165,9 +163,10 @@ WITH cut AS (SELECT doc_id, text AS body, string_split(text, chr(10)) AS parts F
   tok AS (SELECT *, list_filter(string_split_regex(line, '{_SPACES}'), lambda x: x <> '') AS w FROM raw),
   masked AS (SELECT doc_id, body, place, len(w) AS n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '<*>' ELSE x END) AS t FROM tok WHERE len(w) >= {MIN_TOKENS}),
   leafed AS (SELECT *, CAST(n AS VARCHAR) || ' ' || array_to_string(t[1:{DEPTH}], ' ') AS leaf FROM masked),
-  totals AS (SELECT doc_id, COUNT(DISTINCT leaf) AS total, {", ".join(f"MIN(substr(md5(leaf), {4 * k + 1}, 16)) AS h{k}" for k in range(SKETCH))} FROM leafed GROUP BY doc_id),
+  totals AS (SELECT doc_id, COUNT(DISTINCT leaf) AS total FROM leafed GROUP BY doc_id),
   common AS (SELECT * FROM leafed WHERE leaf IN (SELECT leaf FROM leafed GROUP BY leaf HAVING COUNT(DISTINCT body) >= {MIN_DOCS})),
-  owned AS (SELECT t.*, total - n_shared AS own, NOT 2 * (total - n_shared) > total - 1 AS near FROM totals t JOIN (SELECT doc_id, COUNT(DISTINCT leaf) AS n_shared FROM common GROUP BY doc_id) USING (doc_id)),
+  sketched AS (SELECT doc_id, COUNT(DISTINCT leaf) AS n_shared, {", ".join(f"MIN(substr(md5(leaf), {4 * k + 1}, 15)) AS h{k}" for k in range(SKETCH))} FROM common GROUP BY doc_id),
+  owned AS (SELECT s.*, total - n_shared AS own, NOT 2 * (total - n_shared) > total - 1 AS near FROM totals t JOIN sketched s USING (doc_id)),
   near AS (SELECT doc_id, own, unnest({list(range(SKETCH))}) AS k, unnest([{", ".join(f"h{k}" for k in range(SKETCH))}]) AS h FROM owned WHERE near),
   led AS (SELECT doc_id, first_value(CAST(doc_id AS VARCHAR)) OVER (PARTITION BY k, h ORDER BY own, CAST(doc_id AS VARCHAR)) AS head FROM near),
   heads AS (SELECT doc_id, MAX((n, head))[2] AS head FROM (SELECT doc_id, head, COUNT(*) AS n FROM led GROUP BY doc_id, head) GROUP BY doc_id),

@@ -76,27 +76,31 @@ class Pieces:
         crosses = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         lines = any("\n" in p for p in self.ids)
         self.words = re.compile("(?s).+" if crosses or lines else f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-        # Every beginning of a piece, with the piece's id and score where it is one itself.
-        self.starts: dict[str, tuple[int, int] | None] = {p[:j]: None for p in self.ids for j in range(1, len(p))}
-        self.starts.update(self.ids)
+        # A tree of the pieces by character: the branches below, and id and score of the piece that ends there (id -1: none does).
+        self.tree: dict[str, list] = {}
+        for piece, (i, score) in self.ids.items():
+            branch = self.tree
+            for character in piece:
+                node = branch.setdefault(character, [{}, -1, 0])
+                branch = node[0]
+            node[1:] = i, score
         self.known = _Known(self)
 
     def _values(self, word: str) -> tuple[list[int], list[int], list[int]]:
         """Best score up to each place, and the start and id of its last piece (-1: byte pieces)."""
-        n, starts, penalty = len(word), self.starts, self.penalty
+        n, tree, penalty, ids = len(word), self.tree, self.penalty, self.ids
         value, start, last = [0] + [NEVER] * n, [0] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            here = value[i]
-            for j in range(i + 1, n + 1):
-                hit = starts.get(word[i:j], 0)
-                if hit is None:
-                    continue
-                if hit == 0:
+            here, branch, j = value[i], tree, i
+            while j < n:
+                node = branch.get(word[j])
+                if node is None:
                     break
-                total = here + hit[1]
-                if total > value[j]:
-                    value[j], start[j], last[j] = total, i, hit[0]
-            if here + penalty > value[i + 1] and word[i] not in self.ids:
+                j += 1
+                branch, piece, score = node
+                if piece >= 0 and here + score > value[j]:
+                    value[j], start[j], last[j] = here + score, i, piece
+            if here + penalty > value[i + 1] and word[i] not in ids:
                 value[i + 1], start[i + 1], last[i + 1] = here + penalty, i, -1
         return value, start, last
 

@@ -37,7 +37,11 @@ def read_listing(spark: SparkSession, paths: str | Sequence[str], root: str, sna
 
 
 def read_storage(spark: SparkSession, folder: str, snapshot_id: str, glob: str | None = None) -> DataFrame:
-    """Entries of storage Spark can reach. Only listing is done: the content column is never selected."""
+    """Entries of storage Spark can reach. Only listing is done: the content column is never selected.
+
+    Spark's binary reader leaves out files of no bytes; where those count, take an
+    exported listing (``read_listing``).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -68,12 +68,12 @@ def walk(sizes: list[int], budget: int) -> list[int]:
     return out
 
 
-@pytest.mark.parametrize("budget", [0, 1, 100, 10**9])
+@pytest.mark.parametrize("budget", [0, 100])
 def test_one_plan_with_all_pieces(spark, budget):
     """Zero sizes, oversize pieces at the start, in the middle and at the end."""
     draw = random.Random(budget)
     plans = {
-        "large": [500, *[draw.choice([0, 0, 5, 40, 120, 300]) for _ in range(700)], 500], "zeros": [0] * 9, "one": [7], "big": [900],
+        "large": [500, *[draw.choice([0, 0, 5, 40, 120, 300]) for _ in range(400)], 500], "zeros": [0] * 9, "one": [7], "big": [900],
         "tail": [1, 2, 900, 0, 0, 3],
     }
     rows = [(p, f"u{i}", i, "n", s, None) for p, sizes in plans.items() for i, s in enumerate(sizes)]

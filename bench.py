@@ -3,13 +3,14 @@
 One scan warms the session up and the tables a query starts from are written;
 then each query runs once into the ``noop`` sink, so that every row is produced
 and none is collected. ``BENCH_RUNS`` asks for more
-runs, of which the last counts.
+runs, of which the median counts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -74,10 +75,12 @@ def main() -> None:
         if wanted and name not in wanted:
             continue
         build(t)  # writes the tables it reads; not timed
+        taken = []
         for _ in range(runs):
             started = time.perf_counter()
             build(t).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - started, 3)
+            taken.append(time.perf_counter() - started)
+        times[name] = round(statistics.median(taken), 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

@@ -39,7 +39,7 @@ def test_roll_up_equals_plain_sums(spark):
 def test_salted_attach_equals_plain_join(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
     groups = rows.groupBy("k").agg(F.count("*").alias("_n"), F.max("v").alias("top"))
-    salted = skew.attach(rows, groups, ["k"], group_rows="_n", spread="v", hot_rows=100)
+    salted = skew.attach(rows, groups, ["k"], group_rows="_n", hot_rows=100)
     plain = rows.join(groups.drop("_n"), "k")
     assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
 

@@ -365,15 +365,16 @@ def run_stream(t, frame, out):
 
 @once
 def streamed_history(t):
-    """Snapshots arriving in three parts without order, each also a tenth of a second later; then a far newer one, then late copies."""
+    """Snapshots arriving in two parts without order, each also a tenth of a second later; then a far newer one, then late copies of the newest."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", alerts.STATE_STORE)
     folder, out = scratch_path(t.spark, "history"), scratch_path(t.spark, "history-out")
     twice = t.snapshots.unionByName(t.snapshots.withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 MILLISECONDS")))
-    part = F.pmod(F.xxhash64("snapshot_id", "ts"), F.lit(3))
+    part = F.pmod(F.xxhash64("snapshot_id", "ts"), F.lit(2))
     closing = t.snapshots.agg(F.max("ts").alias("ts")).select(
         F.lit("~closing").alias("target_key"), F.lit("~closing").alias("snapshot_id"), (F.col("ts") + F.expr("INTERVAL 3000 DAYS")).alias("ts"), F.lit(0).cast("long").alias("total_bytes"), F.lit(0).cast("long").alias("total_files"))
-    late = t.snapshots.withColumn("snapshot_id", F.concat(F.lit("late-"), "snapshot_id"))
-    for arrival in (*[twice.where(part == i) for i in range(3)], closing, late):
+    newest = t.snapshots.groupBy("target_key").agg(F.max(F.struct("ts", "snapshot_id", "total_bytes", "total_files")).alias("s")).select("target_key", "s.*")
+    late = newest.withColumn("snapshot_id", F.concat(F.lit("late-"), "snapshot_id")).select(*t.snapshots.columns)
+    for arrival in (*[twice.where(part == i) for i in range(2)], closing, late):
         arrival.write.mode("append").parquet(folder)
         written = run_stream(t, stream_history.stream_history(stream_history.read_snapshots(t.spark, folder), "2000 days"), out)
     return written.where("target_key <> '~closing'").select("target_key", "snapshot_id", text_time("ts"), "total_bytes", "total_files", "late")
@@ -383,9 +384,10 @@ add("r1_stream_history", streamed_history,
     f"""SELECT target_key, snapshot_id, strftime(ts, '{STAMP}') AS ts, total_bytes, total_files, FALSE AS late FROM (
          SELECT *, row_number() OVER (PARTITION BY target_key, date_trunc('second', ts) ORDER BY ts, snapshot_id) AS rn FROM (
            SELECT * FROM {{snapshots}} UNION ALL SELECT target_key, snapshot_id, ts + INTERVAL 100 MILLISECOND, total_bytes, total_files FROM {{snapshots}})) WHERE rn = 1
-       UNION ALL SELECT target_key, 'late-' || snapshot_id, strftime(ts, '{STAMP}'), total_bytes, total_files, TRUE FROM {{snapshots}}""")
+       UNION ALL SELECT target_key, 'late-' || snapshot_id, strftime(ts, '{STAMP}'), total_bytes, total_files, TRUE FROM (
+         SELECT *, row_number() OVER (PARTITION BY target_key ORDER BY ts DESC, snapshot_id DESC) AS age FROM {{snapshots}}) WHERE age = 1""")
 add("r1_late_counts", lambda t: stream_history.late_counts(streamed_history(t)).where("late > 0"),
-    "SELECT target_key, COUNT(*) AS late FROM {snapshots} GROUP BY ALL")
+    "SELECT target_key, 1 AS late FROM {snapshots} GROUP BY ALL")
 
 
 def streamed_alerts(t):

@@ -5,10 +5,10 @@ import json
 import numpy as np
 
 from filetide.functions import paths
-from filetide.operators import access, history, text
+from filetide.operators import access, history, text, tree
 from filetide.sources import inventory
 
-from .helpers import GB, history as make_history
+from .helpers import GB, ago, history as make_history, listing
 
 
 def long_history(n):
@@ -77,3 +77,12 @@ def test_whole_content_decides_the_encoding(spark):
     shift = "日本語".encode("cp932")
     out = {r["path_key"]: r["text"] for r in text.decode_text(spark.createDataFrame([("a", late), ("b", wide), ("c", shift)], "path_key string, content binary")).collect()}
     assert out["a"].endswith("é") and out["b"].endswith("plain ascii text ") and out["c"] == "日本語"
+
+
+def test_preorder_works_out_its_key_once_per_row(spark):
+    entries = listing(spark, [("C:\\Data", 0, ago(1), ago(1), True), ("C:\\Data\\b", 0, ago(1), ago(1), True), ("C:\\Data\\b!", 1, ago(1), ago(1)), ("C:\\Data\\b\\a", 1, ago(1), ago(1))])
+    ordered = tree.preorder(entries)
+    assert [r["path_key"] for r in ordered.collect()] == ["c:/data", "c:/data/b", "c:/data/b/a", "c:/data/b!"]
+    assert ordered.columns == entries.columns
+    plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("translate(" in line for line in plan.splitlines() if "Sort [" in line)

@@ -116,12 +116,8 @@ def tokens(accounts: DataFrame, closure: DataFrame, principals: DataFrame) -> Da
     return both.select("target", "rank", "depth", "label", "k.kind", "k.key").distinct()
 
 
-def matched_aces(aces: DataFrame, identity_tokens: DataFrame) -> DataFrame:
-    """Entries that speak about an account, once per account, folder and position.
-
-    Matching runs on the distinct identities; entries join the result on
-    identity, so names are compared once per principal and not once per entry.
-    """
+def known_identities(aces: DataFrame, identity_tokens: DataFrame) -> DataFrame:
+    """Distinct identities of the entries that speak about each account, with the best proof."""
     identities = aces.select("sid", "account").distinct()
     keyed = identities.select(
         "sid", "account",
@@ -131,10 +127,23 @@ def matched_aces(aces: DataFrame, identity_tokens: DataFrame) -> DataFrame:
     best = keyed.join(identity_tokens, ["kind", "key"]).groupBy("target", "sid", "account").agg(
         F.min(F.struct("rank", "depth", "label")).alias("m")
     )
-    known = best.select(
+    return best.select(
         "target", F.col("sid").alias("_sid"), F.col("account").alias("_account"), F.col("m.rank").alias("rank"),
         F.col("m.depth").alias("membership_depth"), F.col("m.label").alias("label"),
     )
+
+
+def matched_aces(aces: DataFrame, identity_tokens: DataFrame) -> DataFrame:
+    """Entries that speak about an account, once per account, folder and position.
+
+    Matching runs on the distinct identities; entries join the result on
+    identity, so names are compared once per principal and not once per entry.
+    """
+    return entries_of(aces, known_identities(aces, identity_tokens))
+
+
+def entries_of(aces: DataFrame, known: DataFrame) -> DataFrame:
+    """The entries of each account's ``known`` identities."""
     # One key that tells null from empty, so that an identity with most entries can be spread.
     told = lambda sid, account: F.to_json(F.array(sid, account))
     held = aces.withColumn("_identity", told(F.col("sid"), F.col("account")))
@@ -220,13 +229,13 @@ def change_points(access: DataFrame, folders: DataFrame, accounts: DataFrame) ->
 
     ``accounts(target, root_key, ...)`` names the audited root of each account.
     """
-    place = folders.select("path_key", "parent_key", "folder_name", "depth")
+    place = folders.select("path_key", "parent_key", "folder_name", "depth", "readable")
     parent_state = folders.select(F.col("path_key").alias("parent_key"), (~F.col("readable")).alias("_parent_unreadable"))
     parent_access = access.select(
         "target", F.col("path_key").alias("parent_key"), F.col("level").alias("_p_level"), F.col("allowed").alias("_p_allowed")
     )
     readable = folders.where("readable").select("path_key")
-    here = access.join(readable, "path_key", "left_semi").join(place, "path_key")
+    here = access.join(place.where("readable").drop("readable"), "path_key")
     joined = measured_join(measured_join(here, parent_state, ["parent_key"], "left"), parent_access, ["target", "parent_key"], "left")
     same = (F.col("level") == F.col("_p_level")) & (F.col("allowed") == F.col("_p_allowed"))
     change = (
@@ -272,6 +281,117 @@ def report_counts(items: DataFrame) -> DataFrame:
     )
 
 
+_BITS = [f"_b{i}" for i in range(32)]
+_MASKS = [1 << b for b in range(31)] + [-(1 << 31)]
+
+
+def _first_entries(matched: DataFrame) -> DataFrame:
+    """The first entry of every bit per account and folder, as the code ``effective_rights`` decides by."""
+    here = matched.where(~R.has_all("prop_flags", R.INHERIT_ONLY))
+    code = F.col("ace_order") * 4 + (F.col("access_type") == "Deny").cast("int") * 2 + F.col("is_inherited").cast("int")
+    return here.groupBy("target", "path_key").agg(
+        *[F.min(F.when(F.col("rights").bitwiseAND(m) != 0, code)).alias(name) for name, m in zip(_BITS, _MASKS)]
+    )
+
+
+def _decided(codes: DataFrame) -> DataFrame:
+    """The first entries as ``state`` ``(level, allowed, is_inherited)``; null without access."""
+    def gather(test) -> Column:
+        out = F.lit(0)
+        for name, m in zip(_BITS, _MASKS):
+            out = out.bitwiseOR(F.when(F.coalesce(test(F.col(name)), F.lit(False)), F.lit(m)).otherwise(F.lit(0)))
+        return out
+
+    allowed = gather(lambda c: c.bitwiseAND(2) == 0)
+    explicit = gather(lambda c: c.bitwiseAND(3) == 0)
+    plain = codes.withColumn("_allowed", allowed).withColumn("_explicit", explicit).drop(*_BITS).withColumn("_level", R.level("_allowed"))
+    state = F.when(
+        (F.col("_allowed") != 0) & (F.col("_level") != "None"),
+        F.struct(F.col("_level").alias("level"), F.col("_allowed").alias("allowed"), (F.col("_explicit") == 0).alias("is_inherited")),
+    )
+    return plain.withColumn("state", state).drop("_allowed", "_explicit", "_level")
+
+
+_COUNTS = ["full_control", "modify", "custom", "read_only", "enclave", "explicit_boundary", "severed", "unavailable", "accessible"]
+
+
+def _kind(own: Column, above: Column) -> Column:
+    """``level`` and ``change_type`` a readable folder has for an account; null when it is no item. See ``change_points``."""
+    same = (own["level"] == above["level"]) & (own["allowed"] == above["allowed"])
+    change = (
+        F.when(F.col("depth") == 0, "Baseline").when(F.coalesce("_parent_closed", F.lit(False)), "Unknown")
+        .when(above.isNull(), "EnclaveGranted").when(same & own["is_inherited"], "InheritedSame")
+        .when(same, "ExplicitBoundary").otherwise("PermissionChanged")
+    )
+    severed = F.struct(F.lit("None").alias("level"), F.lit("InheritanceSevered").alias("change_type"))
+    return F.when(own.isNotNull(), F.struct(own["level"].alias("level"), change.alias("change_type"))).when(
+        above.isNotNull() & F.coalesce("_parent_open", F.lit(False)), severed)
+
+
+def counts_by_class(
+    folders: DataFrame, aces: DataFrame, identity_tokens: DataFrame, accounts: DataFrame
+) -> DataFrame:
+    """``report_counts`` of ``change_points`` of every account, without a row per account and folder.
+
+    Accounts whose groups are spoken about by the same entries are one class, and what
+    a class can reach is worked out once. An account differs from its class only where an
+    entry names itself, in those folders and those directly below: there the state of
+    its class is taken off its counts and its own put in.
+    """
+    known = cut_lineage(known_identities(aces, identity_tokens))
+    shared, own = known.where("rank > 0"), known.where("rank = 0")
+    identity = F.to_json(F.array("_sid", "_account"))
+    sets = shared.groupBy("target").agg(F.sha2(F.to_json(F.array_sort(F.collect_set(identity))), 256).alias("class"))
+    members = cut_lineage(
+        accounts.select("target").distinct().join(sets, "target", "left").withColumn("class", F.coalesce("class", F.lit("")))
+    )
+    heads = members.groupBy("class").agg(F.min("target").alias("target"))
+    of_class = shared.join(heads, "target").drop("target").withColumnRenamed("class", "target")
+    class_codes = cut_lineage(_first_entries(entries_of(aces, of_class)))
+    class_state = cut_lineage(_decided(class_codes).withColumnRenamed("target", "class"))
+
+    open_to = class_state.where("state is not null").select(F.col("class").alias("target"), "path_key", "state.*")
+    texts = [F.lit(None).cast("string").alias(c) for c in ("grant_source", "grant_trace")]
+    access = open_to.select("target", "path_key", "level", "allowed", F.lit(0).alias("denied"), F.lit(False).alias("has_deny"), "is_inherited", *texts)
+    none = accounts.where(F.lit(False))
+    by_class = report_counts(change_points(access, folders, none)).withColumnRenamed("target", "class")
+
+    # Where entries name the account itself: the first entry of each bit is the earlier of its own and its class's.
+    mine = _first_entries(entries_of(aces, own)).join(members, "target")
+    theirs = class_codes.select(F.col("target").alias("class"), "path_key", *[F.col(b).alias(f"_c{b}") for b in _BITS])
+    both = measured_join(mine, theirs, ["class", "path_key"], "left")
+    named = cut_lineage(_decided(both.select("target", "class", "path_key", *[F.least(b, f"_c{b}").alias(b) for b in _BITS])))
+
+    place = folders.where("readable").select("path_key", "parent_key", "depth")
+    parents = folders.groupBy(F.col("path_key").alias("parent_key")).agg(
+        F.max(~F.col("readable")).alias("_parent_closed"), F.max("readable").alias("_parent_open"))
+    at = named.select("target", "class", "path_key")
+    # Folder rows an own entry bears on: in the folder itself, or, where that has none, in its parent.
+    inside = at.join(place, "path_key").select("target", "class", "path_key", "parent_key", "depth")
+    below = measured_join(place, at.withColumnRenamed("path_key", "parent_key"), ["parent_key"]).select(*inside.columns)
+    touched = inside.unionByName(below.join(at.select("target", "path_key"), ["target", "path_key"], "left_anti"))
+    rows = measured_join(touched, parents, ["parent_key"], "left")
+    for key, name in (("path_key", "own"), ("parent_key", "above")):
+        held = class_state.select("class", F.col("path_key").alias(key), F.col("state").alias(f"_{name}_class"))
+        self = named.select("target", F.col("path_key").alias(key), F.col("state").alias(f"_{name}_self"), F.lit(True).alias(f"_{name}_named"))
+        rows = measured_join(measured_join(rows, held, ["class", key], "left"), self, ["target", key], "left")
+        chosen = F.when(F.col(f"_{name}_named"), F.col(f"_{name}_self")).otherwise(F.col(f"_{name}_class"))
+        rows = rows.withColumn(f"_{name}", chosen)
+    pair = rows.select("target", F.explode(F.array(
+        F.struct(F.lit(-1).alias("sign"), _kind(F.col("_own_class"), F.col("_above_class")).alias("item")),
+        F.struct(F.lit(1).alias("sign"), _kind(F.col("_own"), F.col("_above")).alias("item")),
+    )).alias("_p")).select("target", "_p.sign", "_p.item.*").where("change_type is not null")
+    changed = report_counts(pair.withColumn("target", F.struct("target", "sign"))).select(
+        "target.target", *[(F.col(c) * F.col("target.sign")).alias(c) for c in _COUNTS])
+
+    closed = folders.where(~F.col("readable")).groupBy("root_key").agg(F.count("*").alias("unavailable"))
+    shut = accounts.select("target", "root_key").distinct().join(closed, "root_key")
+    shut = shut.select("target", *[F.col(c) if c == "unavailable" else F.lit(0).cast("long").alias(c) for c in _COUNTS])
+    plain = measured_join(members, by_class, ["class"]).select("target", *_COUNTS)
+    total = plain.unionByName(changed).unionByName(shut).groupBy("target").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return total.where(F.col("accessible") + F.col("severed") + F.col("unavailable") > 0)
+
+
 def rights_union(aces: DataFrame) -> DataFrame:
     """All bits an identity is allowed or denied per folder, whatever the order."""
     union = lambda kind: F.coalesce(F.bit_or(F.when(F.col("access_type") == kind, F.col("rights"))), F.lit(0))

@@ -25,6 +25,14 @@ def effective_access(
     }
 
 
+def access_counts(
+    folders: DataFrame, aces: DataFrame, member_of: DataFrame, principals: DataFrame, accounts: DataFrame
+) -> DataFrame:
+    """The ``counts`` of ``effective_access`` for any number of accounts, without its rows."""
+    known = access.tokens(accounts, access.group_closure(member_of), principals)
+    return access.counts_by_class(folders, aces, known, accounts)
+
+
 def acl_change_plan(before: DataFrame, after: DataFrame, folders: DataFrame, principals: DataFrame) -> dict[str, DataFrame]:
     b = acl_diff.with_account_key(before, principals)
     a = acl_diff.with_account_key(after, principals)

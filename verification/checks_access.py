@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from filetide.functions import rights
 from filetide.operators import access, acl_diff, directory
-from filetide.plans.access import acl_change_plan, acl_verify, effective_access
+from filetide.plans.access import access_counts, acl_change_plan, acl_verify, effective_access
 from filetide.sources import reports
 
 from .registry import ORACLE, add, once
@@ -99,7 +99,7 @@ add("f25_change_points", lambda t: items(t).select("target", "path_key", "level"
 add("u1_all_items", lambda t: items(t).groupBy("change_type").agg(F.count("*").alias("n")), "SELECT change_type, COUNT(*) AS n FROM {items_g} GROUP BY ALL")
 add("b23_access_filter", lambda t: items(t).where(access.item_filter("Asia", changes_only=True)).select("target", "path_key", "change_type"),
     "SELECT target, path_key, change_type FROM {items_g} WHERE change_type NOT IN ('InheritedSame', 'Baseline') AND contains(path_key, 'asia')")
-add("c17_report_counts", lambda t: effective_access(t.folder_acl, t.aces, t.member_of, t.principals, t.accounts)["counts"].select(
+add("c17_report_counts", lambda t: access_counts(t.folder_acl, t.aces, t.member_of, t.principals, t.accounts).select(
     "target", "full_control", "modify", "custom", "read_only", "enclave", "severed", "unavailable", "accessible"),
     """SELECT target, COUNT(*) FILTER (WHERE level = 'FullControl') AS full_control, COUNT(*) FILTER (WHERE level = 'Modify') AS modify, COUNT(*) FILTER (WHERE level = 'Custom') AS custom,
          COUNT(*) FILTER (WHERE level IN ('Read', 'ReadAndExecute')) AS read_only, COUNT(*) FILTER (WHERE change_type = 'EnclaveGranted') AS enclave,

@@ -95,3 +95,15 @@ def test_alerts_equal_batch_over_several_triggers(spark, tmp_path, monkeypatch):
     want = {r["snapshot_id"]: (r["baseline_count"], r["is_anomaly"], r["z_score"]) for r in H.anomalies(spark.createDataFrame(rows, schemas.SNAPSHOTS)).collect()}
     assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()} and {k for k, v in got.items() if v[1]} == {"s040", "s120"}
     assert all(v[2] is None or v[2] == pytest.approx(want[k][2]) for k, v in got.items())
+
+
+def test_history_keeps_many_seconds_in_one_state_row(spark, tmp_path):
+    rows = [(f"t{i % 40}", f"s{i}", at(i), i, i) for i in range(2000)]
+    spark.createDataFrame(rows, schemas.SNAPSHOTS).write.parquet(str(tmp_path / "in"))
+    stream = history.stream_history(history.read_snapshots(spark, str(tmp_path / "in")), "10 minutes")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = spark.read.schema(stream.schema).parquet(str(tmp_path / "rows")).collect()
+    assert sorted(r["snapshot_id"] for r in written) == sorted(f"s{i}" for i in range(2000 - 1 - 600))
+    used = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+    assert used < 2000  # 128 parts with a row of state and its timers, not a row a second

@@ -31,3 +31,12 @@ def test_audit_deals_its_entries_and_reads_them_once(spark, monkeypatch):
     found = audit_plan.collect_reasons(entries, None, none, NOW, audit_plan.AuditOptions(path_limits=False, dormant=False))
     assert found.where("issue_type = 'VersionFamily'").count() == 391
     assert "LocalRelation" not in seen["plan"] and "LogicalRDD" not in seen["plan"] and "parquet" in seen["plan"]
+
+
+@pytest.mark.parametrize("name", ["Default", "IssueType", "FileName"])
+def test_named_orders_work_out_their_keys_once(spark, name):
+    none = spark.createDataFrame([], "path_key string, size bigint, modified_at timestamp")
+    found = audit_plan.collect_reasons(versions(spark), None, none, NOW, audit_plan.AuditOptions(path_limits=False))
+    plan = audit.sort(audit.combine(found), name)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Sort [" in x)
+    assert "(" not in line.split("Sort [")[1].split("]")[0]

@@ -40,3 +40,8 @@ def test_named_orders_work_out_their_keys_once(spark, name):
     plan = audit.sort(audit.combine(found), name)._jdf.queryExecution().optimizedPlan().toString()
     line = next(x for x in plan.splitlines() if "Sort [" in x)
     assert "(" not in line.split("Sort [")[1].split("]")[0]
+
+
+def test_lines_are_joined_once(spark):
+    plan = Tables(spark, SMALL).entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and "o_orderdate" in plan

@@ -45,3 +45,19 @@ def test_named_orders_work_out_their_keys_once(spark, name):
 def test_lines_are_joined_once(spark):
     plan = Tables(spark, SMALL).entries._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" not in plan and "o_orderdate" in plan
+
+
+def test_block_counts_grow_no_faster_than_the_values(spark, monkeypatch):
+    n, made = 3000, {}
+    real = baselines._later_blocks
+    monkeypatch.setattr(baselines, "_later_blocks", lambda narrow, key, kind, done, block: (made.update(block=block), real(narrow, key, kind, done, block))[1])
+    rows = spark.range(n).select(F.lit("k").alias("k"), "id", (F.col("id") * 7919 % 1009).cast("double").alias("v"))
+    out = {r["id"]: r for r in baselines.running_median_mad(rows, "k", ["id"], "v", block=8).collect()}
+    assert made["block"] ** 2 >= n
+    values = [i * 7919 % 1009 for i in range(n)]
+    for i in (1, 2, 500, 2999):
+        past = sorted(values[:i])
+        median = (past[(i - 1) // 2] + past[i // 2]) / 2
+        assert out[i]["earlier_median"] == median
+        far = sorted(abs(v - median) for v in past)
+        assert out[i]["earlier_mad"] == (far[(i - 1) // 2] + far[i // 2]) / 2

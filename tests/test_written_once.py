@@ -47,6 +47,15 @@ def test_lines_are_joined_once(spark):
     assert "l_extendedprice" not in plan and "o_orderdate" in plan
 
 
+def test_tree_json_is_packed(spark, tmp_path):
+    entries = versions(spark)
+    store.export_tree_json(entries, str(tmp_path / "json"))
+    parts = [f for f in os.listdir(tmp_path / "json") if f.startswith("part-")]
+    assert parts and all(f.endswith(".json.gz") for f in parts)
+    back = store.import_tree_json(spark, str(tmp_path / "json"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, entries.select(*schemas.ENTRIES.names).collect()))
+
+
 def test_block_counts_grow_no_faster_than_the_values(spark, monkeypatch):
     n, made = 3000, {}
     real = baselines._later_blocks

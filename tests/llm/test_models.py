@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filetide.llm import adsampling, brown, hypershuffle, novelty, toxicity
@@ -55,6 +56,14 @@ def test_no_training_rows(spark, tmp_path):
     assert all(math.isfinite(r["score"]) for r in brown.scored(frame(spark, EMPTY), model, counts).collect())
 
 
+def test_language_model_works_on_small_parts():
+    texts = [prose(i, 400) for i in range(3000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(brown._parts(iter([batch])))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert max(sum(len(t) for t in p.column("text").to_pylist()) for p in parts) <= (1 << 20) + max(map(len, texts))
+
+
 TOXIC = ["zorgblat", "fumblewit", "snarkle"]
 
 

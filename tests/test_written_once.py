@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from filetide import schemas
 from filetide.operators import audit, baselines, hygiene
 from filetide.plans import audit as audit_plan
+from filetide.session import cut_lineage, small_scans
 from filetide.sources import snapshots as store
 from verification.tables import Tables
 
@@ -70,3 +71,18 @@ def test_block_counts_grow_no_faster_than_the_values(spark, monkeypatch):
         assert out[i]["earlier_median"] == median
         far = sorted(abs(v - median) for v in past)
         assert out[i]["earlier_mad"] == (far[(i - 1) // 2] + far[i // 2]) / 2
+
+
+def test_a_task_scans_a_bounded_part_of_a_table(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    default = spark.conf.get(key)
+    try:
+        written = cut_lineage(spark.range(1_000_000).select("id", F.md5(F.col("id").cast("string")).alias("s")).coalesce(1), 1 << 20)
+        small_scans(spark, 4 << 20)
+        sizes = [r["count"] for r in written.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1_000_000 and max(sizes) < 250_000
+        spark.conf.set(key, "1m")
+        small_scans(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, default)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filetide import schemas
-from filetide.operators import audit, baselines, hygiene
+from filetide.operators import audit, baselines, hygiene, migrate
 from filetide.plans import audit as audit_plan
 from filetide.session import cut_lineage, small_scans
 from filetide.sources import snapshots as store
@@ -86,3 +86,20 @@ def test_a_task_scans_a_bounded_part_of_a_table(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, default)
+
+
+def test_entries_are_not_joined_again_to_count_a_place(spark, monkeypatch):
+    entries = listing(spark, [("C:\\Data\\a", 0, NOW, NOW, True), ("C:\\Data\\a\\b", 0, NOW, NOW, True), *[(f"C:\\Data\\a\\b\\f{i}.txt", i, NOW, NOW) for i in range(20)],
+                              *[(f"C:\\Data\\a\\g{i}.txt", i, NOW, NOW) for i in range(5)], ("C:\\Data\\h.txt", 1, NOW, NOW)])
+    units = spark.createDataFrame([("p", 1, "c:/data/a", "d:/one"), ("p", 2, "c:/data/a/b", "d:/two"), ("q", 1, "c:/data/a", "d:/three")], "plan_id string, wave int, source_key string, destination_key string")
+    joins = []
+    real = migrate.measured_join
+    monkeypatch.setattr(migrate, "measured_join", lambda *a, **k: (joins.append(k.get("counts")), real(*a, **k))[1])
+    got = migrate.expected_items(entries, units)
+    assert len(joins) == 2 and all(counts is not None for counts in joins)
+    paths = sorted((r["plan_id"], r["target_key"]) for r in got.where("not is_dir").collect())
+    expected = [("p", f"d:/one/g{i}.txt") for i in range(5)] + [("p", f"d:/two/f{i}.txt") for i in range(20)] + [("q", f"d:/three/g{i}.txt") for i in range(5)]
+    assert paths == sorted(expected)
+    monkeypatch.setattr(migrate, "cut_lineage", lambda df: df)
+    plan = migrate._covered(entries, units.select(F.col("source_key").alias("place_key")))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

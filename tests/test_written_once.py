@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from filetide import schemas
 from filetide.operators import audit, baselines, hygiene, migrate
 from filetide.plans import audit as audit_plan
+from filetide.plans import forecast as forecast_plan
 from filetide.session import cut_lineage, small_scans
 from filetide.sources import snapshots as store
 from verification.tables import Tables
 
-from .helpers import NOW, ago, listing
+from .helpers import NOW, ago, history, listing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -103,3 +104,18 @@ def test_entries_are_not_joined_again_to_count_a_place(spark, monkeypatch):
     monkeypatch.setattr(migrate, "cut_lineage", lambda df: df)
     plan = migrate._covered(entries, units.select(F.col("source_key").alias("place_key")))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_a_forecast_builds_what_is_asked_for(spark, monkeypatch):
+    asked = []
+    for name in ("rate_baseline", "holt", "anomalies"):
+        real = getattr(forecast_plan.history, name)
+        monkeypatch.setattr(forecast_plan.history, name, lambda *a, n=name, f=real, **k: (asked.append(n), f(*a, **k))[1])
+    gb = 1024**3
+    totals = history(spark, [(day, day * gb + (400 * gb if day == 11 else 0)) for day in range(12)])
+    below = totals.select("target_key", "snapshot_id", F.lit("a").alias("name"), F.col("total_bytes").alias("size"))
+    parts = forecast_plan.forecast(totals, below)
+    assert list(parts) == ["trend", "baseline", "anomalies", "history", "contributors"]
+    rows = parts["contributors"].collect()
+    assert [(r["snapshot_id"], r["name"], r["delta_bytes"], r["rank"]) for r in rows] == [("s011", "a", 401 * gb, 1)]
+    assert asked == ["anomalies"]

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filetide.llm import decontaminate, superminhash, templates
 
@@ -189,3 +190,14 @@ def test_two_shared_lines_do_not_make_documents_related(spark, trial):
 def test_lines_below_the_least_tokens_stay(spark):
     rows = [(i, "\n".join(["the end now", *lines_of(3000 + i, 4)])) for i in range(40)]
     assert all(r["n_dropped"] == 0 for r in templates.drop_recurring(frame(spark, rows), counts=True).collect())
+
+
+def test_a_text_is_parsed_once(spark):
+    plan = templates.parsed(frame(spark, [(1, "x")]).select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
+def test_tokens_of_odd_lines(spark):
+    rows = [(1, "  a\t\tb \x0bc\x0c d\r"), (2, ""), (3, " \t "), (4, "see http://x.y a1 me@here 10:30 \xa0 e:/f")]
+    got = {r["doc_id"]: r["t"] for r in frame(spark, rows).select("doc_id", templates.tokens(F.col("text")).alias("t")).collect()}
+    assert got == {1: ["a", "b", "c", "d"], 2: [], 3: [], 4: ["see", "<*>", "<*>", "<*>", "<*>", "\xa0", "e:/f"]}

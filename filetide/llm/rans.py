@@ -25,8 +25,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -46,133 +44,138 @@ LANES = 2048
 SEGMENT = 1 << 18
 BLOCK = 1 << 20
 END = 0
-CACHE = 400_000  # texts after which a Python worker starts a new generation of its memory
+CACHE = 400_000  # splits after which a Python worker forgets those it does not need at the moment
 
 
 # ---- tokens -----------------------------------------------------------------
 
-class Encoder:
-    """The tokenizer with a memory of words.
+SPACE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # but for blank and line feed
+
 
-    The tokenizer's own rule never joins what a blank before a word separates,
-    so a text is its words, each with the blank before it, encoded one by one.
-    Texts in which white space meets a blank are left to the tokenizer whole.
+class Encoder:
+    """The tokenizer over distinct splits, with a memory of them.
+
+    The tokenizer's own rule cuts a text into splits before it merges bytes. It
+    cuts at most two letters of white space between words into single ones, of
+    which a last blank joins the word behind it. So a text is its pieces, each
+    led by a blank or a line feed, and a piece is cut into splits where letters,
+    numbers and other signs meet. Each distinct piece of a batch is cut once,
+    and each distinct split merged once by the tokenizer. Texts with longer runs
+    of white space, or two such letters at the end, are left to it whole.
     """
 
     def __init__(self, path: str) -> None:
-        import re
+        import os
 
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        # The same model over words that are already split and spelled in its byte letters.
+        # The same model over splits, spelled in its byte letters.
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.odd = r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-        self.run = re.compile(r"\s (?:\s|\Z)")
+        odd, any_space = f"[{SPACE}]", f"[ \\n{SPACE}]"
+        self.risky = rf"{any_space}{{3}}|{any_space}{{2}}\z|\A{odd}"
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
-        self.letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(other)}}
-        self.marks = {c: self._whole(c) for c in ".,;:!?"}
-        self.words = _Memory()
-        self.spaced = _Memory()  # runs of letters after a blank
-        self.others = _Memory()  # all other splits
+        spelled = {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(other)}, 10: 10}
+        self.letters = np.array([spelled[b] for b in range(256)], "<u4")  # line feeds part the splits
+        # 0 blank or line feed, 1 letter, 2 number, 3 other sign, 4 left to the expression above.
+        self.kinds = np.full(1 << 16, 3, np.uint8)
+        every = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+        for kind, which in ((1, r"\p{L}"), (2, r"\p{N}"), (4, r"[\s']")):
+            self.kinds[[ord(c) for c in regex.findall(which, every)]] = kind
+        self.kinds[[10, 32]] = 0
+        self.known = pa.array([" ", "\n"])
+        self.ids = np.concatenate([np.frombuffer(self._whole(c), "<u4") for c in (" ", "\n")])
+        self.sizes = np.ones(2, np.int64)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _spell(self, part: str) -> str:
-        return part.encode().decode("latin-1").translate(self.letters)
-
-    def _merge(self, spelled: list[str]) -> list[bytes]:
-        """Ids of each split, given in byte letters."""
-        out: list[bytes] = []
-        for a in range(0, len(spelled), 2000):
-            found = self.bare.encode("\n".join(spelled[a : a + 2000]), add_special_tokens=False)
-            cuts = (np.cumsum(np.bincount(found.word_ids)) * 4).tolist()
-            raw = np.array(found.ids, "<u4").tobytes()
-            out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        plain, marked, rest, marks = [], [], {}, self.marks
-        for w in self.words.missing(words):
-            if w.isalpha():
-                plain.append(w)
-            elif w[-1:] in marks and w[:-1].isalpha():
-                marked.append(w)
-            else:
-                rest[w] = self.split.findall(" " + w)
-        stems = [w[:-1] for w in marked]
-        wanted = list(self.spaced.missing({*plain, *stems}))
-        self.spaced.add(wanted, self._merge(["\u0120" + w if w.isascii() else "\u0120" + self._spell(w) for w in wanted]))
-        wanted = list(self.others.missing({p for ps in rest.values() for p in ps}))
-        self.others.add(wanted, self._merge([self._spell(p) for p in wanted]))
-        spaced, others = self.spaced.now, self.others.now
-        self.words.add(plain, map(spaced.__getitem__, plain))
-        self.words.add(marked, [spaced[stem] + marks[w[-1]] for w, stem in zip(marked, stems)])
-        self.words.add(rest, [b"".join([others[p] for p in ps]) for ps in rest.values()])
-
-    def _values(self, words: list[str]) -> list[bytes]:
-        get = self.words.now.get
-        found = list(map(get, words))
-        if None in found:
-            self._learn(set(compress(words, map(not_, found))))
-            known = self.words.now
-            found = [v if v is not None else known[w] for w, v in zip(words, found)]
-        return found
+    def _merge(self, splits: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of splits other than a line feed, end to end, and how many each has."""
+        ids = [np.zeros(0, "<u4")]
+        for a in range(0, len(splits), 500):
+            joined = np.frombuffer("\n".join(splits[a : a + 500].to_pylist()).encode(), np.uint8)
+            spelled = self.letters[joined].tobytes().decode("utf-32-le")
+            ids.append(np.array(self.bare.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(ids)
+        # No token reaches over a split, so their bytes tell where each split ends.
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(splits).to_numpy()), "right")
+        return ids, np.diff(ends, prepend=0)
+
+    def _cut(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The splits of all pieces, and where those of each piece begin."""
+        data, borders = utf8(pieces)
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # first byte of each letter
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        kinds = np.where(points < 1 << 16, self.kinds[np.minimum(points, 0xFFFF)], 4)
+        new = np.ones(len(points), bool)
+        new[1:] = (kinds[1:] != kinds[:-1]) & (points[:-1] != 32)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[first[new]] = True
+        for i in np.unique(np.searchsorted(borders, first[kinds == 4], "right") - 1).tolist():
+            begins[borders[i] : borders[i + 1]] = False
+            sizes = [len(p.encode()) for p in self.split.findall(pieces[i].as_py())]
+            begins[borders[i] + np.cumsum([0, *sizes[:-1]])] = True
+        begins[borders] = True
+        at = np.flatnonzero(begins)
+        splits = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+        return splits, np.searchsorted(at, borders)
+
+    def _looked_up(self, splits: pa.Array) -> np.ndarray:
+        """Places of distinct splits in the memory, which learns those it lacks."""
+        if len(self.known) > CACHE:  # of a full memory what is asked for now stays
+            stay = np.union1d(pc.index_in(self.known.take(pa.array([0, 1])), self.known).to_numpy(), pc.drop_null(pc.index_in(splits, self.known)).to_numpy())
+            self.ids, _ = _laid(self.ids, self.sizes, stay)
+            self.known, self.sizes = self.known.take(pa.array(stay)), self.sizes[stay]
+        found = pc.index_in(splits, self.known)
+        lacking = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        places = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(lacking):
+            places[lacking] = len(self.known) + np.arange(len(lacking))
+            missing = splits.take(pa.array(lacking))
+            ids, sizes = self._merge(missing)
+            self.known = pa.concat_arrays([self.known, missing])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return places
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text. Words are looked up once for all texts, then laid out text by text."""
+        """Ids of each text. Distinct pieces are encoded once for all texts, then laid out text by text."""
         texts = pc.fill_null(texts, "")
-        risky = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\n ")), pc.match_substring_regex(texts, self.odd))
-        whole = np.zeros(len(texts), bool)
-        for i in np.flatnonzero(risky.to_numpy(zero_copy_only=False)).tolist():
-            whole[i] = self.run.search(texts[i].as_py()) is not None
-        lists = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        whole = pc.match_substring_regex(texts, self.risky).to_numpy(zero_copy_only=False)
+        led = pc.binary_join_element_wise("\n", texts.filter(pa.array(~whole)), "")
+        lists = pc.split_pattern(pc.replace_substring(led, "\n", " \n"), " ")
         borders = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        flat = lists.flatten()
-        spaced = np.ones(len(flat), bool)
-        spaced[borders[:-1]] = False  # a text's first word has no blank before it
-        coded = flat.filter(pa.array(spaced)).dictionary_encode()
-        values = self._values(coded.dictionary.to_pylist())
-        n = len(values)
-        values += [self._whole(w) if w else b"" for w in flat.filter(pa.array(~spaced)).to_pylist()]
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
-        at = np.empty(len(flat), np.int64)
-        at[spaced] = coded.indices.to_numpy()
-        at[~spaced] = n + np.arange(len(flat) - len(coded))
-        blob, long = np.frombuffer(b"".join(values), "<u4"), sizes[at]
-        ends = np.cumsum(long)
-        ids = blob[np.repeat(starts[at] - (ends - long), long) + np.arange(int(long.sum()))]
+        coded = lists.flatten().dictionary_encode()
+        ids, ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if len(coded):
+            words = coded.dictionary
+            pieces = pc.binary_join_element_wise(pc.if_else(pc.starts_with(words, "\n"), "", " "), words, "")
+            splits, begins = self._cut(pieces)
+            splits = splits.dictionary_encode()
+            places = self._looked_up(splits.dictionary)[splits.indices.to_numpy()]
+            blob, filled = _laid(self.ids, self.sizes, places)
+            sizes = np.diff(np.concatenate([[0], filled])[begins])
+            ids, ends = _laid(blob, sizes, coded.indices.to_numpy())
         ends = np.concatenate([[0], ends])[borders].tolist()
+        # Two ids stand for the line feed put before each text and the blank before that.
         laid = iter(zip(ends[:-1], ends[1:]))
-        return [np.frombuffer(self._whole(texts[i].as_py()), "<u4") if w else ids[slice(*next(laid))] for i, w in enumerate(whole.tolist())]
-
-
-class _Memory:
-    """Two generations of ids by text: what is asked for again outlives the next clearing."""
-
-    def __init__(self) -> None:
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        return [np.frombuffer(self._whole(texts[i].as_py()), "<u4") if w else ids[slice(*next(laid))][2:] for i, w in enumerate(whole.tolist())]
 
-    def missing(self, texts: set[str]) -> set[str]:
-        """The texts not known; all others are at hand in ``now`` afterwards."""
-        if len(self.now) > CACHE:
-            self.now, self.before = {}, self.now
-        absent = texts - self.now.keys()
-        again = absent & self.before.keys()
-        before = self.before
-        self.now.update((t, before[t]) for t in again)
-        return absent - again
 
-    def add(self, texts, values) -> None:
-        self.now.update(zip(texts, values))
+def _laid(blob: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``at`` of a blob of stretches of these sizes, end to end, and their ends."""
+    starts, long = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.cumsum(long)
+    return blob[np.repeat(starts[at] - (ends - long), long) + np.arange(int(long.sum()))], ends
 
 
 _ENCODERS: dict[str, Encoder] = {}

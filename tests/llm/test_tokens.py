@@ -31,6 +31,26 @@ def test_words_are_encoded_as_the_tokenizer_does():
         assert coder.encode(pa.array([text]))[0].tobytes() == coder._whole(text), repr(text)
 
 
+def test_each_distinct_split_is_merged_once(monkeypatch):
+    coder, merged = rans.Encoder(PATH), []
+    merge = coder._merge
+    monkeypatch.setattr(coder, "_merge", lambda splits: merged.extend(map(str, splits)) or merge(splits))
+    texts = ["x omega, omega$$ omega\nomega", None, "y omega. omega##\n"]
+    for got, text in zip(coder.encode(pa.array(texts)), texts):
+        assert got.tobytes() == coder._whole(text or "")
+    assert sum(m.replace(" ", "\u0120") == "\u0120omega" for m in merged) == 1
+
+
+def test_a_full_memory_keeps_what_is_needed(monkeypatch):
+    monkeypatch.setattr(rans, "CACHE", 3)
+    coder, draw = rans.Encoder(PATH), random.Random(6)
+    signs = [*AWKWARD, "n't", "'", "\U00020000", "\U0001f600", "e\u0301", "\u0661", "\x00", "ab", "\u200b", "\ufeff"]
+    for _ in range(200):
+        texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(9))) for _ in range(5)]
+        assert [x.tobytes() for x in coder.encode(pa.array(texts))] == [coder._whole(t) for t in texts], texts
+    assert len(coder.known) < 100
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 64, 1000, (1 << 17) + 77])
 def test_blocks_decode_and_checks_catch_damage(n):
     ids = np.random.default_rng(n).zipf(1.3, n) % 5000

@@ -119,3 +119,36 @@ def test_a_forecast_builds_what_is_asked_for(spark, monkeypatch):
     rows = parts["contributors"].collect()
     assert [(r["snapshot_id"], r["name"], r["delta_bytes"], r["rank"]) for r in rows] == [("s011", "a", 401 * gb, 1)]
     assert asked == ["anomalies"]
+
+
+def moved(spark):
+    entries = listing(spark, [("C:\\Data\\a", 0, NOW, NOW, True), ("C:\\Data\\a\\b", 0, NOW, NOW, True), *[(f"C:\\Data\\a\\b\\f{i}.txt", i, NOW, NOW) for i in range(6)],
+                              *[(f"C:\\Data\\a\\g{i}.txt", i, NOW, NOW) for i in range(4)], ("C:\\Data\\h.txt", 1, NOW, NOW)])
+    units = spark.createDataFrame([("p", 1, "c:/data/a", "d:/one"), ("p", 2, "c:/data/a/b", "d:/two")], "plan_id string, wave int, source_key string, destination_key string")
+    return entries, units
+
+
+def exchanged(df):
+    """Rows and columns that exchanges of the plan name, as text."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_entries_are_exchanged_once_to_find_their_unit(spark):
+    entries, units = moved(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = migrate.expected_items(entries, units)
+        assert len([x for x in exchanged(items) if "head_key" in x]) == 2  # the entries and the units of their heads
+        assert not [x for x in exchanged(items) if "parent_key" in x or "hashpartitioning(path_key" in x or "place_key" in x.split("ENSURE")[0] and "path_key" in x.split("ENSURE")[0]]
+        got = sorted((r["target_key"], r["wave"]) for r in items.where("not is_dir").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([(f"d:/two/f{i}.txt", 2) for i in range(6)] + [(f"d:/one/g{i}.txt", 1) for i in range(4)])
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    ids = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before = ids()
+    table = cut_lineage(spark.range(1000).repartition(7, "id"))
+    assert table.count() == 1000 and ids() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -146,6 +146,27 @@ def test_entries_are_exchanged_once_to_find_their_unit(spark):
     assert got == sorted([(f"d:/two/f{i}.txt", 2) for i in range(6)] + [(f"d:/one/g{i}.txt", 1) for i in range(4)])
 
 
+def test_expected_paths_and_what_is_there_meet_in_one_exchange(spark, monkeypatch):
+    entries, units = moved(spark)
+    written = []
+    real = migrate.cut_lineage
+    monkeypatch.setattr(migrate, "cut_lineage", lambda df: (written.append(df), real(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = migrate.expected_once(real(migrate.expected_items(entries, units).drop("sha256")))
+        there = real(entries.withColumn("path_key", F.translate(F.replace("path_key", F.lit("c:/data/a/b/"), F.lit("d:/two/")), "5", "9")))
+        now = entries.withColumn("size", F.when(F.col("name") == "f2.txt", 99).otherwise(F.col("size")))
+        written.clear()
+        result = migrate.verify(once, there, now, columns=["target_key", "wave"])
+        assert len(written) == 1 and set(written[0].columns) == {"target_key", "wave", "source_key", "is_dir", "size", "modified_at", "_dir", "_size"}
+        assert len(exchanged(written[0])) == 2  # one for either side, none between grouping and join
+        got = {r["target_key"]: r["problem"] for r in result.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = {f"d:/two/f{i}.txt": None for i in range(5)} | {"d:/two/f2.txt": "SourceChanged", "d:/two/f5.txt": "Missing", "d:/one": "Missing", "d:/two": "Missing"}
+    assert got == expected | {f"d:/one/g{i}.txt": "Missing" for i in range(4)}
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     ids = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
     before = ids()

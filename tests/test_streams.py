@@ -107,3 +107,21 @@ def test_history_keeps_many_seconds_in_one_state_row(spark, tmp_path):
     assert sorted(r["snapshot_id"] for r in written) == sorted(f"s{i}" for i in range(2000 - 1 - 600))
     used = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
     assert used < 2000  # 128 parts with a row of state and its timers, not a row a second
+
+
+def test_hits_of_a_batch_are_found_without_keeping_it(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from filetide.operators.search import SearchSpec
+    from filetide.streaming import hits
+
+    rows = spark.range(40).select(F.concat(F.lit("/r/f"), "id").alias("path"), F.concat(F.lit("f"), "id", F.lit(".txt")).alias("name"), F.lit(".txt").alias("ext"),
+                                  (F.col("id") % 4 == 3).alias("is_dir"), F.col("id").alias("size"))
+    rows.repartition(4).write.parquet(f"{tmp_path}/in")
+    kept = []
+    monkeypatch.setattr(type(rows), "persist", lambda self, *a: kept.append(self) or self)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    hits.stream_hits(arriving, SearchSpec(extensions=["txt"], min_size=10), f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    wanted = [i for i in range(10, 40) if i % 4 != 3]
+    assert hits.running_totals(spark, f"{tmp_path}/out").first()[:] == (len(wanted), sum(wanted)) and not kept
+    assert sorted(r["size"] for r in spark.read.parquet(f"{tmp_path}/out/hits").collect()) == wanted

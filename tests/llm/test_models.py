@@ -217,3 +217,100 @@ def test_few_and_no_vectors(spark, tmp_path):
     none = folder(spark, tmp_path / "no", [])
     assert adsampling.query(spark, none).count() == 0
     assert stored(adsampling.query(spark, none), "none").columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_words_go_where_the_likelihood_gains_most():
+    draw = np.random.default_rng(3)
+    width = brown.CLASSES + 1
+    pairs = draw.integers(0, 50, (width, width)).astype(float)
+    around, old = np.zeros((40, 2 * width), np.int64), draw.integers(0, brown.CLASSES, 40)
+    for w in range(40):
+        for side in (0, width):
+            np.add.at(around[w], side + draw.choice(width, 1 + 4 * w), 1)
+    for w in range(40):
+        pairs[:, old[w]] += around[w, :width]
+        pairs[old[w]] += around[w, width:]
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    size = pairs.sum(axis=0)
+    for w, best in enumerate(brown.best_classes(around, old, pairs)):
+        n, gains = around[w, :width].sum(), []
+        for k in range(brown.CLASSES):
+            less = (k == old[w]) * around[w]  # its own bigrams leave its class first
+            terms = [(pairs[c, k] - less[c], around[w, c]) for c in range(width)] + [(pairs[k, c] - less[width + c], around[w, width + c]) for c in range(width)]
+            own = size[k] - (k == old[w]) * n
+            gains.append(sum(f(x + m) - f(x) for x, m in terms if m) - 2 * (f(own + n) - f(own)))
+        assert gains[best] >= max(gains) - 1e-9
+
+
+def test_places_of_a_word_add_up_over_rows_and_batches(spark):
+    draw = random.Random(8)
+    width = brown.CLASSES + 1
+    pairs = np.random.default_rng(8).integers(1, 90, (width, width)).astype(float)
+    classes = np.arange(brown.UNITS) % brown.CLASSES
+    rows = [(f"w{draw.randrange(1500)}".encode(), bytes(draw.randrange(width) for _ in range(2 * draw.randrange(1, 5)))) for _ in range(3000)]
+    rows += [(b"much", bytes([3, 5]) * 40)] * 150 + [(b"once", bytes([3, 5]))]
+    sums = {}
+    for w, places in rows:
+        mine = sums.setdefault(w, np.zeros(2 * width, np.int64))
+        for i, c in enumerate(places):
+            mine[c + i % 2 * width] += 1
+    names = sorted(sums)
+    old = np.array([classes[brown.suffix_unit(w)] for w in names])
+    best = brown.best_classes(np.array([sums[w] for w in names]), old, pairs)
+    expected = {w: o if sums[w].sum() == 2 else b for w, o, b in zip(names, old, best)}  # seen once: with the unseen words
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("64", "5000"):
+        spark.conf.set(key, size)
+        try:
+            got = brown.moved_words(spark.createDataFrame(rows, "word binary, around binary"), classes, pairs).collect()
+        finally:
+            spark.conf.set(key, default)
+        assert len(got) == len(names) and {bytes(r["word"]): r["class"] for r in got} == expected
+
+
+def test_rare_words_are_exchanged_by_their_own_bigrams(spark):
+    draw = random.Random(5)
+    kinds = [[f"{k}{i}same" for i in range(1600)] for k in "abcd"]  # all words share their last bytes
+
+    def text():
+        kind = draw.choice(kinds)
+        return " ".join(draw.choice(kind[:60] if draw.random() < 0.6 else kind[60:]) for _ in range(60))
+
+    texts = [text() for _ in range(2400)]
+    model, words_ = brown.train(frame(spark, list(enumerate(texts))))
+    of = {r["word"].decode(): r["class"] for r in words_.collect()}
+    count = Counter(w for t in texts for w in t.split())
+    assert of.keys() == count.keys() and len(of) > brown.EXCHANGED + 2000
+    rare = [w.decode() for w in list(model.at)[brown.EXCHANGED : -1]]
+    kinds_of = {}
+    for w in of:
+        kinds_of.setdefault(of[w], Counter())[w[0]] += 1
+    assert sum(kinds_of[of[w]].most_common(1)[0][0] == w[0] for w in rare) > 0.9 * len(rare)
+    size = Counter()
+    for w, n in count.items():
+        size[of[w]] += n
+    assert all(abs(10 ** model.room[c] - brown.EXTRA - n) < 1e-6 * n for c, n in size.items())
+
+
+def test_scores_equal_a_plain_count_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 40)  # all other words are looked up in the table
+    rows = [(i, prose(i, 200, 5000)) for i in range(60)] + [(100, None), (101, "")]
+    model, table = brown.train(frame(spark, rows[:50] + rows[-2:]))
+    of, n = {}, {}
+    for r in table.collect():
+        of[bytes(r["word"])], n[bytes(r["word"])] = r["class"], r["n"]
+    pairs = np.zeros((brown.CLASSES + 1,) * 2)
+    for _, t in rows[:50] + rows[-2:]:
+        seq = [brown.END, *[of[w] for w in words(t)], brown.END]
+        for a, b in zip(seq, seq[1:]):
+            pairs[a, b] += 1
+    plain = brown.Model(model, pairs)
+    assert np.allclose(plain.step, model.step)
+    for r in brown.scored(frame(spark, rows), model, table).collect():
+        seq, total = [brown.END], 0.0
+        for w in [*words(dict(rows)[r["doc_id"]]), None]:
+            c = brown.END if w is None else of[w] if w in of else model.unit_class[brown.suffix_unit(w)]
+            known = model.count[-1] if w is None else n.get(w, 0)
+            total += plain.step[seq[-1], c] - model.room[c] + (math.log10(known - model.discount) if known else model.unseen[c])
+            seq.append(c)
+        assert abs(total - r["score"]) < 1e-6 and r["n_tokens"] == len(seq) - 1

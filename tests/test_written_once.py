@@ -129,7 +129,7 @@ def moved(spark):
 
 
 def exchanged(df):
-    """Rows and columns that exchanges of the plan name, as text."""
+    """The exchanges of a plan."""
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
 
 
